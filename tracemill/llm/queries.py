@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, line_dedup, mixing, simhash
-from tracemill.llm.common import table
+from tracemill.llm import bpe, license_rules, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity
+from tracemill.llm.common import crc_bucket, table
 
 
 def multi_vocabulary() -> tuple[str, str]:
@@ -17,6 +18,31 @@ def multi_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows outside fold 1 of 3."""
+    labels = table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 3) != 1)
+    out = toxicity.score(table(spark, sf_dir, "documents"), labels, least=0.7)
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_toxic", "spans")
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality labels outside fold 0 of 5."""
+    return table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0)
+
+
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_qda.classify(table(spark, sf_dir, "documents"), training_labels(spark, sf_dir), least=0.3)
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *multi_vocabulary())
 
@@ -34,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op5_line_dedup, op8_source_mix, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxic_crf, op3_byte_bpe, op4_quality_qda, op5_line_dedup, op7_license_rules, op8_source_mix, op9_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
