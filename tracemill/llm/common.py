@@ -27,14 +27,32 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the session's checkpoint folder and goes on from there.
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Document order: id, null last, then a 128-bit key of the text; rows equal in both are one document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    id_ = F.col(id_col).cast("long")
+    return [id_.isNull().alias("d0"), F.coalesce(id_, F.lit(0)).alias("d1"), F.xxhash64(text).alias("d2"), F.xxhash64(F.lit(1), text).alias("d3")]
+
+
+#: Names of the columns of row_key().
+KEY = ["d0", "d1", "d2", "d3"]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
     A folder of our own is used only where the session names none, as in local tests.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and goes on from there, so that a lost executor costs no more than what follows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

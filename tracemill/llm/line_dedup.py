@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SPACE_CLASS, checkpointed
+from tracemill.llm.common import KEY, checkpointed, row_key
 
 WINDOW = 3
 
@@ -14,19 +14,9 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
-def _row_key(id_col: str, text_col: str) -> list[Column]:
-    """Document order: id, null last, then a 128-bit key of the text; rows equal in both are one document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    id_ = F.col(id_col).cast("long")
-    return [id_.isNull().alias("d0"), F.coalesce(id_, F.lit(0)).alias("d1"), F.xxhash64(text).alias("d2"), F.xxhash64(F.lit(1), text).alias("d3")]
-
-
-KEY = ["d0", "d1", "d2", "d3"]
-
-
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """Key columns, h1, h2 and pos: a row for each run of `width` lines that has a word, hashed to 128 bits."""
-    rows = docs.select(*_row_key(id_col, text_col), _lines(text_col).alias("lines")).where(F.size("lines") >= width)
+    rows = docs.select(*row_key(id_col, text_col), _lines(text_col).alias("lines")).where(F.size("lines") >= width)
     # The line numbers in hashed order stay inside the row; only hashes and places are exploded.
     hashed = rows.select(*KEY, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")).alias("w"))).alias("hs"))
     one = F.posexplode(F.expr(f"transform(sequence(1, size(hs) - {width - 1}), i -> struct({', '.join(f'hs[i + {k - 1}] as l{k}' for k in range(width))}))")).alias("pos", "v")
@@ -60,7 +50,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of lines cut. An empty table gives an empty result.
     """
     cut = covered(docs, id_col, text_col, width).select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("drop").alias("__drop"))
-    keys = [c.alias(f"__r{i}") for i, c in enumerate(_row_key(id_col, text_col))]
+    keys = [c.alias(f"__r{i}") for i, c in enumerate(row_key(id_col, text_col))]
     rows = docs.select("*", *keys).join(cut, F.expr(" and ".join(f"__r{i} = __d{i}" for i in range(4))), "left")
     lines = _lines(text_col)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, license_rules, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity
+from tracemill.llm import bpe, license_rules, line_dedup, mixing, pii, pivot_search, quality_qda, quality_rules, simhash, toxicity
 from tracemill.llm.common import crc_bucket, table
 
 
@@ -25,6 +25,10 @@ def op1_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_toxic", "spans")
 
 
+def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality labels outside fold 0 of 5."""
     return table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0)
@@ -35,6 +39,10 @@ def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.digests(table(spark, sf_dir, "documents"))
 
@@ -59,9 +67,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxic_crf, op3_byte_bpe, op4_quality_qda, op5_line_dedup, op7_license_rules, op8_source_mix, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxic_crf, op2_pivot_search, op3_byte_bpe, op4_quality_qda, op5_line_dedup, op6_pii, op7_license_rules, op8_source_mix, op9_quality_rules, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_pivot_search": pivot_search.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}

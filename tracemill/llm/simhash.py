@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import checkpointed, slices
+from tracemill.llm.common import KEY, checkpointed, row_key, slices
 from tracemill.llm.graph import connected_components
 
 BITS, RADIUS, BLOCKS = 64, 3, 4
@@ -53,8 +53,8 @@ def fingerprint_batch(texts: list[str | None], width: int = 3) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id long and fp long (the fingerprint's bits as a signed number), a row per row of docs."""
+def _fingerprinted(rows: DataFrame, width: int) -> DataFrame:
+    """rows with the column `text` replaced by fp, its fingerprint's bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -62,9 +62,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for b in slices(batches, "text", 2 << 20):
             fp = np.array(fingerprint_batch(b.column("text").to_pylist(), width), dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            names = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(fp)], names=[*names, "fp"])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join([*kept, "fp bigint"]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """doc_id long and fp long (the fingerprint's bits as a signed number), a row per row of docs."""
+    return _fingerprinted(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width)
 
 
 class BKTree:
@@ -207,3 +214,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(of_root, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tree_size: int = 2048) -> DataFrame:
+    """One row of docs for each component of near_duplicates(), that with the smallest id; all columns as they are.
+
+    Of rows that share that id the one with the smallest key of its text stays, and one of
+    rows equal in both. A row with a null id stays only where its component has no other.
+    Other cases are as in near_duplicates().
+    """
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    fps = checkpointed(_fingerprinted(rows, width))
+    least = fps.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("least"))
+    roots = connected_components(shard_links(least.select("fp"), tree_size)).select(F.col("node").alias("fp"), "root")
+    named = least.join(roots, "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
+    heads = named.groupBy("root").agg(F.min("least").alias("head")).select(*[F.col(f"head.{k}").alias(f"__h{i}") for i, k in enumerate(KEY)])
+    keys = [c.alias(f"__r{i}") for i, c in enumerate(row_key(id_col, text_col))]
+    kept = docs.select("*", *keys).join(heads, F.expr(" and ".join(f"__r{i} = __h{i}" for i in range(4))), "left_semi")
+    return kept.dropDuplicates([f"__r{i}" for i in range(4)]).select(*[F.col(f"`{c}`") for c in docs.columns])
