@@ -30,11 +30,11 @@ CHAIN = 48
 
 def forms(word: str) -> list[str]:
     n = len(word)
-    return ["w" + word] + [f"p{word[:k]}" for k in (3, 4, 5, 6) if n > k]
+    return ["w" + word] + [f"p{word[:k]}" for k in range(3, 9) if n > k]
 
 
-#: Hashed features of a word: itself, four beginnings, two endings, its length (in UTF-8 bytes).
-WIDTH = 8
+#: Hashed features of a word: itself, five beginnings, two endings, its length (in UTF-8 bytes).
+WIDTH = 9
 
 
 def features(words: Iterable[str]):
@@ -45,7 +45,7 @@ def features(words: Iterable[str]):
     flat: list[int] = []
     for w in words:
         b = w.encode("utf-8", "surrogatepass")
-        flat += (crc(b, 1), crc(b[:3], 3), crc(b[:4], 4), crc(b[:5], 5), crc(b[:6], 6), crc(b[-3:], 7), crc(b[-4:], 8), min(len(b), 20))
+        flat += (crc(b, 1), crc(b[:3], 3), crc(b[:4], 4), crc(b[:5], 5), crc(b[:6], 6), crc(b[:8], 9), crc(b[-3:], 7), crc(b[-4:], 8), min(len(b), 20))
     return np.array(flat, dtype=np.int64).reshape(-1, WIDTH) % SLOTS
 
 
@@ -122,11 +122,18 @@ def lexicon(docs: list[tuple[set[str], int]]) -> set[str]:
     p = n[1] / sum(n)
     # A form of fewer than four documents can't pass, so it doesn't count as tried.
     tries = math.log(sum(a + count[0][f] >= 4 for f, a in count[1].items()) + 1) + 1
-    out = set()
+    out, families = set(), set()
     for f, a in count[1].items():
         b = count[0][f]
         q = (a + 0.01) / (a + b + 0.02)
-        if q > 0.9 and a >= 4 and a * math.log(q / p) + b * math.log((1 - q) / (1 - p)) > tries:
+        if a >= 4 and q > 0.5 and a * math.log(q / p) + b * math.log((1 - q) / (1 - p)) > tries:
+            if q > 0.9:
+                out.add(f)
+            if len(f) > 4:
+                families.add(f)
+    # A beginning that many toxic words share is proof enough for the rarer ones among them.
+    for f, a in count[1].items():
+        if f[0] == "w" and a >= 3 and a > 3 * count[0][f] and any(x in families for x in forms(f[1:])[1:]):
             out.add(f)
     return out
 
@@ -136,17 +143,24 @@ class Crf:
     weights: object  # one for each hashed feature
     bias: float
     trans: list[list[float]]
-    calibration: tuple[float, float, float]
+    calibration: tuple[float, float, float, float]
 
     def emissions(self, words: list[str]) -> list[float]:
         return (self.bias + self.weights[features(words)].sum(axis=1)).tolist()
 
-    def score(self, top, total):
-        """Probability that a document is toxic, from its highest token log odds and its expected number of toxic tokens."""
+    def score(self, top, total, n_words):
+        """Probability that a document is toxic; see evidence()."""
         import numpy as np
 
-        c, a, b = self.calibration
-        return 1 / (1 + np.exp(-np.clip(c + a * np.clip(top, -8, 8) + b * np.log1p(total), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(evidence(top, total, n_words) @ np.array(self.calibration), -30, 30)))
+
+
+def evidence(top, total, n_words):
+    """Of each document a one, the highest token log odds, the logarithm of its expected toxic words, and, if there are any, of its length: a long text meets a toxic word's like by chance."""
+    import numpy as np
+
+    total = np.asarray(total, dtype=float)
+    return np.column_stack([np.ones(len(total)), np.clip(top, -8, 8), np.log1p(total), np.where(total > 0, np.log1p(n_words), 0.0)])
 
 
 def fit_crf(texts: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Crf:
@@ -206,16 +220,16 @@ def fit_crf(texts: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, d
             s2 += sgrad**2
             w[slots] -= rate * grad / np.sqrt(g2[slots])
             small -= rate * sgrad / np.sqrt(s2)
-    crf = Crf(w, float(small[0]), small[1:].reshape(2, 2).tolist(), (0.0, 0.0, 0.0))
+    crf = Crf(w, float(small[0]), small[1:].reshape(2, 2).tolist(), (0.0, 0.0, 0.0, 0.0))
     scorer = Scorer(crf)
     blocks = [[t for t, _ in texts[i : i + 50]] for i in range(0, len(texts), 50)]
-    x = np.array([r[:2] for b in blocks for r in scorer.documents(b)]).reshape(-1, 2)
+    x = np.array([r[:3] for b in blocks for r in scorer.documents(b)]).reshape(-1, 3)
     y = np.array([y for _, y in texts], dtype=float)
-    z = np.column_stack([np.ones(len(x)), np.clip(x[:, 0], -8, 8), np.log1p(x[:, 1])])
-    beta = np.zeros(3)
+    z = evidence(*x.T)
+    beta = np.zeros(z.shape[1])
     for _ in range(30 if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(3)
+        hess = (z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(beta))
         beta -= np.linalg.solve(hess, z.T @ (p - y) + 0.05 * beta)
     return Crf(w, crf.bias, crf.trans, tuple(map(float, beta)))
 
@@ -226,8 +240,8 @@ class Scorer:
     def __init__(self, crf: Crf, kept: int = 300_000) -> None:
         self.crf, self.kept, self.known = crf, kept, {}
 
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[float, float, list[tuple[int, int]]]]:
-        """Of each text the highest log odds, the expected number of toxic words, and the spans of toxic words."""
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[float, float, int, list[tuple[int, int]]]]:
+        """Of each text the highest log odds, the expected number of toxic words, the number of words and stops, and the spans of toxic words."""
         import numpy as np
 
         known = self.known
@@ -277,7 +291,7 @@ class Scorer:
                 if len(found) != len(flags):  # lower-casing changed the number of words
                     found = [m.span() for m in WORD.finditer(texts[d].lower())]
                 spans[d] = [s for s, f in zip(found, flags) if f]
-        return zip(top.tolist(), total.tolist(), spans)
+        return zip(top.tolist(), total.tolist(), counts, spans)
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[str, int]]:
@@ -310,8 +324,8 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, per_class: int
 
         scorer = Scorer(shared.value)
         for b in slices(batches, "text"):
-            top, total, spans = map(list, zip(*scorer.documents(b.column("text").to_pylist())))
-            s = scorer.crf.score(np.array(top), np.array(total))
+            top, total, n, spans = map(list, zip(*scorer.documents(b.column("text").to_pylist())))
+            s = scorer.crf.score(np.array(top), np.array(total), np.array(n))
             cols = [pa.array(s), pa.array((s >= least).astype("int32")), pa.array([len(x) for x in spans], pa.int64()), pa.array([",".join(f"{i}:{j}" for i, j in x) for x in spans], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "score", "predicted", "n_toxic", "spans"])
 
