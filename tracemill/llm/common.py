@@ -38,6 +38,14 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 KEY = ["d0", "d1", "d2", "d3"]
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A beginning of column names that no column of df has."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 

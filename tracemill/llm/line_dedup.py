@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import KEY, checkpointed, row_key
+from tracemill.llm.common import KEY, checkpointed, free_prefix, row_key
 
 WINDOW = 3
 
@@ -49,13 +49,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike. All columns of docs are kept, whatever their names; `removed_col` adds the number
     of lines cut. An empty table gives an empty result.
     """
-    cut = covered(docs, id_col, text_col, width).select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("drop").alias("__drop"))
-    keys = [c.alias(f"__r{i}") for i, c in enumerate(row_key(id_col, text_col))]
-    rows = docs.select("*", *keys).join(cut, F.expr(" and ".join(f"__r{i} = __d{i}" for i in range(4))), "left")
-    lines = _lines(text_col)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))
+    p = free_prefix(docs)
+    cut = covered(docs, id_col, text_col, width).select(*[F.col(k).alias(p + k) for k in KEY], F.col("drop").alias(f"{p}drop"))
+    keys = [c.alias(f"{p}r{i}") for i, c in enumerate(row_key(id_col, text_col))]
+    rows = docs.select("*", *keys).join(cut, F.expr(" and ".join(f"{p}r{i} = {p}d{i}" for i in range(4))), "left")
+    lines, drop = _lines(text_col), F.col(f"{p}drop")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    text = F.when(drop.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    out = rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))
     return out
 
 

@@ -10,11 +10,11 @@ by the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracemill.llm.common import SPACE_CLASS, checkpointed
+from tracemill.llm.common import checkpointed, free_prefix
 
 #: 2**32 over the golden ratio; i * GOLDEN mod 2**32 visits every 32-bit point once.
 GOLDEN, TURN = 2654435769, 1 << 32
@@ -64,7 +64,7 @@ def _streams(sized: DataFrame, buckets: int) -> DataFrame:
     return rows.join(b, F.expr("source <=> s and bucket = k")).withColumn("stop", F.col("before") + F.col("inside")).drop("s", "k", "before", "inside", "bucket")
 
 
-def schedule(spark, targets: list[tuple[int, float]], block: int, run: int = 1 << 16) -> DataFrame:
+def schedule(spark: SparkSession, targets: list[tuple[int, float]], block: int, run: int = 1 << 16) -> DataFrame:
     """slot, sid, rank (from 0): which source each slot holds and how many slots of it stand before.
 
     targets has (source number, words). Ranks are counted in runs of slots first, so that
@@ -132,7 +132,8 @@ def mixed_documents(docs: DataFrame, block: int = 128, id_col: str = "doc_id", t
     """
     m = mix(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col)
     times = m.where("size > 0").groupBy("doc_id", "source", "spot").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
-    times = times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("spot").alias("__spot"), F.col("times").alias("__times"))
+    p = free_prefix(docs)
+    times = times.select(F.col("doc_id").alias(f"{p}id"), F.col("source").alias(f"{p}source"), F.col("spot").alias(f"{p}spot"), F.col("times").alias(f"{p}times"))
     spot = F.xxhash64(F.lit(8), F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.withColumn("__key", spot).join(times, F.expr(f"__key = __spot and `{id_col}` <=> __id and `{source_col}` <=> __source"))
-    return rows.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(f"{p}key", spot).join(times, F.expr(f"{p}key = {p}spot and `{id_col}` <=> {p}id and `{source_col}` <=> {p}source"))
+    return rows.withColumn(f"{p}copy", F.explode(F.expr(f"sequence(1, {p}times)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import KEY, checkpointed, row_key, slices
+from tracemill.llm.common import KEY, checkpointed, free_prefix, row_key, slices
 from tracemill.llm.graph import connected_components
 
 BITS, RADIUS, BLOCKS = 64, 3, 4
@@ -223,12 +223,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows equal in both. A row with a null id stays only where its component has no other.
     Other cases are as in near_duplicates().
     """
+    p = free_prefix(docs)
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     fps = checkpointed(_fingerprinted(rows, width))
     least = fps.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("least"))
     roots = connected_components(shard_links(least.select("fp"), tree_size)).select(F.col("node").alias("fp"), "root")
     named = least.join(roots, "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("head")).select(*[F.col(f"head.{k}").alias(f"__h{i}") for i, k in enumerate(KEY)])
-    keys = [c.alias(f"__r{i}") for i, c in enumerate(row_key(id_col, text_col))]
-    kept = docs.select("*", *keys).join(heads, F.expr(" and ".join(f"__r{i} = __h{i}" for i in range(4))), "left_semi")
-    return kept.dropDuplicates([f"__r{i}" for i in range(4)]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    heads = named.groupBy("root").agg(F.min("least").alias("head")).select(*[F.col(f"head.{k}").alias(f"{p}h{i}") for i, k in enumerate(KEY)])
+    keys = [c.alias(f"{p}r{i}") for i, c in enumerate(row_key(id_col, text_col))]
+    kept = docs.select("*", *keys).join(heads, F.expr(" and ".join(f"{p}r{i} = {p}h{i}" for i in range(4))), "left_semi")
+    return kept.dropDuplicates([f"{p}r{i}" for i in range(4)]).select(*[F.col(f"`{c}`") for c in docs.columns])
