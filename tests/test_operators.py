@@ -278,3 +278,47 @@ def test_query_matches_its_sql(spark, name):
     cols = rel.columns
     assert sorted(cols) == sorted(df.columns)
     assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(r)) for r in rel.fetchall())
+
+
+def test_markers_and_children(spark):
+    from tracemill.operators import sessions
+
+    at = lambda m: dt.datetime(2025, 1, 1, 10, m) if m is not None else None
+    steps = spark.createDataFrame([("s", i, at(m)) for i, m in enumerate([0, 5, None, 9, 20])], "session_id string, step_idx int, ts timestamp")
+    marks = spark.createDataFrame([("s", 0, at(2)), ("s", 1, at(1)), ("s", 2, at(8)), ("s", 3, None), ("s", 4, at(3))], "session_id string, marker_idx int, ts timestamp")
+    got = [(r.kind, r.key) for r in sessions.interleave(steps, marks).orderBy("place").collect()]
+    assert got == [("step", 0), ("marker", 0), ("marker", 1), ("step", 1), ("step", 2), ("marker", 2), ("step", 3), ("step", 4), ("marker", 3), ("marker", 4)]
+    kids = spark.createDataFrame([("k1", "s", at(6), None), ("k2", "s", at(6), 0), ("k3", "s", dt.datetime(2024, 1, 1), None)], "session_id string, parent_id string, created_at timestamp, spawn_step int")
+    assert {r.session_id: r.step_idx for r in sessions.place_children(kids, steps).collect()} == {"k1": 1, "k2": 0, "k3": None}
+
+
+def test_chains_with_a_loop(spark):
+    from tracemill.operators import sessions
+
+    links = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x")], "session_id string, prev_id string")
+    assert {r.session_id: r.head for r in sessions.chains(links, rounds=6).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "y"}
+    lines = spark.createDataFrame([("f", "a", 0), ("f", "b", 1), ("g", "c", 0)], "file string, session_id string, pos int")
+    assert {(r.session_id, r.prev_id, r.next_id) for r in sessions.continuations(lines).collect()} == {("b", "a", None), ("a", None, "b")}
+
+
+def test_spawned_and_visible(spark):
+    from tracemill.operators import refs, sessions
+
+    calls = spark.createDataFrame([("s", "c1", 4)], "session_id string, call_id string, step_idx int")
+    results = spark.createDataFrame([("s", "c1", "done. agentId: ab12"), ("s", "c2", "nothing")], "session_id string, call_id string, content string")
+    named = sessions.spawned(calls, results)
+    assert [tuple(r) for r in named.collect()] == [("s", "ab12", "c1", 4)]
+    found = spark.createDataFrame([("zz", False), ("yy", True)], "agent_id string, is_compaction boolean")
+    lost, alone = sessions.unmatched_agents(named, found)
+    assert [r.agent_id for r in lost.collect()] == ["ab12"] and [r.agent_id for r in alone.collect()] == ["zz"]
+    own = spark.createDataFrame([("a", "t1"), ("b", None), ("c", "t2")], "session_id string, token string")
+    ex = spark.createDataFrame([("a", None), ("e", None)], "session_id string, token string")
+    assert {(r.session_id, r.token) for r in sessions.visible(own, ex, "t1").collect()} == {("a", "t1"), ("b", None), ("e", None)}
+    r = spark.createDataFrame([("s", 0, 2), ("s", 1, 1), ("s", 9, 2), ("s", 1, 8)], "session_id string, start int, end int")
+    ids = spark.createDataFrame([("s", {0: "x", 1: "y", 2: "z"})], "session_id string, step_ids map<int,string>")
+    assert sorted((x.start_id, x.end_id or "") for x in refs.resolve(r, ids).collect()) == [("x", "z"), ("y", ""), ("y", "")]
+    rows = spark.createDataFrame([("m", ["p", "q"]), ("n", ["q"])], "id string, kinds array<string>")
+    assert {x.id: x.kinds for x in refs.keep_known(rows, "kinds", spark.createDataFrame([("p",)], "k string"), "k").collect()} == {"m": ["p"]}
+    final = spark.createDataFrame([("t", ["a"])], "k string, refs array<string>")
+    drafts = spark.createDataFrame([("t", ["b", "c"]), ("t", ["d", "e"])], "k string, refs array<string>")
+    assert refs.back_fill(final, drafts, "k").first().refs == ["b", "c", "d"]
