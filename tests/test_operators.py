@@ -322,3 +322,11 @@ def test_spawned_and_visible(spark):
     final = spark.createDataFrame([("t", ["a"])], "k string, refs array<string>")
     drafts = spark.createDataFrame([("t", ["b", "c"]), ("t", ["d", "e"])], "k string, refs array<string>")
     assert refs.back_fill(final, drafts, "k").first().refs == ["b", "c", "d"]
+
+
+def test_steps_without_time_count_on_the_first_day(spark):
+    at = lambda d: dt.datetime(2025, 1, d, 12)
+    rows = [("s", 0, None, 1), ("s", 1, at(5), 2), ("s", 2, at(4), 3), ("s", 3, None, 4), ("t", 0, None, 5)]
+    df = spark.createDataFrame(rows, "session_id string, step_idx int, ts timestamp, prompt_tokens long").withColumns({"completion_tokens": F.lit(0), "cost_usd": F.lit(None).cast("double")})
+    got = {(r.session_id, r.day): (r.messages, r.tokens) for r in dashboard.session_days(df).collect()}
+    assert got == {("s", "2025-01-05"): (3, 7), ("s", "2025-01-04"): (1, 3), ("t", None): (1, 5)}

@@ -14,13 +14,16 @@ NO_PROJECT, UNKNOWN = "(no project)", "unknown"
 def session_days(steps: DataFrame) -> DataFrame:
     """session_id, day, messages, tokens, cost_usd: the daily breakdown of each session.
 
-    A step without a time counts on the day of the session's first timed step.
+    A step without a time counts on the day of the session's first timed step. Steps are
+    summed by day first, so that only sums are shuffled.
     """
-    first = W.partitionBy("session_id")
-    day = F.date_format(F.coalesce("ts", F.min("ts").over(first)), "yyyy-MM-dd")
-    return steps.withColumn("day", day).groupBy("session_id", "day").agg(
-        F.count("*").alias("messages"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.sum("cost_usd").alias("cost_usd")
+    timed = F.when(F.col("ts").isNotNull(), F.struct("step_idx", "ts"))
+    g = steps.groupBy("session_id", F.date_format("ts", "yyyy-MM-dd").alias("d")).agg(
+        F.count("*").alias("messages"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.sum("cost_usd").alias("cost_usd"), F.min(timed).alias("first")
     )
+    began = F.date_format(F.min("first").over(W.partitionBy("session_id")).getField("ts"), "yyyy-MM-dd")
+    g = g.withColumn("day", F.coalesce("d", began))
+    return g.groupBy("session_id", "day").agg(*[F.sum(c).alias(c) for c in ("messages", "tokens", "cost_usd")])
 
 
 def rollup(steps: DataFrame) -> DataFrame:

@@ -244,17 +244,29 @@ def edges_sequential(spark, d):
     return edges.sequential(c, strong)
 
 
-@query()
+#: Call by call with the list of calls that are taken.
+RETRY_SQL = CALLS_SQL + """,
+ar AS (SELECT session_id, list(tool_name ORDER BY idx) AS t, list(is_error ORDER BY idx) AS e, list(call_id ORDER BY idx) AS ids FROM c GROUP BY 1),
+rs AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS j FROM ar UNION ALL
+  SELECT session_id, i + 1, CASE WHEN nj IS NULL THEN taken ELSE list_append(taken, nj) END, nj FROM (SELECT rs.session_id, i, taken, len(t) AS n,
+    CASE WHEN e[i + 1] AND NOT list_contains(taken, i + 1) THEN list_filter(range(i + 2, least(i + 8, len(t) + 1)), lambda k: t[k] = t[i + 1] AND NOT list_contains(taken, k))[1] END AS nj
+    FROM rs JOIN ar ON rs.session_id = ar.session_id) WHERE i < n),
+er AS (SELECT rs.session_id, ids[i] AS source_id, ids[j] AS target_id, 'error_retry' AS relation, '' AS resource FROM rs JOIN ar ON rs.session_id = ar.session_id WHERE j IS NOT NULL),
+a2 AS (SELECT * FROM al UNION ALL SELECT * FROM er),
+gr AS (SELECT * FROM a2 UNION ALL SELECT session_id, source_id, target_id, 'sequential', '' FROM lg WHERE source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a2 WHERE a2.session_id = lg.session_id AND a2.target_id = lg.target_id))"""
+
+
+@query(f"WITH RECURSIVE {RETRY_SQL} SELECT * FROM er")
 def edges_error_retry(spark, d):
     return edges.error_retry(edges.numbered(steps(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {RETRY_SQL} SELECT * FROM gr")
 def tool_graph(spark, d):
     return edges.all_edges(edges.numbered(steps(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {RETRY_SQL} SELECT session_id, call_id FROM c WHERE NOT EXISTS (SELECT 1 FROM gr WHERE gr.session_id = c.session_id AND gr.target_id = c.call_id)")
 def tool_graph_roots(spark, d):
     c = edges.numbered(steps(spark, d))
     return edges.roots(c, edges.all_edges(c))

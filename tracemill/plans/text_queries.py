@@ -82,18 +82,23 @@ def context_parts(spark, d):
     return context.split_oversized(_contexts(spark, d), 300)
 
 
-@query(f"""WITH {STEPS_SQL}, s AS (SELECT session_id, count(*) AS steps, max(ts) AS u FROM st GROUP BY 1), e AS (SELECT s.*, coalesce(project, '') AS p FROM s JOIN se USING (session_id) WHERE steps >= 10),
-n AS (SELECT p, count(*) AS k FROM e GROUP BY 1)
-SELECT session_id, round(0.4 * exp(-greatest((epoch(TIMESTAMP '{NOW}') - floor(epoch(u))) / 86400.0, 0) / 30) + 0.3 * CAST(least(steps, 200) AS DOUBLE) / (SELECT max(least(steps, 200)) FROM e) + 0.3 / k, 4) AS score FROM e JOIN n USING (p)""")
+SCORES_SQL = f"""{STEPS_SQL}, s AS (SELECT session_id, count(*) AS steps, max(ts) AS u FROM st GROUP BY 1), e AS (SELECT s.*, coalesce(project, '') AS p FROM s JOIN se USING (session_id) WHERE steps >= 10),
+n AS (SELECT p, count(*) AS k FROM e GROUP BY 1),
+sc AS (SELECT session_id, steps * 100 AS size, 0.4 * exp(-greatest((epoch(TIMESTAMP '{NOW}') - floor(epoch(u))) / 86400.0, 0) / 30) + 0.3 * CAST(least(steps, 200) AS DOUBLE) / (SELECT max(least(steps, 200)) FROM e) + 0.3 / k AS score FROM e JOIN n USING (p))"""
+
+
+@query(f"WITH {SCORES_SQL} SELECT session_id, round(score, 4) AS score FROM sc")
 def sample_scores(spark, d):
     s = steps(spark, d).groupBy("session_id").agg(F.count("*").alias("steps"), F.max("ts").alias("updated_at")).join(sessions_of(spark, d), "session_id")
     return context.sampling_scores(s.withColumn("size", F.col("steps") * 100), NOW).select("session_id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORES_SQL}, rk AS (SELECT row_number() OVER (ORDER BY score DESC, session_id) AS i, session_id, size FROM sc),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(200000 AS BIGINT) AS l, false AS t UNION ALL SELECT f.i + 1, CASE WHEN size <= l THEN l - size ELSE l END, size <= l FROM f JOIN rk ON rk.i = f.i + 1)
+SELECT session_id, size FROM rk JOIN f ON rk.i = f.i WHERE t""")
 def sampled_sessions(spark, d):
     s = steps(spark, d).groupBy("session_id").agg(F.count("*").alias("steps"), F.max("ts").alias("updated_at")).join(sessions_of(spark, d), "session_id")
-    return context.sample(context.sampling_scores(s.withColumn("size", F.col("steps") * 100), NOW), 50_000)
+    return context.sample(context.sampling_scores(s.withColumn("size", F.col("steps") * 100), NOW), 50_000).select("session_id", "size")
 
 
 @query()
