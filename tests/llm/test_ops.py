@@ -559,3 +559,18 @@ def test_query_matches_its_sql(spark, name):
     rel = con.sql(queries.oracle_sql()[name])
     assert sorted(rel.columns) == sorted(df.columns)
     assert Counter(tuple(r[c] for c in rel.columns) for r in df.collect()) == Counter(rel.fetchall())
+
+
+def test_crowded_parts_lose_no_link(spark):
+    r = random.Random(11)
+    centre, fps = r.getrandbits(64), set()
+    while len(fps) < 90:
+        x = centre
+        for _ in range(r.randint(1, 4)):
+            x ^= 1 << r.randrange(64)
+        fps.add(x)
+    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    want = Counter(c for *_, c in brute_components([(k, x) for k, x in enumerate(sorted(fps))]).elements())
+    roots = {x.node: x.root for x in graph.connected_components(simhash.shard_links(df, 7, 11)).collect()}
+    got = Counter(roots.get(x.fp, x.fp) for x in df.collect())
+    assert sorted(got.values()) == sorted(want.values())

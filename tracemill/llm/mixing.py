@@ -89,7 +89,7 @@ def schedule(spark: SparkSession, targets: list[tuple[int, float]], block: int,
     return s.withColumn("inside", inside).join(before, ["sid", "run"]).select("slot", "sid", (F.col("before") + F.col("inside")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 128, max_sources: int = 50_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 128, max_sources: int = 5_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, spot, size, source_size, target, taken: a row per row of docs.
 
     size counts words (null and empty texts: 0), taken the words that the mix takes of the

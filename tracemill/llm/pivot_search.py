@@ -174,11 +174,23 @@ def _visits(queries: DataFrame, stats, model, first: int, second: bool) -> DataF
     return queries.mapInArrow(run, "query_id long, q array<long>, dim int, pivot int, ring int")
 
 
-def _search(visits: DataFrame, blocks: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: of each block visited its k best for each query that visits it."""
+def _search(visits: DataFrame, index: DataFrame, rows: dict[tuple[int, int, int], int], k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: of each block visited its k best for each query that visits it.
+
+    rows has the number of vectors of each ring. A ring's vectors are dealt over blocks and
+    its visitors over parts, both of bounded size; each part meets each block.
+    """
     import pandas as pd
 
-    asked = visits.join(F.broadcast(sizes), ["dim", "pivot", "ring"]).select("dim", "pivot", "ring", "query_id", "q", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    cells = ["dim", "pivot", "ring"]
+    visits = checkpointed(visits)
+    seen = visits.groupBy(*cells).count().collect()  # a row for each ring at most
+    spark = visits.sparkSession
+    sizes = F.broadcast(spark.createDataFrame([(r.dim, r.pivot, r.ring, -(-rows[r.dim, r.pivot, r.ring] // block), -(-r["count"] // block)) for r in seen], "dim int, pivot int, ring int, blocks int, parts int"))
+    part = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part")
+    asked = visits.join(sizes, cells).select(*cells, "query_id", "q", part, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    own = F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias("block")
+    blocks = index.join(sizes, cells).select(*cells, "vec_id", "v", own, F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -196,7 +208,7 @@ def _search(visits: DataFrame, blocks: DataFrame, sizes: DataFrame, k: int) -> D
                     out[2] += v.tolist()
         return pd.DataFrame({"query_id": np.array(out[0], dtype="int64"), "vec_id": np.array(out[1], dtype="int64"), "score": np.array(out[2], dtype="int64")})
 
-    keys = ["dim", "pivot", "ring", "block"]
+    keys = [*cells, "block", "part"]
     return asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
@@ -219,19 +231,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = 32, r
     model = fit_pivots(fitted, pivots, rings)
     index = _index(rows, model)
     cells = ["dim", "pivot", "ring"]
-    per = index.groupBy(*cells).agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm2").alias("norm2"), F.count("*").alias("n"))
-    per = per.select(*cells, "low", "high", "norm2", F.ceil(F.col("n") / block).cast("int").alias("blocks")).orderBy(*cells).collect()
+    per = index.groupBy(*cells).agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm2").alias("norm2"), F.count("*").alias("n")).orderBy(*cells).collect()
     stats = {d: tuple(np.array(c) for c in zip(*[(r.pivot, r.ring, r.low, r.high, r.norm2) for r in per if r.dim == d])) for d in {r.dim for r in per}}
-    spark = vectors.sparkSession
-    sizes = spark.createDataFrame([(r.dim, r.pivot, r.ring, r.blocks) for r in per], "dim int, pivot int, ring int, blocks int")
-    dealt = index.join(F.broadcast(sizes), cells).select(*cells, "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias("block"))
+    rows_of = {(r.dim, r.pivot, r.ring): r.n for r in per}
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     queries = checkpointed(queries.withColumn("least", F.lit(None).cast("double")))
-    one = checkpointed(_search(_visits(queries, stats, model, first, False), dealt, sizes, k))
+    one = checkpointed(_search(_visits(queries, stats, model, first, False), index, rows_of, k, block))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
-    two = _search(_visits(queries.drop("least").join(kth, "query_id", "left"), stats, model, first, True), dealt, sizes, k)
+    two = _search(_visits(queries.drop("least").join(kth, "query_id", "left"), stats, model, first, True), index, rows_of, k, block)
     return one.unionByName(two).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -148,53 +148,51 @@ def tree_links(members: list[int], asked: list[int], radius: int = RADIUS) -> li
     return out
 
 
-def shard_links(fps: DataFrame, tree_size: int = 2048) -> DataFrame:
+def shard_links(fps: DataFrame, tree_size: int = 2048, asked_size: int = 8192) -> DataFrame:
     """Links a, b (long) between the distinct values of fps.fp, enough of them to join all that lie within the radius.
 
-    Shards of more than tree_size fingerprints are dealt over several trees by a hash,
-    and each of their fingerprints goes to every tree of the shard.
+    A shard of more than tree_size fingerprints is dealt over several trees by a hash, and
+    each of its fingerprints is looked up in every tree of the shard. Lookups are dealt over
+    parts of about asked_size, each of which has the tree to itself, so that no group is
+    larger than the two sizes together however crowded a shard is.
     """
     block = F.expr("shiftrightunsigned(fp, CAST(16 * k AS INT)) & 65535")
     keyed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("k")).withColumn("shard", F.col("k") * 65536 + block)
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    spread = keyed.select("fp", "shard").join(sizes, "shard").withColumn("trees", F.ceil(F.col("n") / tree_size).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    asked = spread.select("shard", "fp", own.alias("own"), F.explode(F.expr("sequence(0, trees - 1)")).alias("tree"))
-    asked = asked.select("shard", "tree", "fp", (F.col("own") == F.col("tree")).alias("member"))
+    spread = keyed.select("fp", "shard").join(sizes, "shard").withColumn("trees", F.ceil(F.col("n") / tree_size).cast("int")).withColumn("parts", F.ceil(F.col("n") / asked_size).cast("int"))
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("parts")).cast("int"))
+    places = F.expr("""concat(transform(sequence(0, trees - 1), t -> struct(t AS tree, part AS part, t = own AS member, true AS asked)),
+        transform(filter(sequence(0, parts - 1), p -> p <> part), p -> struct(own AS tree, p AS part, true AS member, false AS asked)))""")
+    asked = spread.select("shard", "fp", F.explode(places).alias("at")).select("shard", "at.tree", "at.part", "fp", "at.member", "at.asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
-        def links(key: np.ndarray, fp: np.ndarray, member: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(key)) + 1
+        def links(key: np.ndarray, fp: np.ndarray, member: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1
             found: list[tuple[int, int]] = []
-            for f, m in zip(np.split(fp, cuts), np.split(member, cuts)):
-                found += tree_links(f[m].tolist(), f.tolist())
+            for f, m, q in zip(*(np.split(x, cuts) for x in (fp, member, asked))):
+                found += tree_links(f[m].tolist(), f[q].tolist())
             a = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.asarray(b.column("shard"), dtype=np.int64) * (1 << 32) + np.asarray(b.column("tree"), dtype=np.int64)
-            fp = np.asarray(b.column("fp"), dtype=np.int64).view(np.uint64)
-            member = b.column("member").to_numpy(zero_copy_only=False)
+            key = np.column_stack([np.asarray(b.column(c), dtype=np.int64) for c in ("shard", "tree", "part")])
+            now = [key, np.asarray(b.column("fp"), dtype=np.int64).view(np.uint64), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("member", "asked"))]
+            held = [np.concatenate(x) for x in zip(held, now)] if held else now
             # The last group of a batch may go on in the next one.
-            last = int(np.searchsorted(key, key[-1], side="left"))
-            if last or (held and held[-1][0][-1] != key[0]):
-                first = int(np.searchsorted(key, key[0], side="right")) if held and held[-1][0][-1] == key[0] else 0
-                done = [*held, (key[: max(first, last)], fp[: max(first, last)], member[: max(first, last)])]
-                yield from links(*(np.concatenate(x) for x in zip(*done)))
-                key, fp, member = (x[max(first, last) :] for x in (key, fp, member))
-                held = []
-            if len(key):
-                held.append((key, fp, member))
+            last = len(held[0]) - int(np.argmin((held[0] == held[0][-1]).all(axis=1)[::-1])) if (held[0] != held[0][-1]).any() else 0
+            if last:
+                yield from links(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
         if held:
-            yield from links(*(np.concatenate(x) for x in zip(*held)))
+            yield from links(*held)
 
-    dealt = asked.repartition("shard", "tree").sortWithinPartitions("shard", "tree")
+    dealt = asked.repartition("shard", "tree", "part").sortWithinPartitions("shard", "tree", "part")
     return dealt.mapInArrow(run, "a long, b long")
 
 
