@@ -330,3 +330,32 @@ def test_steps_without_time_count_on_the_first_day(spark):
     df = spark.createDataFrame(rows, "session_id string, step_idx int, ts timestamp, prompt_tokens long").withColumns({"completion_tokens": F.lit(0), "cost_usd": F.lit(None).cast("double")})
     got = {(r.session_id, r.day): (r.messages, r.tokens) for r in dashboard.session_days(df).collect()}
     assert got == {("s", "2025-01-05"): (3, 7), ("s", "2025-01-04"): (1, 3), ("t", None): (1, 5)}
+
+
+def test_report(spark):
+    import json
+
+    from tracemill.operators import report
+
+    contexts = spark.createDataFrame([("a", "[step_id=0] USER: x"), ("b", "[step_id=0] USER: fail")], "session_id string, context string")
+    sess = spark.createDataFrame([("a", "p", dt.datetime(2025, 1, 1)), ("b", "q", dt.datetime(2025, 1, 1))], "session_id string, project string, created_at timestamp")
+    steps = spark.createDataFrame([("a", 0), ("a", 1)], "session_id string, step_idx int")
+
+    def backend(text):
+        if "fail" in text:
+            raise ValueError("no")
+        return "```json\n" + json.dumps([{"title": "t", "severity": 9, "refs": [{"session_id": "a", "start": 1, "end": 1}, {"session_id": "a", "start": 7}]}, {"title": "u", "refs": [{"session_id": "z", "start": 0}]}]) + "\n```"
+
+    got = report.analyse(contexts, sess, steps, backend).collect()
+    assert [(r.title, r.severity, [tuple(x) for x in r.refs]) for r in got] == [("t", 5, [("a", 1, 1)])]
+    with pytest.raises(RuntimeError):
+        report.analyse(contexts.where("session_id = 'b'"), sess, steps, backend)
+
+
+def test_tagged_times_and_spread_totals(spark):
+    df = spark.createDataFrame([("<timestamp>Sunday, Apr 26, 2026, 9:53 PM (UTC-4)</timestamp>\nhi",), ("none",)], "t string").select(times.tagged(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == [dt.datetime(2026, 4, 26, 21, 53), None]
+    at = lambda d: dt.datetime(2025, 1, d)
+    steps = spark.createDataFrame([("s", at(1)), ("s", at(1)), ("s", at(2)), ("s", None)], "session_id string, ts timestamp")
+    got = dashboard.spread_totals(spark.createDataFrame([("s", 100, 3.0)], "session_id string, tokens long, cost_usd double"), steps).orderBy("day").collect()
+    assert [(r.messages, r.tokens, round(r.cost_usd, 6)) for r in got] == [(2, 66, 2.0), (1, 33, 1.0)]

@@ -243,3 +243,13 @@ def test_unknown_agent_and_archives(spark):
         z.writestr("../b.jsonl", "{}")
     with pytest.raises(ValueError):
         sources.unzip(data.getvalue())
+
+
+def test_codex_fork_leaves_out_its_parents_history(spark, tmp_path):
+    e = lambda i, kind, **payload: {"timestamp": T(i), "type": kind, "payload": payload}
+    say = lambda i, role, text: e(i, "response_item", type="message", role=role, content=[{"type": "input_text", "text": text}])
+    put(tmp_path / "rollout-2.jsonl", e(0, "session_meta", id="kid", forked_from_id="mum"), say(1, "user", "old"), say(2, "developer", "<model_switch> now"), say(3, "user", "new"))
+    put(tmp_path / "rollout-3.jsonl", e(0, "session_meta", id="free"), say(1, "user", "a"), say(2, "developer", "<model_switch> x"))
+    p = sources.read(spark, "codex", str(tmp_path))
+    assert steps(p) == [("free", "user", "a"), ("free", "system", "<model_switch> x"), ("kid", "user", "new")]
+    assert {r.session_id: r.parent_id for r in p.sessions.collect()} == {"kid": "mum", "free": None}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +68,10 @@ def canonical_model(raw: Column) -> Column:
     name = F.regexp_replace(name, "^(?:models/|accounts/[^/]+/models/)", "")
     name = F.regexp_replace(name, "^(?:[a-z0-9._-]+[/:])+", "")
     name = F.regexp_replace(name, "^(claude-[a-z]+-\\d+)\\.(\\d+)(?=$|[^0-9])", "$1-$2")
-    out = None
-    for c in CANONICAL:
-        fits = name.startswith(c) & ~F.regexp_like(F.substr(name, F.lit(len(c) + 1)), F.lit("^\\.[0-9]"))
-        out = (F.when if out is None else out.when)(fits, RENAMED.get(c, c))
-    return out
+    # Alternatives are tried in their order, and one that a finer version follows gives way to the next.
+    found = F.regexp_extract(name, "^(" + "|".join(re.escape(c) for c in CANONICAL) + ")(?!\\.[0-9])", 1)
+    renamed = F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv])
+    return F.nullif(F.coalesce(F.try_element_at(renamed, found), found), F.lit(""))
 
 
 def real_model(model: Column) -> Column:

@@ -38,6 +38,13 @@ def parse_any(c: Column) -> Column:
     return F.when(number, from_epoch(c.try_cast("double"))).otherwise(parse_iso(c))
 
 
+def tagged(c: Column) -> Column:
+    """The time in a text's <timestamp> tag, such as `Sunday, Apr 26, 2026, 9:53 PM (UTC-4)`, without regard to its zone; null without one."""
+    inside = F.regexp_extract(c, "(?s)<timestamp>(.*?)</timestamp>", 1)
+    said = F.regexp_extract(inside, "([A-Z][a-z]{2}) [0-9]{1,2}, [0-9]{4}, [0-9]{1,2}:[0-9]{2} [AP]M", 0)
+    return F.try_to_timestamp(F.nullif(said, F.lit("")), F.lit("MMM d, yyyy, h:mm a"))
+
+
 def day(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd")
 

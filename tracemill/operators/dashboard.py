@@ -46,6 +46,17 @@ def rollup(steps: DataFrame) -> DataFrame:
     )
 
 
+def spread_totals(totals: DataFrame, steps: DataFrame) -> DataFrame:
+    """session_id, day, messages, tokens, cost_usd: a session's totals dealt over its days by their timed messages; tokens are cut to whole numbers.
+
+    For sources that know totals only. totals has session_id, tokens, cost_usd.
+    """
+    n = steps.where("ts is not null").groupBy("session_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("messages"))
+    part = F.col("messages") / F.sum("messages").over(W.partitionBy("session_id")).cast("double")
+    shared = n.withColumn("part", part).join(totals, "session_id")
+    return shared.select("session_id", "day", "messages", F.floor(F.col("tokens") * F.col("part")).alias("tokens"), (F.col("cost_usd") * F.col("part")).alias("cost_usd"))
+
+
 def metadata_filter(rows: DataFrame, project: str | None = None, date_from: str | None = None, date_to: str | None = None, agent: str | None = None) -> DataFrame:
     """Equality on project and agent, inclusive range of days; rows without a time go only where a day bound is given."""
     out = rows

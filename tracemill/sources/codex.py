@@ -12,10 +12,13 @@ from tracemill.sources.lines import get, json_lines, numbered, raw, tables, text
 
 
 def read(spark: SparkSession, path: str) -> Parsed:
-    """The model of a step is that of the last turn_context. Calls go to the agent step before them; a token_count gives the usage of the last agent step before it."""
+    """A fork's file opens with its parent's history, which ends at a model-switch message and is left out. The model of a step is that of the last turn_context. Calls go to the agent step before them; a token_count gives the usage of the last agent step before it."""
     lines, rejected = json_lines(spark, path, "rollout-*.jsonl")
     rows = lines.select("file", "session", "pos", "v", get("v", "$.type").alias("type"), get("v", "$.payload.type").alias("kind"), ts_of("v", "$.timestamp").alias("ts"))
     meta = rows.where("type = 'session_meta'").groupBy("file").agg(F.min_by(get("v", "$.payload.id"), "pos").alias("session_id"), F.min_by(get("v", "$.payload.cwd"), "pos").alias("project"), F.min_by(get("v", "$.payload.forked_from_id"), "pos").alias("forked_from"))
+    marker = (F.col("type") == "response_item") & (get("v", "$.payload.role") == "developer") & F.contains(F.left(F.ltrim(text_of("v", "$.payload.content", "")), F.lit(80)), F.lit("<model_switch>"))
+    switch = rows.where(marker).groupBy("file").agg(F.min("pos").alias("switch")).join(meta.where("forked_from is not null").select("file"), "file", "left_semi")
+    rows = rows.join(switch, "file", "left").where("switch is null or pos > switch or type = 'session_meta'").drop("switch")
     state = W.partitionBy("file").orderBy("pos")
     rows = rows.withColumn("model", F.last(F.when(F.col("type") == "turn_context", get("v", "$.payload.model")), True).over(state)).join(meta, "file", "left").withColumn("session_id", F.coalesce("session_id", "session"))
     role = get("v", "$.payload.role")
@@ -48,5 +51,5 @@ def read(spark: SparkSession, path: str) -> Parsed:
     used = used.groupBy("session_id", "step_idx").agg(F.min_by("v", "pos").alias("u"))
     cached = F.coalesce(get("u", f"{u}.cached_input_tokens", "long"), F.lit(0))
     used = used.select("session_id", "step_idx", (get("u", f"{u}.input_tokens", "long") + cached).alias("prompt_tokens"), get("u", f"{u}.output_tokens", "long").alias("completion_tokens"), cached.alias("cache_read_tokens"))
-    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.first("project", True).alias("project"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("pos"))).alias("model"))
+    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.first("project", True).alias("project"), F.first("forked_from", True).alias("parent_id"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("pos"))).alias("model"))
     return tables("codex", sessions, steps.join(used, ["session_id", "step_idx"], "left"), calls, results, rejected)

@@ -88,7 +88,7 @@ def read_cursor(spark: SparkSession, path: str) -> Parsed:
     rows = b.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("session_id"), "file", "pos", F.try_parse_json(F.when(F.is_valid_utf8(F.col("data").cast("string")), F.col("data").cast("string"))).alias("v"))
     rows = rows.where("v is not null").withColumn("role", get("v", "$.role")).where("role is not null")
     steps = numbered(rows.where("role <> 'tool'"), ["pos"])
-    said = steps.select("session_id", "step_idx", "v", F.coalesce(get("v", "$.id"), F.col("pos").cast("string")).alias("step_id"), F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("source"), text_of("v", "$.content").alias("message"), get("v", "$.providerOptions.cursor.modelName").alias("model"), F.coalesce(get("v", "$.providerOptions.cursor.isSummary", "boolean"), F.lit(False)).alias("is_compaction"))
+    said = steps.select("session_id", "step_idx", "v", F.coalesce(get("v", "$.id"), F.col("pos").cast("string")).alias("step_id"), F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("source"), text_of("v", "$.content").alias("message"), get("v", "$.providerOptions.cursor.modelName").alias("model"), times.tagged(text_of("v", "$.content")).alias("ts"), F.coalesce(get("v", "$.providerOptions.cursor.isSummary", "boolean"), F.lit(False)).alias("is_compaction"))
     p = steps.select("session_id", "step_idx", F.posexplode(items("v", "$.content")).alias("at", "p")).where(get("p", "$.type") == "tool-call")
     calls = p.withColumn("call_pos", F.row_number().over(W.partitionBy("session_id", "step_idx").orderBy("at")) - 1).select("session_id", "step_idx", "call_pos", get("p", "$.toolCallId").alias("call_id"), get("p", "$.toolName").alias("tool_name"), raw("p", "$.args").alias("arguments"))
     r = rows.where("role = 'tool'").select("session_id", F.explode(items("v", "$.content")).alias("p")).where(get("p", "$.type") == "tool-result")
