@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.parallel import spread
+
 # Words that are not indexed.
 STOPWORDS = (
     "a an the and or but for nor so yet "
@@ -66,14 +68,14 @@ def stem(token: Column) -> Column:
     return out.otherwise(token)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case letters and digits, two at least, no stop words, stemmed; repeats are kept."""
+def words(text: Column) -> Column:
+    """Lower-case letters and digits, two at least, no stop words; repeats are kept. stem() makes tokens of them."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{2,})"), F.lit(1))
-    return F.transform(F.filter(found, lambda t: ~t.isin(*[w for w in STOPWORDS.split() if len(w) > 1])), stem)
+    return F.filter(found, lambda t: ~t.isin(*[w for w in STOPWORDS.split() if len(w) > 1]))
 
 
 def query_tokens(text: str) -> list[str]:
-    """tokens() for one query, on the driver."""
+    """Tokens of one query, on the driver."""
     stop, out = set(STOPWORDS.split()), []
     for t in re.findall("[a-z0-9]+", text.lower()):
         if len(t) < 2 or t in stop:
@@ -104,7 +106,7 @@ class Index:
 
     def persist(self) -> Index:
         """Keeps what several queries read; worth it for more than one query, or for one that asks twice."""
-        self.postings, self.lengths, self.vocabulary = self.postings.persist(), self.lengths.persist(), self.vocabulary.persist()
+        self.postings, self.vocabulary, self.fields = self.postings.persist(), self.vocabulary.persist(), self.fields.persist()
         return self
 
     @staticmethod
@@ -112,18 +114,23 @@ class Index:
         return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "vocabulary", "fields")])
 
 
-def build(docs: DataFrame, doc: str, fields: list[str]) -> Index:
-    """Index of the text columns `fields` of docs. A field empty in all documents is left out; elsewhere an empty one counts as a token of its own."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("e")
-    rows = docs.select(F.col(doc).alias("doc"), each).select("e.field", "doc", F.when(F.size("e.t") == 0, F.array(F.lit(""))).otherwise(F.col("e.t")).alias("t"))
-    lengths = rows.select("field", "doc", F.size("t").alias("dl"), F.col("t")[0].alias("head"))
-    per_field = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), F.max(F.col("head") != "").alias("some")).where("some").drop("some")
-    postings = rows.select("field", "doc", F.explode("t").alias("token")).groupBy("field", "token", "doc").agg(F.count("*").alias("tf"))
+def build(docs: DataFrame, doc: str, fields: list[str], keep: bool = False) -> Index:
+    """Index of the text columns `fields` of docs. A field empty in all documents is left out; elsewhere an empty one counts as a token of its own.
+
+    keep holds the words in memory or on disk while the tables are made from them, so that
+    texts are cut once. Words are stemmed after they are exploded, in generated code.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.col(f)).alias("t")) for f in fields])).alias("e")
+    rows = spread(docs.select(doc, *fields)).select(F.col(doc).alias("doc"), each).select("e.field", "doc", F.when(F.size("e.t") == 0, F.array(F.lit(""))).otherwise(F.col("e.t")).alias("t"))
+    rows = rows.persist() if keep else rows
+    lengths = rows.select("field", "doc", F.size("t").alias("dl"))
+    per_field = rows.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("avgdl"), F.max(F.col("t")[0] != "").alias("some")).where("some").drop("some")
+    postings = rows.select("field", "doc", F.explode("t").alias("word")).groupBy("field", stem(F.col("word")).alias("token"), "doc").agg(F.count("*").alias("tf"))
     df = postings.groupBy("field", "token").agg(F.count("*").alias("n")).join(F.broadcast(per_field), "field")
     idf = F.ln(F.col("docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5)
     vocabulary = df.select("field", "token", "n", idf.alias("idf"))
     fields_ = per_field.join(vocabulary.groupBy("field").agg(F.avg("idf").alias("mean_idf")), "field")
-    return Index(postings, lengths.select("field", "doc", "dl"), vocabulary, fields_)
+    return Index(postings, lengths, vocabulary, fields_)
 
 
 def token_scores(index: Index, wanted: list[str], fields: list[str] | None = None) -> DataFrame:

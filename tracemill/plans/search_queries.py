@@ -40,7 +40,7 @@ def _docs(spark, d):
 
 
 def _index(spark, d):
-    return search.build(_docs(spark, d), "doc", ["user_prompts", "agent_messages", "tool_calls"]).persist()
+    return search.build(_docs(spark, d), "doc", ["user_prompts", "agent_messages", "tool_calls"], keep=True).persist()
 
 
 @query(f"WITH {TOKENS_SQL} SELECT field, token, n, round(idf, 6) AS idf FROM vo WHERE n >= 3")
@@ -78,7 +78,7 @@ SELECT CAST(doc AS VARCHAR) AS doc, 0 AS tier, round(score, 4) AS score FROM fi
 def search_ranked(spark, d):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("doc").cast("int"))
     docs = _docs(spark, d).select(F.col("doc").cast("string").alias("session_id"), "user_prompts", "agent_messages", "tool_calls", at.alias("updated_at"))
-    index = search.build(docs, "session_id", ["user_prompts", "agent_messages", "tool_calls"]).persist()
+    index = search.build(docs, "session_id", ["user_prompts", "agent_messages", "tool_calls"], keep=True).persist()
     return search.rank_sessions(index, docs, PHRASE, NOW, top=40).select("doc", "tier", F.round("score", 4).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import redact, text, times
 from tracemill.operators import completeness, context
+from tracemill.parallel import spread
 from tracemill.plans.adapters import CONV_SQL, STEPS_SQL, conversation_steps, sessions_of, steps, table
 
 QUERIES, SQL = {}, {}
@@ -31,7 +32,7 @@ def redact_email(spark, d):
 
 @query()
 def redact_counts(spark, d):
-    r = table(spark, d, "documents").select("doc_id", redact.redact(F.col("text")).alias("r"))
+    r = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", redact.redact(F.col("text")).alias("r"))
     return r.select("doc_id", F.col("r.count").alias("n"), F.array_join("r.kinds", ",").alias("kinds")).where("n > 0")
 
 
