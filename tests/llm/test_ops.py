@@ -574,3 +574,46 @@ def test_crowded_parts_lose_no_link(spark):
     roots = {x.node: x.root for x in graph.connected_components(simhash.shard_links(df, 7, 11)).collect()}
     got = Counter(roots.get(x.fp, x.fp) for x in df.collect())
     assert sorted(got.values()) == sorted(want.values())
+
+
+def brute_near_copies(rows):
+    """Ids that stay of rows (id, text): the smallest of each component of pairs with five-word Jaccard of 0.8 or more."""
+    sets, up = {}, {}
+    for i, t in rows:
+        w = [x for x in re.split("[\\x20\\x09-\\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets[i], up[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}, i
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for i, s in sets.items():
+        for j, n in Counter(j for x in s for j in holders[x] if j < i).items():
+            if 5 * n >= 4 * len(s | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {root(i) for i in sets}
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    rows = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(60, 600)))) for k in range(60)]
+    for k in range(60, 220):
+        w = rows[r.randrange(60 if k < 160 else k)][1].split()
+        for _ in range(max(1, int(len(w) * r.choice([0.005, 0.01, 0.02, 0.05])))):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        rows.append((k, " ".join(w)))
+    rows += [(300, ""), (301, None), (302, "one"), (303, "One "), (304, "two words")]
+    rows += [(1000 + x.doc_id, x.text) for x in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near_copies(rows)
+    assert len([i for i in got if i < 220]) < 150

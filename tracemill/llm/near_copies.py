@@ -1,0 +1,117 @@
+"""Near copies by exact overlap of five-word shingles, candidates from MinHash bands.
+
+Texts with the same set of shingles are one node. Of BANDS bands of ROWS minima a pair of
+similarity s shares none with probability (1 - s ** ROWS) ** BANDS: 5e-8 at 0.8, less
+above. What shares a band is confirmed by its shingles. First each member of a band is
+held against one leader, which joins most of a crowd; then members of different
+components that share a band are held against each other, so that no link is missed.
+Shingles are kept only of texts that share a band with another one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracemill.llm.common import KEY, checkpointed, free_prefix, row_key, slices
+from tracemill.llm.graph import connected_components
+
+WIDTH, BANDS, ROWS = 5, 32, 4
+
+
+def shingles(text: str | None, width: int = WIDTH):
+    """Sorted distinct 64-bit hashes of the runs of `width` words, A-Z lower-cased; a shorter text is one run, a text without words has none."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, len(starts)))
+
+
+def _hashed(rows: DataFrame, width: int, sets: bool) -> DataFrame:
+    """rows with `text` replaced by node (a hash of the set of shingles, 0 for none) and the shingles, or the keys of the bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        r = np.random.default_rng(8)
+        factor = r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        plus = r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+        for b in slices(batches, "text", 2 << 20):
+            nodes, lists = [], []
+            for t in b.column("text").to_pylist():
+                h = shingles(t, width)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7) if len(h) else 0)
+                if sets or not len(h):
+                    lists.append(h.view(np.int64))
+                    continue
+                least = np.min([(h[at : at + 512, None] * factor + plus).min(axis=0) for at in range(0, len(h), 512)], axis=0)
+                keys = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+                lists.append(np.array(keys, np.uint64).view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+            names = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(np.array(nodes, np.uint64).view(np.int64)), values], names=[*names, "node", "hs"])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join([*kept, "node bigint", "hs array<bigint>"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sets overlap by 0.8 of their union or more."""
+    x = sets.select(F.col("node").alias("a"), F.col("hs").alias("ha"))
+    y = sets.select(F.col("node").alias("b"), F.col("hs").alias("hb"))
+    both = pairs.join(x, "a").join(y, "b").where("5 * least(size(ha), size(hb)) >= 4 * greatest(size(ha), size(hb))")
+    return both.where("9 * size(array_intersect(ha, hb)) >= 4 * (size(ha) + size(hb))").select("a", "b")
+
+
+def links(one: DataFrame, rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Links a, b between nodes that join what all pairs of similarity 0.8 or more would. one: node, least (its key), hs (its bands); rows: keys and text."""
+    keyed = one.select("node", F.explode("hs").alias("band"))
+    # Bands with the same members count once.
+    same = keyed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
+    members = checkpointed(keyed.join(same.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "band"))
+    need = one.join(members.select("node").distinct(), "node", "left_semi").select("least.*")
+    sets = checkpointed(_hashed(rows.join(need, KEY, "left_semi").dropDuplicates(KEY), width, True).select("node", "hs"))
+
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    leaders = members.groupBy("band").agg(F.min_by("node", F.xxhash64("band", "node")).alias("other"))
+    tried = checkpointed(members.join(leaders, "band").where("node <> other").select(*pair).distinct())
+    found = checkpointed(_confirmed(tried, sets))
+
+    roots = connected_components(found)
+    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    rest = checkpointed(placed.join(split, "band"))
+    across = rest.join(rest.select("band", F.col("node").alias("other"), F.col("root").alias("apart")), "band").where("root < apart")
+    more = _confirmed(across.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), sets)
+    return found.unionByName(more)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row of docs for each component of texts linked by a similarity of 0.8 or more, that with the smallest id; all columns as they are.
+
+    Texts without words are one component. Rows that share an id, and null ids, are treated as in simhash.keep_one().
+    """
+    p = free_prefix(docs)
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    hashed = checkpointed(_hashed(rows, width, False))
+    one = checkpointed(hashed.groupBy("node").agg(F.min(F.struct(*KEY)).alias("least"), F.first("hs").alias("hs")))
+    roots = connected_components(links(one, rows, width))
+    named = one.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    heads = named.groupBy("root").agg(F.min("least").alias("head")).select(*[F.col(f"head.{k}").alias(f"{p}h{i}") for i, k in enumerate(KEY)])
+    keys = [c.alias(f"{p}r{i}") for i, c in enumerate(row_key(id_col, text_col))]
+    kept = docs.select("*", *keys).join(heads, F.expr(" and ".join(f"{p}r{i} = {p}h{i}" for i in range(4))), "left_semi")
+    return kept.dropDuplicates([f"{p}r{i}" for i in range(4)]).select(*[F.col(f"`{c}`") for c in docs.columns])
