@@ -334,6 +334,22 @@ def test_licences(spark):
     assert got == {1: ["MIT"], 2: ["MIT"], 3: ["Apache-2.0"], 4: ["GPL-3.0-only", "CC-BY-NC-4.0"], 5: [], 6: [], 7: [], 8: []}
 
 
+def test_published_headers_have_their_licence(spark):
+    gpl = "This program is free software{0} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{1} either version {2} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+    clause = "\n\n3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    texts = {
+        "GPL-3.0-or-later": [gpl.format(":", ",", 3), gpl.format(";", ";", 3)], "GPL-2.0-or-later": [gpl.format(";", ";", 2), gpl.format(":", ",", 2)], "MPL-2.0": [mpl, mpl.replace("\n", " ")],
+        "BSD-3-Clause": [bsd + clause.format("the copyright holder"), bsd + clause.format("Acme Widgets, Inc.")], "BSD-2-Clause": [bsd], "Apache-2.0": [apache], "ISC": [isc],
+    }
+    rows = [(name, t) for name, ts in texts.items() for t in ts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in license_rules.scan(df).collect()} == {i: [name] for i, (name, _) in enumerate(rows)}
+
+
 def test_licence_table_is_sound():
     for s, name in license_rules.SENTENCES.items():
         assert license_rules.normalise(s) == s and any(h in s for h in license_rules.HINTS), s

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised licence sentences and their identifiers. Years and holders are left out by normalise().
+#: Normalised licence sentences and their identifiers, also as SENTENCE_END cuts them at colons and semicolons. normalise() puts a fixed word for the holder in the BSD clause that names one.
 SENTENCES = {
     "released under the mit license": "MITref",
     "licensed under the mit license": "MITref",
@@ -33,6 +33,13 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3orLater",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2orLater",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLwarranty",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3orLater",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2orLater",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLterms",
+    "either version 3 of the license or at your option any later version": "Either3",
+    "either version 2 of the license or at your option any later version": "Either2",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GPLwarranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GPLfitness",
     "see the gnu general public license for more details": "GPLsee",
     "licensed under the gnu lesser general public license version 3": "LGPL3ref",
     "licensed under the gnu lesser general public license version 2 1": "LGPL21ref",
@@ -65,6 +72,8 @@ SENTENCES = {
 RULES = [
     ("GPL-3.0-or-later", ["GPL3orLater"]),
     ("GPL-2.0-or-later", ["GPL2orLater"]),
+    ("GPL-3.0-or-later", ["GPLterms", "Either3"]),
+    ("GPL-2.0-or-later", ["GPLterms", "Either2"]),
     ("AGPL-3.0-only", ["AGPL3ref"]),
     ("LGPL-3.0-only", ["LGPL3ref"]),
     ("LGPL-2.1-only", ["LGPL21ref"]),
@@ -96,16 +105,19 @@ COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
 
 #: Every known sentence holds one of these words, and a sentence that holds one without being known counts as unknown.
 HINTS = ("license", "redistribut", "permission", "warrant", "unencumbered", "gnu general", "copy of the")
-SENTENCE_END = "(?<=[.!?;:])[\\x20\\t]+|\\n+"
+#: "v." as in "v. 2.0" ends no sentence, nor does a stop before "nor" ("Acme Inc. nor the names").
+SENTENCE_END = "(?<=[.!?;:])(?<!\\b[vV]\\.)[\\x20\\t]++(?!nor\\b)|\\n+"
+#: The holder in a normalised BSD clause, and what stands for it.
+HOLDER, ANY_HOLDER = "^neither the name of .{1,200}? nor the names of its contributors may", "neither the name of the copyright holder nor the names of its contributors may"
 
 
 def normalise(sentence: str) -> str:
-    """What SQL does to a sentence, for tests and callers: lower case, other characters than letters and digits to single spaces."""
-    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
+    """What SQL does to a sentence, for tests and callers: lower case, other characters than letters and digits to single spaces, any holder in the BSD clause to a fixed one."""
+    return re.sub(HOLDER, ANY_HOLDER, re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" "))
 
 
 def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), HOLDER, ANY_HOLDER)
 
 
 def licence_sentences(text: Column) -> Column:
