@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +179,20 @@ def test_redaction(spark):
     assert (both.t, both.redactions) == ("[REDACTED] [REDACTED]", 1)
 
 
+def test_redaction_of_long_texts(spark):
+    rows = [(1, "word " * 240_000 + "joe@corp.io"), (2, "x" * 1_500_000 + " ghp_" + "a1" * 20), (3, "-----BEGIN PRIVATE KEY-----" * 50_000), (4, "joe@corp.io-xx@d.org a@b.co @@x")]
+    df = spark.createDataFrame(rows, "id int, t string").select("id", redact.redact(F.col("t")).alias("r"))
+    got = {r.id: (r.r.text, r.r["count"]) for r in df.collect()}
+    assert got[1] == ("word " * 240_000 + "[REDACTED]", 1) and got[2] == ("x" * 1_500_000 + " [REDACTED]", 1) and got[3] == ("[REDACTED]" * 50_000, 50_000)
+    plain = {n: re.compile(p, re.IGNORECASE if i else 0) for n, p, i in [*redact.CREDENTIALS, *redact.PERSONAL]}
+    r = random.Random(3)
+    ends = ["-----BEGIN PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"]
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "bc", "@", ".", "-", ".io", " ", "1", "é", *ends]) for _ in range(30))
+        for name in ("email", "pem_key_body"):
+            assert list(redact.matches(name, plain[name], t)) == [m.span() for m in plain[name].finditer(t)], t
+
+
 def test_search(spark):
     docs = spark.createDataFrame(
         [("abc-1", "parsing files quickly", "wrote the parser", "Read a.py", dt.datetime(2025, 1, 1)), ("abd-2", "parse the config", "", "Bash", dt.datetime(2025, 1, 9)), ("xyz-3", "deploy service", "deployed", "", None)],
