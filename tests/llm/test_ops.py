@@ -404,6 +404,15 @@ def test_mix_matches_slot_by_slot_version(spark):
     assert rows_of(mixing.mix(df.repartition(7), block=block)) == Counter(tuple(x) for x in got)
 
 
+def test_small_sources_take_their_target(spark):
+    tails = {"t40": 40, "t100": 100, "t400": 400, "t1000": 1000}
+    rows = [(s, 2000) for s in "abcdefghijkl" for _ in range(20)] + [(s, n // 4) for s, n in tails.items() for _ in range(4)]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    for r in got:
+        assert r.over <= 0 and abs(r.taken - r.target) <= (0.5 if r.source in tails else 0.1 * r.target), r
+
+
 def test_targets_stop_at_twice_the_source():
     t = mixing.source_targets([("a", 10), ("b", 1000), ("c", 1000), (None, 50)])
     assert t["a"] == 20 and t[None] <= 100 and abs(sum(t.values()) - 1.5 * 2060) < 1e-9 and all(t[s] <= 2 * n + 1e-9 for s, n in [("b", 1000), ("c", 1000)])

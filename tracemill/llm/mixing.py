@@ -3,7 +3,7 @@
 Golden-ratio points are mapped through the sources' cumulative targets, so that any
 stretch of the schedule holds each source in its share. Slots are ranked per source, and
 the r-th slot of a source takes the r-th block of its shuffled word stream; a stream that
-is used up starts again. Everything that grows with the corpus is a Spark table: the word
+is used up starts again. A source of few blocks takes its target to the word instead. Everything that grows with the corpus is a Spark table: the word
 streams, the blocks and the slots. Only the list of sources, of a checked length, is held
 by the driver.
 """
@@ -19,6 +19,8 @@ from tracemill.llm.common import checkpointed, free_prefix
 #: 2**32 over the golden ratio; i * GOLDEN mod 2**32 visits every 32-bit point once.
 GOLDEN, TURN = 2654435769, 1 << 32
 WEIGHTS = (5, 2, 1)
+#: A source whose target is fewer blocks than this takes its target to the word, without slots.
+FEWEST = 64
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -107,20 +109,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     targets = source_targets([(r.source, r.n) for r in per], weights, share, most)
     names = sorted(targets, key=lambda s: (s is None, s or ""))
     size_of = {r.source: r.n for r in per}
-    info = spark.createDataFrame([(i, s, size_of[s], float(targets[s])) for i, s in enumerate(names)], "sid int, s string, source_size long, target double")
+    exact = {s for s in names if targets[s] < FEWEST * block}
+    info = spark.createDataFrame([(i, s, size_of[s], float(targets[s]), s in exact, round(targets[s])) for i, s in enumerate(names)], "sid int, s string, source_size long, target double, exact boolean, words long")
     buckets = max(16, sum(r.rows for r in per) // 20_000)
     rows = _streams(sized, buckets).join(info, F.expr("source <=> s")).drop("s")
 
     # A source's last block is short if its words are no multiple of the block; slots past
     # `most` rounds, which rounding may give, take nothing.
-    slots = schedule(spark, [(i, float(targets[s])) for i, s in enumerate(names)], block)
+    slots = schedule(spark, [(i, float(targets[s])) for i, s in enumerate(names) if s not in exact], block)
     rounds = slots.join(info.select("sid", F.ceil(F.col("source_size") / block).alias("blocks")), "sid").where("blocks > 0")
     rounds = rounds.where(F.col("rank") < most * F.col("blocks")).groupBy("sid", (F.col("rank") % F.col("blocks")).alias("nth")).agg(F.count("*").alias("times"))
-    pieces = rows.where("size > 0").select("sid", "doc_id", "spot", "stop", "size", F.explode(F.expr(f"sequence(cast(floor((stop - size) / {block}) as bigint), cast(floor((stop - 1) / {block}) as bigint))")).alias("nth"))
+    pieces = rows.where("size > 0 and not exact").select("sid", "doc_id", "spot", "stop", "size", F.explode(F.expr(f"sequence(cast(floor((stop - size) / {block}) as bigint), cast(floor((stop - 1) / {block}) as bigint))")).alias("nth"))
     overlap = F.least(F.col("stop"), (F.col("nth") + 1) * block) - F.greatest(F.col("stop") - F.col("size"), F.col("nth") * block)
     taken = pieces.join(rounds, ["sid", "nth"]).groupBy("sid", "stop").agg(F.sum(F.col("times") * overlap).alias("taken"))
     # Rows without words share their stop with another row; they take nothing.
     full = rows.join(taken, ["sid", "stop"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    # Whole rounds of a small source's stream, and the rest from its front.
+    small = F.expr("words div source_size * size + greatest(0, least(stop, words % source_size) - (stop - size))")
+    full = full.withColumn("taken", F.when(F.col("exact") & (F.col("size") > 0), small).otherwise(F.col("taken")))
     return full.select("doc_id", "source", "spot", "size", "source_size", "target", "taken")
 
 
