@@ -238,6 +238,25 @@ def test_context(spark):
     assert {r.context: (r.ok, r.answer) for r in said.collect()} == {"ok": (True, "OK"), "bad": (False, None)}
 
 
+def test_packing_and_markers_hold_no_whole_group(spark):
+    from tracemill.operators import sessions
+
+    at, r = dt.datetime(2025, 1, 1), random.Random(4)
+    rows = [(f"s{i}", None, at + dt.timedelta(minutes=r.randrange(40_000)), r.randint(0, 140)) for i in range(1500)]
+    got = context.pack(spark.createDataFrame(rows, "session_id string, project string, created_at timestamp, tokens long"), 100, run_budgets=4).collect()
+    runs, batches = {}, {}
+    for x in got:
+        name = x.batch.rsplit("/", 1)[1]
+        runs.setdefault(name.split(".")[0] if "." in name else "0", []).append(x.tokens)
+        batches.setdefault(x.batch, []).append(x.tokens)
+    assert len(got) == 1500 and all(sum(b) <= 100 or len(b) == 1 for b in batches.values())
+    assert len(runs) > 100 and all(sum(b) <= 4 * 100 + 140 for b in runs.values())
+    plan = edges.error_retry(spark.createDataFrame([("s", i, str(i), "Read", i % 20 == 0) for i in range(400)], "session_id string, idx int, call_id string, tool_name string, is_error boolean"))
+    assert sorted(int(x.target_id) - int(x.source_id) for x in plan.collect()) == [1] * 20
+    steps = spark.createDataFrame([("s", i, at) for i in range(9)], "session_id string, step_idx int, ts timestamp")
+    assert "Pandas" not in sessions.interleave(steps, steps.withColumnRenamed("step_idx", "marker_idx"))._jdf.queryExecution().toString()
+
+
 def test_completeness_and_empty_dashboard(spark):
     c = completeness.completeness(spark.createDataFrame([("a", 10, 1, 4, 2, 0, 0)], "session_id string, lines int, skipped int, calls int, orphan_calls int, results int, orphan_results int")).first()
     assert abs(c.score - (1 - 0.05 - 0.15)) < 1e-9

@@ -143,12 +143,14 @@ def sample(scores: DataFrame, budget: int, block: int = 1000) -> DataFrame:
     return scores.sparkSession.createDataFrame(taken, f"session_id {kind}, score double, size long")
 
 
-def pack(contexts: DataFrame, budget: int, period: str = "month") -> DataFrame:
+def pack(contexts: DataFrame, budget: int, period: str = "month", run_budgets: int = 256) -> DataFrame:
     """session_id, batch: contexts packed into prompts of at most `budget` tokens.
 
     Within a project and period, contexts go in order of time into the first batch that has
     room; one that is over the budget has a batch of its own. Batches don't cross projects or
-    periods, so packing is spread over tasks and no task sees more than one project's period.
+    periods. A project's period is cut by time into runs of about `run_budgets` budgets, a
+    context counting a token at least, and batches don't cross runs either, so no task holds
+    more than a run. Prefix sums go over days first.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -161,10 +163,17 @@ def pack(contexts: DataFrame, budget: int, period: str = "month") -> DataFrame:
                 room.append(budget)
             room[i] -= size
             at.append(i)
-        return pd.DataFrame({"session_id": g["session_id"], "batch": [f"{p}/{m}/{i}" for p, m, i in zip(g["project"], g["period"], at)], "tokens": g["tokens"]})
+        return pd.DataFrame({"session_id": g["session_id"], "batch": [f"{p}/{m}/{f'{r}.' if r else ''}{i}" for p, m, r, i in zip(g["project"], g["period"], g["run"], at)], "tokens": g["tokens"]})
 
     rows = contexts.select(F.col("session_id").cast("string").alias("session_id"), F.coalesce("project", F.lit("__unknown__")).alias("project"), F.coalesce(F.date_format(F.date_trunc(period, "created_at"), "yyyy-MM-dd"), F.lit("")).alias("period"), F.col("created_at").cast("timestamp").alias("created_at"), F.col("tokens").cast("long").alias("tokens"))
-    return rows.groupBy("project", "period").applyInPandas(run, "session_id string, batch string, tokens long")
+    least = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(1))
+    rows = rows.withColumn("day", F.coalesce(F.to_date("created_at"), F.lit("0001-01-01").cast("date")))
+    days = rows.groupBy("project", "period", "day").agg(F.sum(least).alias("n"))
+    before = days.select("project", "period", "day", (F.sum("n").over(W.partitionBy("project", "period").orderBy("day")) - F.col("n")).alias("before"))
+    inside = W.partitionBy("project", "period", "day").orderBy(F.asc_nulls_first("created_at"), "session_id").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumn("inside", F.sum(least).over(inside) - least).join(before, ["project", "period", "day"])
+    runs = placed.withColumn("run", F.floor((F.col("before") + F.col("inside")) / (run_budgets * budget))).drop("day", "before", "inside")
+    return runs.groupBy("project", "period", "run").applyInPandas(run, "session_id string, batch string, tokens long")
 
 
 def infer(batches: DataFrame, backend, column: str = "context") -> DataFrame:

@@ -69,7 +69,9 @@ def multi_edit(calls: DataFrame) -> DataFrame:
 def error_retry(calls: DataFrame) -> DataFrame:
     """A failed call and the next call of the same tool within 6 calls. A call is the target of one edge, and then starts none.
 
-    Which call is taken depends on what was taken before, so each session is gone through in order.
+    Which call is taken depends on what was taken before, so calls are gone through in order,
+    in runs: a new one starts where none of the 6 calls before failed, as no edge leads past
+    that place, and calls that no failure reaches are left out.
     """
     kinds = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
 
@@ -88,8 +90,11 @@ def error_retry(calls: DataFrame) -> DataFrame:
         cols = [pa.array([x[i] for x in out], t.schema.field(n).type) for i, n in enumerate(("session_id", "call_id", "call_id"))]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(["error_retry"] * len(out), pa.string()), pa.array([""] * len(out), pa.string())], names=EDGE)
 
-    few = calls.select("session_id", "idx", "call_id", "tool_name", "is_error")
-    return few.groupBy("session_id").applyInArrow(run, f"session_id {kinds['session_id']}, source_id {kinds['call_id']}, target_id {kinds['call_id']}, relation string, resource string")
+    w = W.partitionBy("session_id").orderBy("idx")
+    error = F.coalesce(F.col("is_error").cast("boolean"), F.lit(False))
+    few = calls.select("session_id", "idx", "call_id", "tool_name", "is_error", F.coalesce(F.max(error).over(w.rowsBetween(-RETRY, -1)), F.lit(False)).alias("near"))
+    few = few.withColumn("run", F.sum(F.when(F.col("near"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return few.where(F.col("near") | error).drop("near").groupBy("session_id", "run").applyInArrow(run, f"session_id {kinds['session_id']}, source_id {kinds['call_id']}, target_id {kinds['call_id']}, relation string, resource string")
 
 
 def sequential(calls: DataFrame, strong: DataFrame) -> DataFrame:

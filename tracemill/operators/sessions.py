@@ -92,24 +92,16 @@ def interleave(steps: DataFrame, markers: DataFrame) -> DataFrame:
     """session_id, place, kind, key: steps in order with markers before the first step later than them.
 
     Markers keep their own order; one without a time, or a step without one, lets none pass;
-    those left over come last. Where a marker stands depends on those before it, so each
-    session is gone through in order.
+    those left over come last. The latest time among the markers up to each, and among the
+    steps up to each, put both into one order, so that a long session is sorted, not held.
     """
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        marks = list(b.sort_values("marker_idx").itertuples()) if len(b) else []
-        sid = (a if len(a) else b)["session_id"].iloc[0]
-        out, i = [], 0
-        for s in a.sort_values("step_idx").itertuples():
-            while i < len(marks) and not pd.isna(marks[i].ts) and not pd.isna(s.ts) and marks[i].ts < s.ts:
-                out.append(("marker", marks[i].marker_idx))
-                i += 1
-            out.append(("step", s.step_idx))
-        out += [("marker", m.marker_idx) for m in marks[i:]]
-        return pd.DataFrame([(sid, n, k, x) for n, (k, x) in enumerate(out)], columns=["session_id", "place", "kind", "key"])
-
-    l, r = steps.select("session_id", "step_idx", "ts"), markers.select("session_id", "marker_idx", "ts")
-    return l.groupBy("session_id").cogroup(r.groupBy("session_id")).applyInPandas(run, "session_id string, place long, kind string, key long")
+    low, high = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    so_far = lambda key: W.partitionBy("session_id").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    s = steps.select("session_id", F.coalesce(F.max(us).over(so_far("step_idx")), low).alias("at"), F.lit("step").alias("kind"), F.col("step_idx").cast("long").alias("key"))
+    m = markers.select("session_id", F.max(F.coalesce(us, high)).over(so_far("marker_idx")).alias("at"), F.lit("marker").alias("kind"), F.col("marker_idx").cast("long").alias("key"))
+    order = W.partitionBy("session_id").orderBy("at", F.desc("kind"), "key")
+    return s.unionByName(m).select("session_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "kind", "key")
 
 
 def analytics(steps: DataFrame) -> DataFrame:
