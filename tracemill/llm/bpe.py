@@ -91,15 +91,22 @@ def chunks_of(text: str) -> list[str]:
 
 #: A chunk of this form is one match of the split pattern, so that the model can take it at once.
 ONE_MATCH = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: After a letter and before one of these, and between a line feed and a letter, the pattern always cuts too.
-HEAD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]?\n)([.,;:!?\n].*|(?<=\n)[A-Za-zÀ-ÖØ-öø-ÿ].*)", re.DOTALL)
+#: Between letters, digits, marks and line feeds the pattern always cuts too. The apostrophe,
+#: which may begin a match with the letters behind it, is no such mark.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?/+=_\-"
+CUT = re.compile(rf"(?<=[{_LETTER}])(?=[0-9{_MARK}\n])|(?<=[0-9])(?=[{_LETTER}{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}0-9\n])|(?<=\n)(?=\S)")
+#: Longer chunks are not kept.
+LONGEST = 64
+#: Chunks of a text between two looks at how many are kept.
+STRETCH = 50_000
 
 
 class Encoder:
     """Encodes texts by chunks; what a chunk gave is kept for its next occurrences.
 
-    Kept chunks are in two generations of at most `kept` chunks: the older one goes
-    when the younger one is full, and what is used again moves to the younger one.
+    Kept chunks are short and in two generations of at most `kept` chunks each, but for one
+    stretch of a text: the older one goes when the younger one is full, and what is used
+    again moves to the younger one.
     """
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[str, str]], pattern: str, kept: int = 150_000) -> None:
@@ -113,27 +120,39 @@ class Encoder:
         self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def learn(self, chunk: str) -> tuple[str, int, bytes]:
-        if found := self.older.get(chunk):
+        found = self.older.get(chunk)
+        if not found:
+            parts = CUT.split(chunk)
+            if len(parts) == 1:
+                found = self.merge(chunk)
+            else:
+                got = [self.known.get(p) or self.older.get(p) or self.merge(p) for p in parts]
+                found = (",".join([e[0] for e in got]), sum([e[1] for e in got]), b"".join([e[2] for e in got]))
+        if len(chunk) <= LONGEST:
             self.known[chunk] = found
-            return found
-        if m := HEAD.fullmatch(chunk):
-            (a, n, x), (b, k, y) = (self.known.get(c) or self.learn(c) for c in m.groups())
-            self.known[chunk] = found = (f"{a},{b}", n + k, x + y)
-            return found
-        if ONE_MATCH.fullmatch(chunk):
-            ids = [t.id for t in self.tokenizer.model.tokenize(chunk.encode().decode("latin-1").translate(self.spelled))]
+        return found
+
+    def merge(self, part: str) -> tuple[str, int, bytes]:
+        """What a part without a sure cut gives."""
+        if ONE_MATCH.fullmatch(part):
+            ids = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.spelled))]
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        self.known[chunk] = found = (",".join(map(str, ids)), len(ids), decode_ids(ids, self.pieces))
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        found = (",".join(map(str, ids)), len(ids), decode_ids(ids, self.pieces))
+        if len(part) <= LONGEST:
+            self.known[part] = found
         return found
 
     def entries(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, bytes]]]:
         """What each text's chunks give, in order."""
         for text in texts:
-            if len(self.known) > self.kept:
-                self.known, self.older = {}, self.known
-            get, learn = self.known.get, self.learn
-            yield [get(c) or learn(c) for c in chunks_of(text)] if text else []
+            chunks, out = chunks_of(text) if text else [], []
+            for at in range(0, len(chunks), STRETCH):
+                if len(self.known) > self.kept:
+                    self.known, self.older = {}, self.known
+                get, learn = self.known.get, self.learn
+                out += [get(c) or learn(c) for c in chunks[at : at + STRETCH]]
+            yield out
 
 
 def token_spans(ids: list[int], pieces: dict[int, bytes]) -> tuple[list[int], list[int]]:
