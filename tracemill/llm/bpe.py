@@ -95,6 +95,8 @@ ONE_MATCH = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: which may begin a match with the letters behind it, is no such mark.
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?/+=_\-"
 CUT = re.compile(rf"(?<=[{_LETTER}])(?=[0-9{_MARK}\n])|(?<=[0-9])(?=[{_LETTER}{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}0-9\n])|(?<=\n)(?=\S)")
+#: The commonest chunk with one cut.
+TAIL = re.compile(f"( ?[{_LETTER}]+)([.,;:!?])")
 #: Longer chunks are not kept.
 LONGEST = 64
 #: Chunks of a text between two looks at how many are kept.
@@ -122,7 +124,7 @@ class Encoder:
     def learn(self, chunk: str) -> tuple[str, int, bytes]:
         found = self.older.get(chunk)
         if not found:
-            parts = CUT.split(chunk)
+            parts = [chunk] if ONE_MATCH.fullmatch(chunk) else m.groups() if (m := TAIL.fullmatch(chunk)) else CUT.split(chunk)
             if len(parts) == 1:
                 found = self.merge(chunk)
             else:
