@@ -3,14 +3,18 @@
 Golden-ratio points are mapped through the sources' cumulative targets, so that any
 stretch of the schedule holds each source in its share. Slots are ranked per source, and
 the r-th slot of a source takes the r-th block of its shuffled word stream; a stream that
-is used up starts again. A source of few blocks takes its target to the word instead. Everything that grows with the corpus is a Spark table: the word
-streams, the blocks and the slots. Only the list of sources, of a checked length, is held
-by the driver.
+is used up starts again. Sources of many blocks share one schedule. What discrepancy and
+rounding do to a source grows with the block over the target, so sources with smaller
+targets have smaller blocks, and those with equal blocks share a schedule of their own: a
+golden-ratio lattice, which gives each source the very number of slots that its target asks.
+All that grows with the corpus or with the number of sources is a Spark table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -19,12 +23,12 @@ from tracemill.llm.common import checkpointed, free_prefix
 #: 2**32 over the golden ratio; i * GOLDEN mod 2**32 visits every 32-bit point once.
 GOLDEN, TURN = 2654435769, 1 << 32
 WEIGHTS = (5, 2, 1)
-#: A source whose target is fewer blocks than this takes its target to the word, without slots.
-FEWEST = 64
+#: A source shares the schedule of whole blocks if its target is at least this many times the block's square.
+LARGE = 4
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Words to take of each source.
+    """Words to take of each source, for a short list of sources; targets_of() does the same for a table.
 
     Sources in code point order, null last, have the weights in turn and share `share`
     times all words by weight. A source stops at `most` times its own words; what is over
@@ -54,79 +58,132 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return docs.select(id_.alias("doc_id"), F.col(source_col).cast("string").alias("source"), spaces.alias("size"), F.xxhash64(F.lit(8), id_, F.xxhash64(text)).alias("spot"))
 
 
-def _streams(sized: DataFrame, buckets: int) -> DataFrame:
-    """Adds stop: the words of the source's stream up to and with the row. Prefix sums in two levels, so that no source has to fit in one task."""
-    part = F.pmod(F.shiftrightunsigned(F.col("spot"), 33), F.lit(buckets))
-    rows = sized.withColumn("bucket", part)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = W.partitionBy("source", "bucket").orderBy("spot", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("inside", F.sum("size").over(inside))
-    b = before.select(F.col("source").alias("s"), F.col("bucket").alias("k"), "before")
-    return rows.join(b, F.expr("source <=> s and bucket = k")).withColumn("stop", F.col("before") + F.col("inside")).drop("s", "k", "before", "inside", "bucket")
+def _ordered(sums: DataFrame) -> DataFrame:
+    """sid, source, n of each source, numbered from 0 by code point with null last; part is a range of sources that a task can hold."""
+    per = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last())
+    per = checkpointed(per.withColumn("at", F.monotonically_increasing_id()))
+    per = per.select("source", "n", F.shiftright("at", 33).alias("part"), F.expr("at & 8589934591").alias("at"))
+    sizes = per.groupBy("part").agg(F.count("*").alias("k"))
+    before = sizes.select("part", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("before"))  # a row for each range
+    return per.join(before, "part").select((F.col("before") + F.col("at")).alias("sid"), "source", "n", "part")
+
+
+def targets_of(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """sources (sid, n) with target (double), by the rule of source_targets().
+
+    A round adds up, over the table, what is left for the sources below their caps; sums are
+    of whole numbers, so reruns agree to the last bit. The level rises until no source is above.
+    """
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights)).cast("int"))
+    rows = sources.withColumn("weight", weight).withColumn("cap", most * F.col("n"))
+    level: tuple[float, float] | None = None
+    while True:
+        over = F.lit(False) if level is None else F.lit(level[0]) * F.col("weight") / level[1] > F.col("cap")
+        r = rows.agg(F.sum("n"), F.sum(F.when(over, F.col("cap")).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.count_if(over)).first()
+        now = (share * (r[0] or 0) - (r[1] or 0), r[2] or 0.0)
+        if not now[1] or (level is not None and now == level):
+            break
+        level = now
+    open_ = F.lit(level[0]) * F.col("weight") / level[1] if level else F.lit(0.0)
+    return rows.withColumn("target", F.least(open_, F.col("cap").cast("double"))).drop("weight", "cap")
+
 
+def _prefix(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Adds `<value>_before`: the sum over the sources before, by ranges of sources first, so that no task has to hold all."""
+    sums = rows.groupBy(*by, "part").agg(F.sum(value).alias("k"))
+    first = W.partitionBy(*by).orderBy("part")
+    sums = sums.select(*by, "part", (F.sum("k").over(first) - F.col("k")).alias("k"))
+    inside = F.sum(value).over(W.partitionBy(*by, "part").orderBy("sid").rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
+    return rows.withColumn("inside", inside).join(sums, [*by, "part"]).withColumn(f"{value}_before", F.col("k") + F.col("inside")).drop("k", "inside")
 
-def schedule(spark: SparkSession, targets: list[tuple[int, float]], block: int, run: int = 1 << 16) -> DataFrame:
+
+def schedule(large: DataFrame, block: int, run: int = 1 << 16) -> DataFrame:
     """slot, sid, rank (from 0): which source each slot holds and how many slots of it stand before.
 
-    targets has (source number, words). Ranks are counted in runs of slots first, so that
-    the largest source's slots are not numbered by one task.
+    large has sid, part and target in words. A slot's golden-ratio point finds its source
+    through cells of the unit interval, each of which knows the sources that it meets.
+    Ranks are counted in runs of slots first, so that the largest source's slots are not
+    numbered by one task.
     """
-    total = sum(t for _, t in targets)
-    slots = round(total / block)
-    edges, at = [], 0.0
-    for sid, t in targets:
-        at += t
-        edges.append((sid, at / total if total else 0.0))
+    spark = large.sparkSession
+    n, total, last = large.agg(F.count("*"), F.sum("target"), F.max("sid")).first()
+    slots, cells = round((total or 0.0) / block), 1 << max(4, (4 * n).bit_length())
+    ends = _prefix(large, "target").withColumn("lo", F.col("target_before") / (total or 1.0))
+    ends = ends.withColumn("hi", F.when(F.col("sid") == last, 1.0).otherwise((F.col("target_before") + F.col("target")) / (total or 1.0)))
+    meets = ends.select("sid", "lo", "hi", F.explode(F.expr(f"sequence(cast(floor(lo * {cells}) as int), cast(floor(hi * {cells}) as int))")).alias("cell"))
     point = (F.col("slot") % TURN) * GOLDEN % TURN / float(TURN)
-    pick: Column = F.lit(edges[-1][0]) if edges else F.lit(0)
-    if edges:
-        cuts = F.array(*[F.lit(e) for _, e in edges[:-1]])
-        ids = F.array(*[F.lit(s) for s, _ in edges])
-        pick = F.element_at(ids, F.size(F.filter(cuts, lambda c: c <= F.col("point"))) + 1)
-    s = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("sid", pick).withColumn("run", F.floor(F.col("slot") / run))
+    s = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * cells).cast("int"))
+    s = s.join(meets, [s["cell"] == meets["cell"], F.col("point") >= F.col("lo"), F.col("point") < F.col("hi")]).select("slot", "sid", F.floor(F.col("slot") / run).alias("run"))
     sums = s.groupBy("sid", "run").agg(F.count("*").alias("n"))
     before = sums.select("sid", "run", (F.sum("n").over(W.partitionBy("sid").orderBy("run")) - F.col("n")).alias("before"))
     inside = F.row_number().over(W.partitionBy("sid", "run").orderBy("slot")) - 1
     return s.withColumn("inside", inside).join(before, ["sid", "run"]).select("slot", "sid", (F.col("before") + F.col("inside")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 128, max_sources: int = 5_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def lattice(small: DataFrame) -> DataFrame:
+    """level, slot, sid, rank as in schedule(), for sources (sid, part, level, slots) that get the very number of slots named.
+
+    The N slots of a level are visited in steps of N over the golden ratio, which meets
+    every one of the N places once; a source owns as many neighbouring places as it has slots.
+    """
+    spark = small.sparkSession
+    counts = small.groupBy("level").agg(F.sum("slots").alias("n")).where("n > 0").collect()  # a row for each power of two below the block
+    steps = []
+    for r in counts:
+        step = max(1, round(r.n * (math.sqrt(5) - 1) / 2))
+        while math.gcd(step, r.n) > 1:
+            step += 1
+        steps.append((r.level, r.n, pow(step, -1, r.n) if r.n > 1 else 0))
+    steps_ = F.broadcast(spark.createDataFrame(steps, "level int, many long, back long"))
+    places = _prefix(small.where("slots > 0"), "slots", "level").join(steps_, "level")
+    places = places.select("level", "sid", "many", "back", F.explode(F.expr("sequence(slots_before, slots_before + slots - 1)")).alias("place"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    slot = ((wide("place") * wide("back")) % wide("many")).cast("long").alias("slot")
+    return places.select("level", "sid", slot).withColumn("rank", (F.row_number().over(W.partitionBy("sid").orderBy("slot")) - 1).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 128, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, spot, size, source_size, target, taken: a row per row of docs.
 
     size counts words (null and empty texts: 0), taken the words that the mix takes of the
     document, repeats counted, at most `most` times its size. A source without words has
-    target 0. The shuffle depends on id and text alone, so reruns agree; repeated rows are
-    taken each by itself, and those equal in id and text stand side by side. Null ids and a
-    null source are values like any other. Other columns play no part. An empty table gives
-    an empty result. More than max_sources sources are refused with an error.
+    target 0. A source whose target is under LARGE * block ** 2 takes it to within half of
+    its own block, which is at most the 64th part of the target, or to the word; a larger one
+    to within what the schedule's discrepancy and its last, short block leave: some blocks.
+    The shuffle depends on id and text alone, so reruns agree; repeated rows are taken each
+    by itself, and those equal in id and text stand side by side. Null ids and a null source
+    are values like any other. Other columns play no part. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     sized = checkpointed(_sized(docs, id_col, text_col, source_col))
-    per = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
-    if len(per) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    targets = source_targets([(r.source, r.n) for r in per], weights, share, most)
-    names = sorted(targets, key=lambda s: (s is None, s or ""))
-    size_of = {r.source: r.n for r in per}
-    exact = {s for s in names if targets[s] < FEWEST * block}
-    info = spark.createDataFrame([(i, s, size_of[s], float(targets[s]), s in exact, round(targets[s])) for i, s in enumerate(names)], "sid int, s string, source_size long, target double, exact boolean, words long")
-    buckets = max(16, sum(r.rows for r in per) // 20_000)
-    rows = _streams(sized, buckets).join(info, F.expr("source <=> s")).drop("s")
+    # Prefix sums in two levels, so that no source has to fit in one task.
+    buckets = max(16, sized.count() // 20_000)
+    rows = sized.withColumn("bucket", F.pmod(F.shiftrightunsigned(F.col("spot"), 33), F.lit(buckets)))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    info = checkpointed(targets_of(_ordered(sums), weights, share, most))
+    large = F.col("target") >= LARGE * block * block
+    level = F.when(large, F.lit(block)).otherwise(F.greatest(F.lit(1), F.least(F.lit(block), F.pow(F.lit(2.0), F.floor(F.log2(F.sqrt("target") / 8))).cast("int"))))
+    info = info.withColumn("large", large).withColumn("level", F.when(F.col("target") > 0, level).otherwise(F.lit(1)))
+    info = info.withColumn("blocks", F.ceil(F.col("n") / F.col("level")))
+    rounds, rest = F.floor(F.col("target") / F.col("n")), F.expr("target - floor(target / n) * n")
+    info = checkpointed(info.withColumn("slots", F.when(F.col("large") | (F.col("n") == 0), 0).otherwise(rounds * F.col("blocks") + F.floor(rest / F.col("level") + 0.5)).cast("long")))
+
+    known = info.select(F.col("source").alias("s"), "sid", F.col("n").alias("source_size"), "target", "level")
+    before = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")
+    before = before.join(known, F.expr("source <=> s")).drop("source").withColumnRenamed("bucket", "k")
+    inside = W.partitionBy("source", "bucket").orderBy("spot", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("inside", F.sum("size").over(inside)).join(before, F.expr("source <=> s and bucket = k"))
+    rows = rows.withColumn("stop", F.col("before") + F.col("inside")).drop("s", "k", "before", "inside", "bucket")
 
     # A source's last block is short if its words are no multiple of the block; slots past
     # `most` rounds, which rounding may give, take nothing.
-    slots = schedule(spark, [(i, float(targets[s])) for i, s in enumerate(names) if s not in exact], block)
-    rounds = slots.join(info.select("sid", F.ceil(F.col("source_size") / block).alias("blocks")), "sid").where("blocks > 0")
-    rounds = rounds.where(F.col("rank") < most * F.col("blocks")).groupBy("sid", (F.col("rank") % F.col("blocks")).alias("nth")).agg(F.count("*").alias("times"))
-    pieces = rows.where("size > 0 and not exact").select("sid", "doc_id", "spot", "stop", "size", F.explode(F.expr(f"sequence(cast(floor((stop - size) / {block}) as bigint), cast(floor((stop - 1) / {block}) as bigint))")).alias("nth"))
-    overlap = F.least(F.col("stop"), (F.col("nth") + 1) * block) - F.greatest(F.col("stop") - F.col("size"), F.col("nth") * block)
-    taken = pieces.join(rounds, ["sid", "nth"]).groupBy("sid", "stop").agg(F.sum(F.col("times") * overlap).alias("taken"))
+    slots = schedule(info.where("large"), block).select("sid", "rank").unionByName(lattice(info.where("not large")).select("sid", "rank"))
+    times = slots.join(info.select("sid", "blocks"), "sid").where("blocks > 0")
+    times = times.where(F.col("rank") < most * F.col("blocks")).groupBy("sid", (F.col("rank") % F.col("blocks")).alias("nth")).agg(F.count("*").alias("times"))
+    pieces = rows.where("size > 0").select("sid", "level", "stop", "size", F.explode(F.expr("sequence(cast(floor((stop - size) / level) as bigint), cast(floor((stop - 1) / level) as bigint))")).alias("nth"))
+    overlap = F.least(F.col("stop"), (F.col("nth") + 1) * F.col("level")) - F.greatest(F.col("stop") - F.col("size"), F.col("nth") * F.col("level"))
+    taken = pieces.join(times, ["sid", "nth"]).groupBy("sid", "stop").agg(F.sum(F.col("times") * overlap).alias("taken"))
     # Rows without words share their stop with another row; they take nothing.
     full = rows.join(taken, ["sid", "stop"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    # Whole rounds of a small source's stream, and the rest from its front.
-    small = F.expr("words div source_size * size + greatest(0, least(stop, words % source_size) - (stop - size))")
-    full = full.withColumn("taken", F.when(F.col("exact") & (F.col("size") > 0), small).otherwise(F.col("taken")))
     return full.select("doc_id", "source", "spot", "size", "source_size", "target", "taken")
 
 
