@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.durable import checkpointed, shared_folder
+
+__all__ = ["KEY", "SPACE_CLASS", "checkpointed", "crc_bucket", "free_prefix", "row_key", "shared_folder", "slices", "table", "words_of"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -46,24 +49,6 @@ def free_prefix(df: DataFrame) -> str:
     return p
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share.
-
-    A folder of our own is used only where the session names none, as in local tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there, so that a lost executor costs no more than what follows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that one slice has about max_bytes of the column's text, and a row at least."""
     import numpy as np
