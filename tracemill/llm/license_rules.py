@@ -12,61 +12,97 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised licence sentences and their identifiers, also as SENTENCE_END cuts them at colons and semicolons. normalise() puts a fixed word for the holder in the BSD clause that names one.
-SENTENCES = {
-    "released under the mit license": "MITref",
-    "licensed under the mit license": "MITref",
-    "this project is licensed under the mit license": "MITref",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITgrant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MITnotice",
-    "licensed under the apache license version 2 0": "Apache2ref",
-    "licensed under the apache license version 2 0 the license": "Apache2ref",
-    "this project is licensed under the apache license version 2 0": "Apache2ref",
-    "you may not use this file except in compliance with the license": "Apache2comply",
-    "you may obtain a copy of the license at": "Apache2copy",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2asis",
-    "see the license for the specific language governing permissions and limitations under the license": "Apache2see",
-    "this work is licensed under the gnu general public license version 3": "GPL3ref",
-    "this work is licensed under the gnu general public license version 2": "GPL2ref",
-    "licensed under the gnu general public license version 3": "GPL3ref",
-    "licensed under the gnu general public license version 2": "GPL2ref",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3orLater",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2orLater",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLwarranty",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3orLater",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2orLater",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLterms",
-    "either version 3 of the license or at your option any later version": "Either3",
-    "either version 2 of the license or at your option any later version": "Either2",
-    "this program is distributed in the hope that it will be useful but without any warranty": "GPLwarranty",
-    "without even the implied warranty of merchantability or fitness for a particular purpose": "GPLfitness",
-    "see the gnu general public license for more details": "GPLsee",
-    "licensed under the gnu lesser general public license version 3": "LGPL3ref",
-    "licensed under the gnu lesser general public license version 2 1": "LGPL21ref",
-    "licensed under the gnu affero general public license version 3": "AGPL3ref",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2ref",
-    "licensed under the mozilla public license version 2 0": "MPL2ref",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSDgrant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDsource",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDbinary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDendorse",
-    "licensed under the bsd 2 clause license": "BSD2ref",
-    "licensed under the bsd 3 clause license": "BSD3ref",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCgrant",
-    "licensed under the isc license": "ISCref",
-    "licensed under cc by 4 0": "CCBY4ref",
-    "licensed under cc by sa 4 0": "CCBYSA4ref",
-    "licensed under cc by nc 4 0": "CCBYNC4ref",
-    "licensed under cc by nd 4 0": "CCBYND4ref",
-    "licensed under cc by nc sa 4 0": "CCBYNCSA4ref",
-    "licensed under cc by nc nd 4 0": "CCBYNCND4ref",
-    "this work is licensed under a creative commons attribution 4 0 international license": "CCBY4ref",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CCBYSA4ref",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "CCBYNC4ref",
-    "this is free and unencumbered software released into the public domain": "Unlicense",
-    "this work is licensed under cc0 1 0": "CC0ref",
-    "licensed under cc0 1 0": "CC0ref",
-}
+#: Every known sentence holds one of these words, and a sentence that holds one without being known counts as unknown.
+HINTS = ("license", "licence", "redistribut", "permission", "warrant", "unencumbered", "gnu general", "copy of the", "acknowledg", "misrepresented")
+#: "v." as in "v. 2.0" ends no sentence, nor does a stop before "nor" ("Acme Inc. nor the names") or the colon of an SPDX line.
+SENTENCE_END = "(?<=[.!?;:])(?<!\\b[vV]\\.)(?<![Ii]dentifier:)[\\x20\\t]++(?!nor\\b)|\\n+"
+#: Marks that open a line of a comment, and a line that has nothing else.
+MARKS = "(?:/\\*+|\\*+/?|//+!?|#+|;+|--+|%+|<!--|\"\"\"|REM\\b)"
+#: The holder in a normalised BSD clause, and what stands for it.
+HOLDER, ANY_HOLDER = "^neither the name of .{1,200}? nor the names of its contributors may", "neither the name of the copyright holder nor the names of its contributors may"
+
+# Sentences of the published licences and of the notices that refer to them, by identifier.
+TEXTS = [
+    ("MITref", "Released under the MIT License."),
+    ("MITref", "Licensed under the MIT License."),
+    ("MITref", "This project is licensed under the MIT License."),
+    ("MITref", "Distributed under the MIT License."),
+    ("MITref", "This software is released under the MIT License."),
+    ("MITgrant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MITnotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT0grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."),
+    ("Apache2ref", "Licensed under the Apache License, Version 2.0."),
+    ("Apache2ref", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
+    ("Apache2ref", "This project is licensed under the Apache License, Version 2.0."),
+    ("Apache2ref", "Licensed under the Apache License 2.0."),
+    ("Apache2comply", "you may not use this file except in compliance with the License."),
+    ("Apache2copy", "You may obtain a copy of the License at"),
+    ("Apache2asis", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Apache2see", "See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL3ref", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL2ref", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL3ref", "Licensed under the GNU General Public License, version 3."),
+    ("GPL2ref", "Licensed under the GNU General Public License, version 2."),
+    ("GPL3ref", "Licensed under the GNU GPL v3."),
+    ("GPL2ref", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL3ref", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("GPLwarranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
+    ("GPLwarranty", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
+    ("GPLwarranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY, without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("GPLfitness", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("GPLsee", "See the GNU General Public License for more details."),
+    ("GPLsee", "See the GNU Lesser General Public License for more details."),
+    ("GPLsee", "See the GNU Affero General Public License for more details."),
+    ("LGPL3ref", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL21ref", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL3ref", "Licensed under the GNU Affero General Public License, version 3."),
+    ("MPL2ref", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL2ref", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL2copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSDgrant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSDsource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSDbinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSDendorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSDadvert", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    ("BSDadvert", "All advertising materials mentioning features or use of this software must display the following acknowledgment:"),
+    ("BSD2ref", "Licensed under the BSD 2-Clause License."),
+    ("BSD3ref", "Licensed under the BSD 3-Clause License."),
+    ("ISCgrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISCgrant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISCref", "Licensed under the ISC License."),
+    ("0BSDgrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("ZlibAsIs", "This software is provided 'as-is', without any express or implied warranty."),
+    ("ZlibGrant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("ZlibOrigin", "The origin of this software must not be misrepresented;"),
+    ("Boostgrant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("Boostref", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL2ref", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL2ref", "Licensed under the Eclipse Public License 2.0."),
+    ("EPL1ref", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL1ref", "Licensed under the Eclipse Public License 1.0."),
+    ("Artistic2ref", "Licensed under the Artistic License 2.0."),
+    ("Artistic2ref", "you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("CCBY4ref", "Licensed under CC BY 4.0."),
+    ("CCBYSA4ref", "Licensed under CC BY-SA 4.0."),
+    ("CCBYNC4ref", "Licensed under CC BY-NC 4.0."),
+    ("CCBYND4ref", "Licensed under CC BY-ND 4.0."),
+    ("CCBYNCSA4ref", "Licensed under CC BY-NC-SA 4.0."),
+    ("CCBYNCND4ref", "Licensed under CC BY-NC-ND 4.0."),
+    ("CCBY4ref", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CCBYSA4ref", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CCBYNC4ref", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0ref", "This work is licensed under CC0 1.0."),
+    ("CC0ref", "Licensed under CC0 1.0."),
+]
+# The grants of the GNU licences: name, short name, versions.
+GNU = [("General", "GPL", ("2", "3")), ("Lesser General", "LGPL", ("2.1", "3")), ("Library General", "LGPL", ("2",)), ("Affero General", "AGPL", ("3",))]
+for _name, _short, _versions in GNU:
+    _terms = f"you can redistribute it and/or modify it under the terms of the GNU {_name} Public License as published by the Free Software Foundation"
+    TEXTS.append((f"{_short}terms", _terms + ";"))
+    for _v in _versions:
+        _later = f"either version {_v} of the License, or (at your option) any later version."
+        TEXTS += [(f"{_short}{_v}orLater", f"{_terms}, {_later}"), (f"Either{_v}", _later)]
 
 #: Ordered rules: the first rule whose identifiers occur in this order, with anything between, takes its place; all that match are named.
 RULES = [
@@ -74,6 +110,14 @@ RULES = [
     ("GPL-2.0-or-later", ["GPL2orLater"]),
     ("GPL-3.0-or-later", ["GPLterms", "Either3"]),
     ("GPL-2.0-or-later", ["GPLterms", "Either2"]),
+    ("LGPL-3.0-or-later", ["LGPL3orLater"]),
+    ("LGPL-3.0-or-later", ["LGPLterms", "Either3"]),
+    ("LGPL-2.1-or-later", ["LGPL2.1orLater"]),
+    ("LGPL-2.1-or-later", ["LGPLterms", "Either2.1"]),
+    ("LGPL-2.0-or-later", ["LGPL2orLater"]),
+    ("LGPL-2.0-or-later", ["LGPLterms", "Either2"]),
+    ("AGPL-3.0-or-later", ["AGPL3orLater"]),
+    ("AGPL-3.0-or-later", ["AGPLterms", "Either3"]),
     ("AGPL-3.0-only", ["AGPL3ref"]),
     ("LGPL-3.0-only", ["LGPL3ref"]),
     ("LGPL-2.1-only", ["LGPL21ref"]),
@@ -82,14 +126,23 @@ RULES = [
     ("Apache-2.0", ["Apache2ref"]),
     ("Apache-2.0", ["Apache2comply", "Apache2asis"]),
     ("MPL-2.0", ["MPL2ref"]),
+    ("BSD-4-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDadvert"]),
     ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse"]),
     ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary"]),
     ("BSD-3-Clause", ["BSD3ref"]),
     ("BSD-2-Clause", ["BSD2ref"]),
     ("MIT", ["MITgrant", "MITnotice"]),
     ("MIT", ["MITref"]),
+    ("MIT-0", ["MIT0grant"]),
     ("ISC", ["ISCgrant"]),
     ("ISC", ["ISCref"]),
+    ("0BSD", ["0BSDgrant"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("BSL-1.0", ["Boostgrant"]),
+    ("BSL-1.0", ["Boostref"]),
+    ("EPL-2.0", ["EPL2ref"]),
+    ("EPL-1.0", ["EPL1ref"]),
+    ("Artistic-2.0", ["Artistic2ref"]),
     ("CC-BY-4.0", ["CCBY4ref"]),
     ("CC-BY-SA-4.0", ["CCBYSA4ref"]),
     ("CC-BY-NC-4.0", ["CCBYNC4ref"]),
@@ -99,38 +152,53 @@ RULES = [
     ("CC0-1.0", ["CC0ref"]),
     ("Unlicense", ["Unlicense"]),
 ]
+# SPDX lines name a licence by itself; names of the GNU licences had other forms.
+SPDX_LINE = "SPDX-License-Identifier: "
+for _name in dict.fromkeys(n for n, _ in RULES):
+    _also = [_name, _name.replace("-only", ""), _name.replace("-or-later", "+")]
+    TEXTS += [(f"SPDX-{_name}", SPDX_LINE + n) for n in dict.fromkeys(_also)]
+    RULES = [*RULES, (_name, [f"SPDX-{_name}"])]
 
 #: Rules that a longer one of theirs makes superfluous.
-COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
-
-#: Every known sentence holds one of these words, and a sentence that holds one without being known counts as unknown.
-HINTS = ("license", "redistribut", "permission", "warrant", "unencumbered", "gnu general", "copy of the")
-#: "v." as in "v. 2.0" ends no sentence, nor does a stop before "nor" ("Acme Inc. nor the names").
-SENTENCE_END = "(?<=[.!?;:])(?<!\\b[vV]\\.)[\\x20\\t]++(?!nor\\b)|\\n+"
-#: The holder in a normalised BSD clause, and what stands for it.
-HOLDER, ANY_HOLDER = "^neither the name of .{1,200}? nor the names of its contributors may", "neither the name of the copyright holder nor the names of its contributors may"
+COVERED = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)}
 
 
 def normalise(sentence: str) -> str:
-    """What SQL does to a sentence, for tests and callers: lower case, other characters than letters and digits to single spaces, any holder in the BSD clause to a fixed one."""
-    return re.sub(HOLDER, ANY_HOLDER, re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" "))
+    """What SQL does to a sentence: lower case, other characters than letters, digits and a closing + to single spaces, any holder in the BSD clause to a fixed one."""
+    return re.sub(HOLDER, ANY_HOLDER, re.sub("[^a-z0-9+]+|\\+(?=[^\\s])", " ", sentence.lower()).strip(" "))
 
 
 def _normal(sentence: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), HOLDER, ANY_HOLDER)
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9+]+|\\+(?=[^\\s])", " ")), HOLDER, ANY_HOLDER)
+
+
+def cut(text: str) -> list[str]:
+    """The normalised sentences of a text that hold a hint word, cut as SQL cuts them."""
+    return [normalise(x) for x in re.split(SENTENCE_END, text) if any(h in x.lower() for h in HINTS)]
+
+
+#: Normalised sentence: identifier. The table's sentences go through the same cutting as a text's.
+SENTENCES = {piece: name for name, text in TEXTS for piece in cut(text)}
+
+
+def plain_lines(text: Column) -> Column:
+    """The text without comment marks at the beginnings of lines; a line of marks alone is a blank one."""
+    return F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), f"(?m)^[\\x20\\t]*+{MARKS}[\\x20\\t]*+", "")
 
 
 def licence_sentences(text: Column) -> Column:
     """Identifiers of the known licence sentences of a text, in order; `unknown` for others that have a hint word."""
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    hint = "|".join(HINTS)
-    sentences = F.filter(F.split(text, SENTENCE_END), lambda s: F.regexp_like(F.lower(s), F.lit(hint)))
+    hint = F.lit("(?i)" + "|".join(HINTS))
+    pieces = lambda t: F.filter(F.split(t, SENTENCE_END), lambda s: F.regexp_like(s, hint))
+    sentences = pieces(plain_lines(text))
     # Long licence texts wrap their lines; a paragraph is also read as one line.
-    joined = F.filter(F.split(F.regexp_replace(text, "(?<!\\n)\\n(?!\\n)", " "), SENTENCE_END), lambda s: F.regexp_like(F.lower(s), F.lit(hint)))
+    joined = pieces(F.regexp_replace(plain_lines(text), "(?<!\\n)\\n(?!\\n)", " "))
     ids = lambda a: F.transform(a, lambda s: F.coalesce(F.try_element_at(known, _normal(s)), F.lit("unknown")))
-    one, two = ids(sentences), ids(joined)
-    known_in = lambda a: F.size(F.filter(a, lambda x: x != "unknown"))
-    return F.when(known_in(two) > known_in(one), two).otherwise(one)
+    count = lambda a: F.size(F.filter(a, lambda x: x != "unknown"))
+    # Each reading is worked out once and the one that knows more is taken, that by lines if both know as much.
+    best = F.reduce(F.array(ids(sentences), ids(joined)), F.lit(None).cast("array<string>"), lambda a, b: F.when(a.isNull() | (count(b) > count(a)), b).otherwise(a))
+    return best
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,10 +213,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ids = F.when(F.regexp_like(text, F.lit("(?i)" + "|".join(HINTS))), licence_sentences(text)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    hits = [F.when(F.regexp_like(line, F.lit(",(?:.*,)?".join(["", *rule, ""]))), F.lit(name)) for name, rule in RULES]
+    hits = [F.when(F.regexp_like(line, F.lit(",(?:.*,)?".join(["", *map(re.escape, rule), ""]))), F.lit(name)) for name, rule in RULES]
     names = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
     for less, more in COVERED.items():
-        names = F.when(F.array_contains(names, more), F.array_remove(names, less)).otherwise(names)
+        names = F.when(F.arrays_overlap(names, F.array(*map(F.lit, more))), F.array_remove(names, less)).otherwise(names)
     out = rows.select("*", F.when(F.size("sentence_ids") > 0, names).otherwise(F.array().cast("array<string>")).alias("licences"))
     known = F.size(F.filter("sentence_ids", lambda x: x != "unknown")).cast("long")
     return out.select("*", known.alias("n_known"), (F.size("sentence_ids") - known).cast("long").alias("n_unknown"))
