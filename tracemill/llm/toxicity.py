@@ -49,10 +49,19 @@ def features(words: Iterable[str]):
     return np.array(flat, dtype=np.int64).reshape(-1, WIDTH) % SLOTS
 
 
+def tokens_of(text: str) -> list[str]:
+    """Lower-cased words and stops of a text, as many words as WORD finds in the text itself."""
+    low = text.lower()
+    if len(low) == len(text):
+        return TOKEN.findall(low)
+    # A character became two, which may part a word; words are found first, then lower-cased.
+    return [w.lower() for w in TOKEN.findall(text)]
+
+
 def chains(text: str) -> list[list[str]]:
     """Lower-cased words of a text by sequence."""
     out: list[list[str]] = [[]]
-    for w in TOKEN.findall(text.lower()):
+    for w in tokens_of(text):
         if w in ".!?\n":
             if out[-1]:
                 out.append([])
@@ -163,8 +172,11 @@ def evidence(top, total, n_words):
     return np.column_stack([np.ones(len(total)), np.clip(top, -8, 8), np.log1p(total), np.where(total > 0, np.log1p(n_words), 0.0)])
 
 
-def fit_crf(texts: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Crf:
-    """Labelled tokens from labelled texts, then the CRF by Adagrad, then the document score by logistic regression."""
+def fit_crf(texts: list[tuple[str, int]], most: int = 20_000, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Crf:
+    """Labelled tokens from labelled texts, then the CRF by Adagrad, then the document score by logistic regression.
+
+    The CRF takes at most `most` sequences with a toxic token and as many without, chosen at random.
+    """
     import numpy as np
 
     docs = [(chains(t or ""), y) for t, y in texts]
@@ -185,7 +197,9 @@ def fit_crf(texts: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, d
             elif not y:
                 clean.append((c, tags))
     pick = rng.permutation(len(clean))[: max(2000, 2 * len(marked))]
-    data = marked[:20_000] + [clean[i] for i in pick[:20_000]]
+    if len(marked) > most:
+        marked = [marked[i] for i in np.random.default_rng(seed + 1).permutation(len(marked))[:most]]
+    data = marked + [clean[i] for i in pick[:most]]
     number: dict[str, int] = {}
     coded = [(np.array([number.setdefault(x, len(number)) for x in c]), np.array(tags, dtype=float)) for c, tags in data]
     table = features(number)
@@ -252,7 +266,7 @@ class Scorer:
         tokens: list[str] = []
         counts = []
         for t in texts:
-            words = TOKEN.findall(t.lower()) if t else []
+            words = tokens_of(t) if t else []
             tokens += words
             counts.append(len(words))
         fresh = list(set(tokens) - known.keys())
@@ -287,36 +301,39 @@ class Scorer:
             total = np.bincount(doc, np.where(p > 0.5, p, 0.0), len(texts))
             for d in np.unique(doc[p > 0.5]):
                 flags = p[doc == d] > 0.5
-                found = [m.span() for m in WORD.finditer(texts[d])]
-                if len(found) != len(flags):  # lower-casing changed the number of words
-                    found = [m.span() for m in WORD.finditer(texts[d].lower())]
-                spans[d] = [s for s, f in zip(found, flags) if f]
+                spans[d] = [m.span() for m, f in zip(WORD.finditer(texts[d]), flags) if f]
         return zip(top.tolist(), total.tolist(), counts, spans)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[str, int]]:
-    """At most per_class labelled rows of each class, those with the smallest hashes of their ids, and their texts."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int = 100_000) -> list[tuple[str, int]]:
+    """Texts and labels of at most per_class labelled rows of each class, those with the smallest hashes of their ids.
+
+    Texts of more than `longest` characters do not teach. Where ids repeat among the documents,
+    four times as many rows at most teach, those with the smallest hashes of id and text.
+    """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     few = None
     for y in (0, 1):
         part = rows.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(per_class)
         few = part if few is None else few.unionByName(part)
     # The join's small side is bounded by per_class, whatever the corpus holds.
-    return [(r.text or "", r.y) for r in docs.join(F.broadcast(few), "doc_id").orderBy("doc_id", "y", "text").limit(4 * per_class).collect()]
+    found = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(few), "doc_id")
+    found = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "y", "text").limit(4 * per_class).collect()
+    return [(r.text or "", r.y) for r in sorted(found, key=lambda r: (r.doc_id, r.y, r.text or ""))]
 
 
-def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, per_class: int = 1500, longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, n_toxic, spans for every row of docs; learns from the rows of `labels` (doc_id, toxic) alone.
 
     spans are first character and end of each word with a marginal above one half, comma-
     joined as start:end. Null and empty texts have no words and get the score of a text
     without a toxic word. Rows with a null id or label teach nothing; repeated rows are
     scored repeatedly; other columns play no part. Without labels of both classes all
-    documents get the same score. An empty table gives an empty result. per_class bounds
-    the labelled rows that the fit takes.
+    documents get the same score. An empty table gives an empty result. per_class and
+    longest bound the labelled rows that the fit takes; see sample() and fit_crf().
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit_crf(sample(rows, labels, per_class)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_crf(sample(rows, labels, per_class, longest)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
