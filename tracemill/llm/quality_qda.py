@@ -13,8 +13,9 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracemill.llm.common import checkpointed, slices
+from tracemill.llm.common import checkpointed, free_prefix, slices
 
 #: Statistics of a text, each made roughly symmetric by a logarithm or a square root.
 STATISTICS = ("words", "word_length", "distinct", "doubled", "windows", "symbols", "digits", "capitals", "letters", "lines", "line_words", "repeated_lines", "stops", "commas")
@@ -224,16 +225,30 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, shrinkage:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, shrinkage: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score of at least `least`, all columns as they are. Cases are as in classify()."""
-    model = fit(text_statistics(docs, id_col, text_col), labels, shrinkage)
-    at = docs.columns.index(text_col)
+    """The rows of docs with a score of at least `least`, all columns as they are. Cases are as in classify().
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows are written once with their statistics beside them, so that texts are read once.
+    """
+    at, x = docs.columns.index(text_col), f"{free_prefix(docs)}x"
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         for b in batches:
             for part in slices(iter([b]), b.schema.names[at]):
-                s = model.scores([statistics(t) for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array(s >= least))
+                xs = pa.array([statistics(t) for t in part.column(at).to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, xs], names=[*part.schema.names, x])
+
+    rows = checkpointed(docs.mapInArrow(measure, T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])))
+    model = fit(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(x).alias("x")), labels, shrinkage)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            s = model.scores(np.array(b.column(b.num_columns - 1).to_pylist(), dtype=float).reshape(-1, len(STATISTICS)))
+            good = b.filter(pa.array(s >= least))
+            yield pa.RecordBatch.from_arrays(good.columns[:-1], names=good.schema.names[:-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(keep, docs.schema)
