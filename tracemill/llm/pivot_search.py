@@ -71,13 +71,15 @@ def nearest(x, p):
 
 
 def products(q, x):
-    """Integer inner products of all rows of q with all rows of x, exact."""
+    """Integer inner products of all rows of q with all rows of x, exact; what a long can't hold becomes the nearest that it can."""
     import numpy as np
 
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * q.shape[1]
     if most < 2**53:
         return (q.astype(float) @ x.astype(float).T).astype(np.int64)
-    return q @ x.T
+    if most < 2**62:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def top_pairs(scores, ids, k: int, own):
@@ -107,12 +109,13 @@ def _index(rows: DataFrame, model) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                vs = b.column("v").to_pylist()
-                dims = np.array([len(v) for v in vs])
-                pivot, ring, dist, norm = np.zeros(len(vs), np.int32), np.zeros(len(vs), np.int32), np.zeros(len(vs)), np.zeros(len(vs))
+                n, flat = b.num_rows, b.column("v").flatten().to_numpy()
+                dims = np.asarray(b.column("v").value_lengths(), dtype=np.int64)
+                starts = np.cumsum(dims) - dims
+                pivot, ring, dist, norm = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
                 for d in np.unique(dims):
                     rows_ = np.flatnonzero(dims == d)
-                    x = np.array([vs[i] for i in rows_], dtype=float)
+                    x = flat[starts[rows_][:, None] + np.arange(d)].astype(float)
                     p, cuts = shared.value.get(int(d), (np.zeros((1, d)), [np.array([])]))
                     near, far = nearest(x, p)
                     pivot[rows_], dist[rows_], norm[rows_] = near, far, np.square(x).sum(axis=1)
@@ -226,16 +229,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = 32, r
     """
     import numpy as np
 
-    rows = checkpointed(quantised(vectors, scale, id_col, vector_col))
+    rows = quantised(vectors, scale, id_col, vector_col)
     fitted = [r.v for r in rows.orderBy(F.xxhash64(F.lit(2), "vec_id"), "vec_id").limit(sample).select("v").collect()]
     model = fit_pivots(fitted, pivots, rings)
-    index = _index(rows, model)
+    index = checkpointed(_index(rows, model))
     cells = ["dim", "pivot", "ring"]
     per = index.groupBy(*cells).agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm2").alias("norm2"), F.count("*").alias("n")).orderBy(*cells).collect()
     stats = {d: tuple(np.array(c) for c in zip(*[(r.pivot, r.ring, r.low, r.high, r.norm2) for r in per if r.dim == d])) for d in {r.dim for r in per}}
     rows_of = {(r.dim, r.pivot, r.ring): r.n for r in per}
 
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    queries = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     queries = checkpointed(queries.withColumn("least", F.lit(None).cast("double")))
     one = checkpointed(_search(_visits(queries, stats, model, first, False), index, rows_of, k, block))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
