@@ -1,0 +1,45 @@
+"""The pipeline's stages one after another, near copies by five-word shingles, against plain versions."""
+
+import hashlib
+from collections import Counter
+
+from test_ops import brute_lines, rows_of
+from test_similar_texts import heads
+
+from tracemill.llm import mixing, queries
+from tracemill.llm.common import shared_folder, table
+
+
+def test_each_stage_and_the_whole(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.01"
+    before = table(spark, d, "documents")
+    columns = before.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, d).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        if name != "tokens":
+            assert sorted(after.columns) == sorted(columns)
+        if name == "quality":
+            assert {r.doc_id for r in after.collect()} == {r.doc_id for r in queries.op4_quality_qda(spark, d).where("predicted = 1").collect()}
+        if name == "lines":
+            assert rows_of(after.select("doc_id", "text")) == brute_lines([(r.doc_id, r.text) for r in before.collect()])
+        if name == "near_duplicates":
+            rows = [(r.doc_id, r.text) for r in before.collect()]
+            # Texts without words are one group of their own.
+            said = heads([(i, t) for i, t in rows if (t or "").strip()])
+            empty = [i for i, t in rows if not (t or "").strip()]
+            assert Counter(r.doc_id for r in after.collect()) == Counter([*said, *([min(empty)] if empty else [])])
+        if name == "mixture":
+            want = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixing.mix(before).where("size > 0").collect()}
+            assert Counter(r.doc_id for r in after.collect()) == Counter({i: n for i, n in want.items() if n})
+        if name == "tokens":
+            sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+            assert Counter((r.doc_id, r.decoded_sha256) for r in after.collect()) == Counter((r.doc_id, sha(r.text)) for r in before.collect())
+        before = after
+    assert rows_of(corpus_pipeline.run(spark, d)) == rows_of(before)
+    left = [f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("pipeline-")]
+    assert left and all(os.listdir(os.path.join(shared_folder(spark).removeprefix("file:"), f)) == ["tokens"] for f in left)

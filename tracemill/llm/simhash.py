@@ -340,10 +340,10 @@ def similar_links(one: DataFrame, rows: DataFrame, width: int, block: int = 512,
     rest = checkpointed(placed.join(split, "band"))
     # Crowds: members that reach each other over shared bands.
     crowd = connected_components(rest.select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("root").alias("crowd"))
-    rest = rest.drop("head").join(crowd, "node")
-    by_band = rest.groupBy("crowd", "band").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
-    by_crowd = rest.groupBy("crowd").agg(F.count_distinct("node").alias("n")).join(by_band, "crowd").select("crowd", (F.col("n") * F.col("n") <= F.col("cost")).alias("whole"))
-    shard = rest.join(by_crowd, "crowd").select(F.when(F.col("whole"), F.xxhash64(F.lit("crowd"), "crowd")).otherwise(F.xxhash64(F.lit("band"), "band")).alias("shard"), "node", "root").distinct()
+    by_band = rest.groupBy("band").agg(F.count("*").alias("n"), F.first("head").alias("node")).join(crowd, "node")
+    by_crowd = by_band.groupBy("crowd").agg(F.sum(F.col("n") * F.col("n")).alias("cost")).join(crowd.groupBy("crowd").agg(F.count("*").alias("n")), "crowd")
+    placed_in = crowd.join(by_crowd.select("crowd", (F.col("n") * F.col("n") <= F.col("cost")).alias("whole")), "crowd")
+    shard = rest.join(placed_in, "node").select(F.when(F.col("whole"), F.xxhash64(F.lit("crowd"), "crowd")).otherwise(F.xxhash64(F.lit("band"), "band")).alias("shard"), "node", "root").distinct()
 
     shard = checkpointed(shard.join(sets, "node"))
     sizes = shard.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.size("hs")).alias("w"))
