@@ -63,6 +63,24 @@ def parts_to_text(parts: Column, separator: str = " ", placeholder: bool = True)
     return F.array_join(F.filter(said, lambda x: x.isNotNull() & (x != "")), separator)
 
 
+def as_text(v: Column) -> Column:
+    """A JSON value (variant) as text: a string as it is, a list as the texts of its items by line, all else as JSON; null is empty."""
+    kind = F.schema_of_variant(v)
+    text_of = lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")).otherwise(F.coalesce(F.try_variant_get(x, "$.text", "string"), F.to_json(x)))
+    listed = F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), text_of), "\n")
+    return F.coalesce(F.when(kind == "STRING", v.cast("string")).when(kind.startswith("ARRAY"), listed).when(kind != "VOID", F.to_json(v)), F.lit(""))
+
+
+def wall_time(c: Column) -> Column:
+    """The seconds that a tool's output says it took, in the lines before the output itself; null without them."""
+    return F.nullif(F.regexp_extract(c, "(?m)\\A(?:.*\\n){0,4}?Wall time: ([0-9]+(?:\\.[0-9]+)?) seconds?", 1), F.lit("")).cast("double")
+
+
+def tool_output(c: Column) -> Column:
+    """A tool's output without the lines of exit code and wall time before it."""
+    return F.regexp_replace(c, "\\A(?:(?:Exit code|Process exited with code|Wall time|Total output lines|Chunk ID|Original token count)[: ].*\\n)+(?:Output:\\n)?", "")
+
+
 def exit_code(c: Column) -> Column:
     """The exit code that a tool's output opens with; null without one."""
     return F.nullif(F.regexp_extract(c, "^(?:Exit code|Process exited with code)[: ]+(-?[0-9]+)", 1), F.lit("")).cast("int")
@@ -73,6 +91,29 @@ def front_matter(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, "(?s)\\A---\\r?\\n(.*?)\\r?\\n---(?:\\r?\\n|\\z)", 1), F.lit(""))
 
 
+def front_matter_values(c: Column) -> Column:
+    """The front matter as a map from key to text, by its simple lines: scalars without their quotes, [a, b] and indented lists as a, b; what is nested deeper is left out."""
+    lines = F.split(F.coalesce(front_matter(c), F.lit("")), "\\r?\\n")
+    bare = lambda x: F.regexp_replace(strip(F.regexp_replace(x, "\\s+#.*$", "")), "^([\"'])(.*)\\1$", "$2")
+    flat = lambda x: F.when(F.regexp_like(x, F.lit("^\\[.*\\]$")), F.array_join(F.transform(F.split(F.regexp_replace(x, "^\\[|\\]$", ""), ","), bare), ", ")).otherwise(bare(x))
+    joined = F.regexp_replace(F.array_join(lines, "\n"), "(?m)\\n[ \\t]*-[ \\t]+", "\u0001")
+    pairs = F.filter(F.split(joined, "\n"), lambda x: F.regexp_like(x, F.lit("^[A-Za-z0-9_-]+[ \\t]*:(?:[ \\t\u0001]|$)")))
+    value = lambda x: F.regexp_replace(x, "^[^:]*:[ \\t]*", "")
+    entry = lambda x: F.struct(strip(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), F.when(F.contains(x, F.lit("\u0001")), F.array_join(F.transform(F.filter(F.split(value(x), "\u0001"), lambda y: strip(y) != ""), bare), ", ")).otherwise(flat(value(x))).alias("value"))
+    # The last of several lines with one key counts.
+    return F.aggregate(F.transform(pairs, entry), F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e.getField("key")), F.create_map(e.getField("key"), e.getField("value"))))
+
+
+def user_kind(c: Column) -> Column:
+    """Who wrote a message in the user's name: `system` for tags, interruptions and continuations, `auto` for prompts that carry out a plan, else `user`."""
+    t = strip(F.coalesce(c, F.lit("")))
+    tag = F.lit(False)
+    for x in SYSTEM_TAGS:
+        tag = tag | t.startswith(x)
+    system = tag | t.startswith("[Request interrupted") | t.startswith("This session is being continued")
+    return F.when(system, "system").when(t.startswith("Implement the following plan"), "auto").otherwise("user")
+
+
 def body(c: Column) -> Column:
     return F.regexp_replace(c, "(?s)\\A---\\r?\\n.*?\\r?\\n---(?:\\r?\\n|\\z)", "")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracemill.functions.text import head_and_tail, one_line
+from tracemill.functions.text import argument_summary, head_and_tail, one_line
 
 CHARS_PER_TOKEN, MIN_STEPS, AGE_DAYS, RICH_STEPS = 4, 10, 30.0, 200
 
@@ -176,6 +176,24 @@ def pack(contexts: DataFrame, budget: int, period: str = "month", run_budgets: i
     return runs.groupBy("project", "period", "run").applyInPandas(run, "session_id string, batch string, tokens long")
 
 
+def pack_chains(contexts: DataFrame, links: DataFrame, budget: int, **how) -> DataFrame:
+    """pack() that keeps sessions which continue each other in one batch, where they fit together.
+
+    links has session_id and head, the first session of each chain. A chain takes the place of
+    its first session and goes into a batch as one; a chain over the budget falls apart into
+    its sessions.
+    """
+    rows = contexts.select(F.col("session_id").cast("string").alias("session_id"), "project", "created_at", F.col("tokens").cast("long").alias("tokens"))
+    heads = links.select(F.col("session_id").cast("string").alias("session_id"), F.col("head").cast("string").alias("head"))
+    rows = rows.join(heads, "session_id", "left").withColumn("head", F.coalesce("head", "session_id"))
+    size = rows.groupBy("head").agg(F.sum("tokens").alias("all"))
+    rows = rows.join(size, "head").withColumn("unit", F.when(F.col("all") <= budget, F.col("head")).otherwise(F.col("session_id")))
+    first = F.struct(F.col("session_id") != F.col("unit"), F.col("created_at").isNotNull(), "created_at", "session_id")
+    units = rows.groupBy("unit").agg(F.min_by("project", first).alias("project"), F.min_by("created_at", first).alias("created_at"), F.sum("tokens").alias("tokens"))
+    placed = pack(units.withColumnRenamed("unit", "session_id"), budget, **how)
+    return rows.join(placed.select(F.col("session_id").alias("unit"), "batch"), "unit").select("session_id", "batch", "tokens")
+
+
 def infer(batches: DataFrame, backend, column: str = "context") -> DataFrame:
     """batches with ok, answer, error of a callable from text to text. A failure is a row, not the end of the job."""
 
@@ -201,4 +219,42 @@ def severity(c: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(5), c))
 
 
-__all__ = ["cap", "digest_depth", "extracts", "fit_to_budget", "head_and_tail", "headers", "infer", "pack", "sample", "sampling_scores", "severity", "split_oversized", "token_estimate", "tool_line"]
+def metadata_extracts(sessions: DataFrame, steps: DataFrame) -> DataFrame:
+    """session_id, context: header, project and time alone, for questions that need no messages."""
+    head = headers(steps if "tool_name" in steps.columns else steps.withColumn("tool_name", F.lit(None).cast("string")))
+    said = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string")))
+    return sessions.join(head, "session_id").select("session_id", F.concat_ws("\n", "header", said("PROJECT", "project"), said("START", "created_at"), said("FIRST MESSAGE", "first_message") if "first_message" in sessions.columns else F.lit(None).cast("string")).alias("context"))
+
+
+def with_arguments(steps: DataFrame, calls: DataFrame, preset: str = "medium") -> DataFrame:
+    """steps whose agents' messages go on with a line for each call: its tool and what its arguments say most."""
+    line = F.concat(F.lit("  TOOL: "), F.col("tool_name"), F.coalesce(F.concat(F.lit(" "), F.nullif(argument_summary(F.col("tool_name"), F.col("arguments"), PRESETS[preset][2]), F.lit(""))), F.lit("")))
+    lines = calls.where("tool_name is not null").groupBy("session_id", "step_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("call_pos", line.alias("line")))), lambda x: x.getField("line")), "\n").alias("__lines"), F.min_by("tool_name", "call_pos").alias("__tool"))
+    out = steps.join(lines, ["session_id", "step_idx"], "left").withColumn("message", F.concat_ws("\n", "message", "__lines"))
+    return out.withColumn("tool_name", F.col("__tool")).drop("__lines", "__tool")
+
+
+def in_order(wanted: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(session_id, context, idx) of the sessions asked for, numbered in their order, and (session_id) of those without a context. wanted has session_id and position."""
+    j = wanted.join(contexts.select("session_id", "context"), "session_id", "left")
+    have = j.where("context is not null")
+    # Positions are the user's list of sessions, which is short; gaps close by counting.
+    idx = (F.row_number().over(W.orderBy("position")) - 1).alias("idx")
+    return have.select("session_id", "context", idx), j.where("context is null").select("session_id")
+
+
+def cost_estimate(inputs: DataFrame, prices: DataFrame, model: str, output_budget: int, synthesis: int = 2000) -> DataFrame:
+    """model, batches, input_tokens, low, high: dollars of an analysis, if answers take a quarter or six tenths of their budget.
+
+    inputs has a row with `tokens` for each batch. Several batches are followed by a synthesis
+    of `synthesis` tokens. Null where the model has no price.
+    """
+    n = inputs.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
+    calls = F.col("n") + F.when(F.col("n") > 1, 1).otherwise(0)
+    tokens = F.col("t") + F.when(F.col("n") > 1, synthesis).otherwise(0)
+    price = prices.where(F.col("price_model") == model).select("input", "output")
+    dollars = lambda part: F.round((tokens * F.col("input") + calls * int(output_budget * part) * F.col("output")) / 1e6, 6)
+    return n.join(F.broadcast(price.limit(1)), F.lit(True), "left").select(F.lit(model).alias("model"), F.col("n").alias("batches"), tokens.alias("input_tokens"), dollars(0.25).alias("low"), dollars(0.6).alias("high"))
+
+
+__all__ = ["cost_estimate", "in_order", "metadata_extracts", "pack_chains", "with_arguments", "cap", "digest_depth", "extracts", "fit_to_budget", "head_and_tail", "headers", "infer", "pack", "sample", "sampling_scores", "severity", "split_oversized", "token_estimate", "tool_line"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill.functions import times
 from tracemill.functions.models import real_model
 
 NO_PROJECT, UNKNOWN = "(no project)", "unknown"
@@ -164,3 +165,31 @@ def share(t: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's part of the total."""
     total = t.agg(F.sum(value).alias("total"))
     return t.join(F.broadcast(total)).select(key, value, F.round(F.col(value) / F.nullif(F.col("total"), F.lit(0)).cast("double"), 4).alias("share"))
+
+
+def final_metrics(steps: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """One row for each session when it is read: token sums, cost (null where nothing has a price), steps, tool calls, seconds, and messages, tokens and cost by day.
+
+    steps has cost_usd, as with_cost() writes it. A step without a time counts for the day of
+    the session's first timed step; without any there are no days. calls are counted, or else
+    the steps that have a tool_name.
+    """
+    first = steps.where("ts is not null").groupBy("session_id").agg(F.min_by("ts", "step_idx").alias("__first"))
+    s = steps.join(first, "session_id", "left").withColumn("day", times.day(F.coalesce("ts", "__first")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    spent = zero(F.col("prompt_tokens")) + zero(F.col("completion_tokens"))
+    days = s.where("day is not null").groupBy("session_id", "day").agg(F.count("*").alias("messages"), F.sum(spent).alias("tokens"), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"))
+    by_day = days.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("day", F.struct("messages", "tokens", "cost_usd"))))).alias("days"))
+    sums = {c: zero(F.sum(c)).alias(c) for c in ("prompt_tokens", "completion_tokens", "cache_read_tokens", "cache_write_tokens")}
+    own = F.count("tool_name") if calls is None else F.lit(0)
+    out = steps.groupBy("session_id").agg(*sums.values(), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count("*").alias("steps"), own.alias("tool_calls"), F.coalesce(F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")), F.lit(0)).alias("duration"))
+    if calls is not None:
+        n = calls.groupBy("session_id").agg(F.count("*").alias("__n"))
+        out = out.join(n, "session_id", "left").withColumn("tool_calls", zero(F.col("__n"))).drop("__n")
+    return out.join(by_day, "session_id", "left")
+
+
+def detail_counts(steps: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
+    """key, sessions, steps: what each group of sessions, such as an upload, holds."""
+    n = steps.groupBy("session_id").agg(F.count("*").alias("n"))
+    return sessions.join(n, "session_id", "left").groupBy(key).agg(F.count("*").alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("steps"))

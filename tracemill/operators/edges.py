@@ -66,13 +66,8 @@ def multi_edit(calls: DataFrame) -> DataFrame:
     return _edge(c.where("src.call_id is not null"), "multi_edit", F.col("path"))
 
 
-def error_retry(calls: DataFrame) -> DataFrame:
-    """A failed call and the next call of the same tool within 6 calls. A call is the target of one edge, and then starts none.
-
-    Which call is taken depends on what was taken before, so calls are gone through in order,
-    in runs: a new one starts where none of the 6 calls before failed, as no edge leads past
-    that place, and calls that no failure reaches are left out.
-    """
+def _retries(calls: DataFrame) -> DataFrame:
+    """session_id, source_id, target_id, target_idx of the edges of error_retry()."""
     kinds = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,15 +81,25 @@ def error_retry(calls: DataFrame) -> DataFrame:
                 j = next((j for j in range(i + 1, min(i + 1 + RETRY, len(rows))) if j not in taken and rows[j]["tool_name"] == r["tool_name"]), None)
                 if j is not None:
                     taken.add(j)
-                    out.append((r["session_id"], r["call_id"], rows[j]["call_id"]))
-        cols = [pa.array([x[i] for x in out], t.schema.field(n).type) for i, n in enumerate(("session_id", "call_id", "call_id"))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(["error_retry"] * len(out), pa.string()), pa.array([""] * len(out), pa.string())], names=EDGE)
+                    out.append((r["session_id"], r["call_id"], rows[j]["call_id"], rows[j]["idx"]))
+        cols = [pa.array([x[i] for x in out], t.schema.field(n).type) for i, n in enumerate(("session_id", "call_id", "call_id", "idx"))]
+        yield pa.RecordBatch.from_arrays(cols, names=["session_id", "source_id", "target_id", "target_idx"])
 
     w = W.partitionBy("session_id").orderBy("idx")
     error = F.coalesce(F.col("is_error").cast("boolean"), F.lit(False))
     few = calls.select("session_id", "idx", "call_id", "tool_name", "is_error", F.coalesce(F.max(error).over(w.rowsBetween(-RETRY, -1)), F.lit(False)).alias("near"))
     few = few.withColumn("run", F.sum(F.when(F.col("near"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return few.where(F.col("near") | error).drop("near").groupBy("session_id", "run").applyInArrow(run, f"session_id {kinds['session_id']}, source_id {kinds['call_id']}, target_id {kinds['call_id']}, relation string, resource string")
+    return few.where(F.col("near") | error).drop("near").groupBy("session_id", "run").applyInArrow(run, f"session_id {kinds['session_id']}, source_id {kinds['call_id']}, target_id {kinds['call_id']}, target_idx {kinds['idx']}")
+
+
+def error_retry(calls: DataFrame) -> DataFrame:
+    """A failed call and the next call of the same tool within 6 calls. A call is the target of one edge, and then starts none.
+
+    Which call is taken depends on what was taken before, so calls are gone through in order,
+    in runs: a new one starts where none of the 6 calls before failed, as no edge leads past
+    that place, and calls that no failure reaches are left out.
+    """
+    return _retries(calls).select("session_id", "source_id", "target_id", F.lit("error_retry").alias("relation"), F.lit("").alias("resource"))
 
 
 def sequential(calls: DataFrame, strong: DataFrame) -> DataFrame:
@@ -106,10 +111,34 @@ def sequential(calls: DataFrame, strong: DataFrame) -> DataFrame:
 
 
 def all_edges(calls: DataFrame) -> DataFrame:
-    strong = None
-    for f in (read_before_write, search_then_read, write_then_test, multi_edit, error_retry):
-        strong = f(calls) if strong is None else strong.unionByName(f(calls))
-    return strong.unionByName(sequential(calls, strong))
+    """The edges of all kinds: sequential ones only where no other leads to the call.
+
+    One exchange by session serves all windows; each call carries the edges that lead to it.
+    """
+    c = calls.repartition("session_id").withColumn("kind", category(F.col("tool_name")))
+    by_path = W.partitionBy("session_id", "path").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("session_id").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    kind, idx = F.col("kind"), F.col("idx")
+    named = F.col("path") != ""
+    c = c.withColumn("read", _last(named & (kind == "file_read"), "call_id", "idx").over(by_path)).withColumn("write", _last(named & (kind == "file_write"), "call_id").over(by_path))
+    c = c.withColumn("turn", _last(~kind.isin("file_read", "other"), "call_id", "idx", "kind").over(before)).withColumn("work", _last(kind != "other", "call_id", "idx", "kind", "path").over(before)).withColumn("prev", F.last("call_id").over(before))
+    retry = _retries(calls.repartition("session_id")).select("session_id", F.col("source_id").alias("retried"), F.col("target_idx").alias("idx"))
+    c = c.join(retry, ["session_id", "idx"], "left")
+    edge = lambda when, source, relation, resource: F.when(when, F.struct(F.col(source).alias("source_id"), F.lit(relation).alias("relation"), resource.alias("resource")))
+    path = F.coalesce("path", F.lit(""))
+    strong = F.filter(
+        F.array(
+            edge(named & (kind == "file_write") & (idx - F.col("read.idx") <= READ_WRITE), "read.call_id", "read_before_write", path),
+            edge((kind == "file_read") & (F.col("turn.kind") == "search") & (idx - F.col("turn.idx") <= SEARCH_READ), "turn.call_id", "search_then_read", path),
+            edge((kind == "shell") & (F.col("work.kind") == "file_write") & (idx - F.col("work.idx") <= WRITE_TEST), "work.call_id", "write_then_test", F.coalesce("work.path", F.lit(""))),
+            edge(named & (kind == "file_write") & F.col("write").isNotNull(), "write.call_id", "multi_edit", path),
+            edge(F.col("retried").isNotNull(), "retried", "error_retry", F.lit("")),
+        ),
+        lambda e: e.isNotNull(),
+    )
+    plain = F.filter(F.array(edge(F.col("prev").isNotNull(), "prev", "sequential", F.lit(""))), lambda e: e.isNotNull())
+    c = c.select("session_id", F.col("call_id").alias("target_id"), strong.alias("strong"), plain.alias("plain"))
+    return c.select("session_id", "target_id", F.explode(F.when(F.size("strong") > 0, F.col("strong")).otherwise(F.col("plain"))).alias("e")).select("session_id", "e.source_id", "target_id", "e.relation", "e.resource")
 
 
 def roots(calls: DataFrame, edges: DataFrame) -> DataFrame:

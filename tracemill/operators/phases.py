@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracemill.functions.tools import category
+from tracemill.operators import intervals
 
 FRAME = 5
 KINDS = ("file_read", "search", "file_write", "shell")
@@ -60,8 +61,8 @@ def absorbed(segs: DataFrame) -> DataFrame:
 
 def dominant_category(segs: DataFrame, calls: DataFrame) -> DataFrame:
     """segs with dominant: the kind of tool called most in each, ties to the kind seen first; null without calls."""
-    c = calls.where("tool_name is not null").select(F.col("session_id").alias("s"), "step_idx", category(F.col("tool_name")).alias("kind"))
-    hit = segs.join(c, (F.col("session_id") == F.col("s")) & F.col("step_idx").between(F.col("start_idx"), F.col("end_idx")))
+    c = calls.where("tool_name is not null").select("session_id", "step_idx", category(F.col("tool_name")).alias("kind"))
+    hit = intervals.points_in_ranges(c, segs.select("session_id", "start_idx", "end_idx"), "session_id", "step_idx", "start_idx", "end_idx")
     n = hit.groupBy("session_id", "start_idx", "kind").agg(F.count("*").alias("n"), F.min("step_idx").alias("first"))
     best = n.groupBy("session_id", "start_idx").agg(F.max_by("kind", F.struct("n", -F.col("first"))).alias("dominant"))
     return segs.join(best, ["session_id", "start_idx"], "left")

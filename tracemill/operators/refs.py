@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill.durable import checkpointed
 from tracemill.operators import intervals
 
 
@@ -44,10 +45,12 @@ def back_fill(final: DataFrame, drafts: DataFrame, key: str, most: int = 3) -> D
 
 
 def keep_known(rows: DataFrame, column: str, kept: DataFrame, key: str) -> DataFrame:
-    """rows whose array has only the elements that kept holds; rows left without any go. kept is a short list of results."""
-    known = kept.agg(F.collect_set(key).alias("__known"))
-    out = rows.join(F.broadcast(known)).withColumn(column, F.filter(column, lambda x: F.array_contains("__known", x))).drop("__known")
-    return out.where(F.size(column) > 0)
+    """rows whose array has only the elements that kept holds, in their order; rows left without any go."""
+    numbered = checkpointed(rows.withColumn("__row", F.monotonically_increasing_id()))
+    each = numbered.select("__row", F.posexplode(column).alias("__at", "__x"))
+    known = each.join(kept.select(F.col(key).alias("__x")), "__x", "left_semi").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__at", "__x"))).alias("__kept"))
+    out = numbered.drop(column).join(known, "__row").withColumn(column, F.transform("__kept", lambda k: k.getField("__x")))
+    return out.select(*rows.columns)
 
 
 def first_per_name(rows: DataFrame, known: DataFrame, name: str, order: list[Column]) -> DataFrame:

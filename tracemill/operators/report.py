@@ -10,7 +10,9 @@ from pyspark.sql.window import Window as W
 
 from tracemill.functions.text import fenced
 from tracemill.operators import context
+from tracemill.operators import refs as refs_
 
+REFS = "array<struct<session_id:string,start:int,end:int>>"
 FINDING = "array<struct<title:string,severity:int,refs:array<struct<session_id:string,start:int,end:int>>>>"
 
 
@@ -40,10 +42,28 @@ def joined(found: DataFrame, steps: DataFrame, most: int = 5, refs: int = 3) ->
     return g.join(worst, "title").orderBy(F.desc("severity"), "title").limit(most).select("title", "severity", "refs")
 
 
-def analyse(contexts: DataFrame, sessions: DataFrame, steps: DataFrame, backend: Callable[[str], str], budget: int = 100_000) -> DataFrame:
-    """joined() findings of a backend (a callable from text to text) over all contexts. Batches that fail are left out; if all fail that is an error."""
+def synthesised(found: DataFrame, backend: Callable[[str], str], steps: DataFrame, most: int = 5, refs: int = 3) -> DataFrame:
+    """title, severity, refs as in joined(), after a last question over all batches' findings.
+
+    The backend gets the drafts as JSON, of which joined() bounds the number, and answers with
+    findings. One without references, or with fewer than the drafts of its title have, gets theirs.
+    """
+    drafts = joined(found, steps, most * 4, refs)
+    asked = drafts.agg(F.to_json(F.sort_array(F.collect_list(F.struct("title", "severity", "refs")))).alias("context"), F.count("*").alias("n")).where("n > 0")
+    answer = findings(context.infer(asked.withColumn("batch", F.lit("synthesis")), backend))
+    from_drafts = drafts.select("title", "refs")
+    cast = F.transform(F.coalesce("refs", F.array().cast(REFS)), lambda r: F.struct(r.getField("session_id").alias("session_id"), r.getField("start").alias("start"), F.coalesce(r.getField("end"), r.getField("start")).alias("end")))
+    filled = refs_.back_fill(answer.select("title", "severity", cast.alias("refs")), from_drafts, "title", refs)
+    # What the synthesis made up of unknown steps goes here.
+    return joined(filled.withColumn("batch", F.lit("synthesis")), steps, most, refs)
+
+
+def analyse(contexts: DataFrame, sessions: DataFrame, steps: DataFrame, backend: Callable[[str], str], budget: int = 100_000, synthesis: bool = False) -> DataFrame:
+    """joined() findings of a backend (a callable from text to text) over all contexts, or synthesised() ones where several batches were asked. Batches that fail are left out; if all fail that is an error."""
     sized = contexts.select("session_id", context.token_estimate(F.col("context")).alias("tokens")).join(sessions.select("session_id", "project", "created_at"), "session_id")
     answers = context.infer(prompts(contexts, context.pack(sized, budget)), backend).persist()
     if not answers.limit(1).isEmpty() and answers.where("ok").limit(1).isEmpty():
         raise RuntimeError("every batch failed: " + str(answers.select("error").first().error))
+    if synthesis and answers.where("ok").limit(2).count() > 1:
+        return synthesised(findings(answers), backend, steps)
     return joined(findings(answers), steps)

@@ -1,18 +1,20 @@
 """Ranked text search as joins over postings: BM25 by field, blended, filtered and boosted.
 
-The index is four tables (postings, lengths, token statistics, field statistics) that can be
-written as Parquet partitioned by field and read again. A query reads the postings of its own
-tokens only; what it holds on the driver is the query, never documents.
+The index is four tables (postings, lengths, token statistics, field statistics) that are
+written as Parquet by bucket of the token, read again and refreshed by a difference. A query
+reads the buckets of its own tokens only; what it holds on the driver is the query, never documents.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.model import Parsed
 from tracemill.parallel import spread
 
 # Words that are not indexed.
@@ -88,9 +90,22 @@ def query_tokens(text: str) -> list[str]:
     return out
 
 
+#: Version of the stored form; an index of another version is built anew.
+VERSION, BUCKETS = 2, 64
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Index:
-    """postings(field, token, doc, tf), lengths(field, doc, dl), vocabulary(field, token, n, idf), fields(field, docs, avgdl, mean_idf)."""
+    """postings(field, token, doc, tf, dl), lengths(field, doc, dl), vocabulary(field, token, n, idf), fields(field, docs, avgdl, mean_idf).
+
+    A stored index has its postings and vocabulary in folders by bucket of the token, so that a
+    query reads the buckets of its own tokens; dl, the document's length, stands beside each
+    posting, so that no query reads the lengths.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -99,49 +114,159 @@ class Index:
 
     def write(self, path: str) -> Index:
         spark = self.postings.sparkSession
-        for name in ("postings", "lengths", "vocabulary"):
-            getattr(self, name).write.mode("overwrite").partitionBy("field").parquet(f"{path}/{name}")
-        self.fields.write.mode("overwrite").parquet(f"{path}/fields")
+        for name in ("postings", "vocabulary"):
+            rows = getattr(self, name)
+            if "bucket" not in rows.columns:
+                rows = rows.withColumn("bucket", _bucket(F.col("token")))
+            rows.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self.fields.withColumn("version", F.lit(VERSION)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
         return Index.read(spark, path)
 
+    def of(self, tokens: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Postings and vocabulary of some tokens."""
+        keep = F.col("token").isin(*tokens) if tokens else F.lit(False)
+        if "bucket" in self.postings.columns:
+            keep = keep & F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % BUCKETS for t in tokens}))
+        return self.postings.where(keep), self.vocabulary.where(keep)
+
     def persist(self) -> Index:
-        """Keeps what several queries read; worth it for more than one query, or for one that asks twice."""
+        """Holds what queries read, for an index that is not stored; release() lets it go."""
         self.postings, self.vocabulary, self.fields = self.postings.persist(), self.vocabulary.persist(), self.fields.persist()
         return self
 
+    def release(self) -> None:
+        for df in (self.postings, self.vocabulary, self.fields):
+            df.unpersist()
+
+    def with_doc(self, kind: str) -> Index:
+        """The same index with ids of another type."""
+        cast = lambda df: df.withColumn("doc", F.col("doc").cast(kind))
+        return Index(cast(self.postings), cast(self.lengths), self.vocabulary, self.fields)
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "vocabulary", "fields")])
-
+        """A stored index; one of another version is refused."""
+        parts = [spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "vocabulary", "fields")]
+        versions = {r.version for r in parts[3].select("version").distinct().collect()} if "version" in parts[3].columns else {1}
+        if versions - {VERSION}:
+            raise ValueError(f"index of version {sorted(versions)}, not {VERSION}; build it anew")
+        return Index(*parts[:3], parts[3].drop("version"))
 
-def build(docs: DataFrame, doc: str, fields: list[str], keep: bool = False) -> Index:
-    """Index of the text columns `fields` of docs. A field empty in all documents is left out; elsewhere an empty one counts as a token of its own.
 
-    keep holds the words in memory or on disk while the tables are made from them, so that
-    texts are cut once. Words are stemmed after they are exploded, in generated code.
-    """
+def _cut(docs: DataFrame, doc: str, fields: list[str]) -> DataFrame:
+    """field, doc, t: the words of each field of each document; an empty one counts as a token of its own."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.col(f)).alias("t")) for f in fields])).alias("e")
-    rows = spread(docs.select(doc, *fields)).select(F.col(doc).alias("doc"), each).select("e.field", "doc", F.when(F.size("e.t") == 0, F.array(F.lit(""))).otherwise(F.col("e.t")).alias("t"))
-    rows = rows.persist() if keep else rows
-    lengths = rows.select("field", "doc", F.size("t").alias("dl"))
-    per_field = rows.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("avgdl"), F.max(F.col("t")[0] != "").alias("some")).where("some").drop("some")
-    postings = rows.select("field", "doc", F.explode("t").alias("word")).groupBy("field", stem(F.col("word")).alias("token"), "doc").agg(F.count("*").alias("tf"))
+    return spread(docs.select(doc, *fields)).select(F.col(doc).alias("doc"), each).select("e.field", "doc", F.when(F.size("e.t") == 0, F.array(F.lit(""))).otherwise(F.col("e.t")).alias("t"))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """Words are stemmed after they are exploded, in generated code."""
+    return rows.select("field", "doc", F.size("t").alias("dl"), F.explode("t").alias("word")).groupBy("field", stem(F.col("word")).alias("token"), "doc", "dl").agg(F.count("*").alias("tf")).select("field", "token", "doc", "tf", "dl")
+
+
+def _statistics(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary and fields. A field that is empty in all documents is left out."""
+    some = postings.where("token <> ''").select("field").distinct()
+    per_field = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).join(F.broadcast(some), "field", "left_semi")  # a row for each field
     df = postings.groupBy("field", "token").agg(F.count("*").alias("n")).join(F.broadcast(per_field), "field")
     idf = F.ln(F.col("docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5)
     vocabulary = df.select("field", "token", "n", idf.alias("idf"))
-    fields_ = per_field.join(vocabulary.groupBy("field").agg(F.avg("idf").alias("mean_idf")), "field")
-    return Index(postings, lengths, vocabulary, fields_)
+    return vocabulary, per_field.join(vocabulary.groupBy("field").agg(F.avg("idf").alias("mean_idf")), "field")
+
+
+def build(docs: DataFrame, doc: str, fields: list[str]) -> Index:
+    """Index of the text columns `fields` of docs. For more than one query write() it, or what a query reads is worked out from the texts again."""
+    rows = _cut(docs, doc, fields)
+    postings, lengths = _postings(rows), rows.select("field", "doc", F.size("t").alias("dl"))
+    return Index(postings, lengths, *_statistics(postings, lengths))
+
+
+def stored(docs: DataFrame, doc: str, fields: list[str], path: str) -> Index:
+    """build() written to a folder: the texts are cut once, and statistics are counted from the postings written."""
+    rows = _cut(docs, doc, fields)
+    spark, with_bucket = docs.sparkSession, _postings(rows).withColumn("bucket", _bucket(F.col("token")))
+    with_bucket.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    # Every document has a posting in every field, so the lengths are in them.
+    lengths = postings.select("field", "doc", "dl").distinct()
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    vocabulary, fields_ = _statistics(postings, spark.read.parquet(f"{path}/lengths"))
+    vocabulary.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
+    fields_.withColumn("version", F.lit(VERSION)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    return Index.read(spark, path)
+
+
+def refresh(index: Index, docs: DataFrame, diff: DataFrame, doc: str, fields: list[str], path: str) -> Index:
+    """The index without removed and changed documents and with new and changed ones, written to another folder.
+
+    diff has the document's id and kind, as sets.change_kind() gives them. Only the texts of
+    new and changed documents are cut; statistics are counted anew from the postings.
+    """
+    gone = diff.where("kind in ('changed', 'removed')").select(F.col(doc).alias("doc"))
+    come = docs.join(diff.where("kind in ('changed', 'new')").select(doc), doc, "left_semi")
+    rows = _cut(come, doc, fields)
+    old = [df.drop("bucket").join(gone, "doc", "left_anti") for df in (index.postings, index.lengths)]
+    postings = old[0].select("field", "token", "doc", "tf", "dl").unionByName(_postings(rows))
+    lengths = old[1].select("field", "doc", "dl").unionByName(rows.select("field", "doc", F.size("t").alias("dl")))
+    return Index(postings, lengths, *_statistics(postings, lengths)).write(path)
+
+
+def session_fields(p: Parsed, argument: int = 200, result: int = 200) -> DataFrame:
+    """session_id, user_prompts, agent_messages, tool_calls of each session, lower-cased: what users and agents said, and of each call its tool, its arguments' texts and its result, both cut.
+
+    Steps stand in their order, and a step's calls before its results.
+    """
+    lined = lambda source: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("source") == source) & (F.coalesce("message", F.lit("")) != ""), F.struct("step_idx", F.lower("message").alias("m"))))), lambda x: x.getField("m")), " ")
+    said = p.steps.groupBy("session_id").agg(lined("user").alias("user_prompts"), lined("agent").alias("agent_messages"))
+    values = F.map_values(F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>"))
+    texts = F.array_join(F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string")), " ")
+    c = p.calls.select("session_id", "step_idx", "call_pos", "call_id", F.concat_ws(" ", "tool_name", F.nullif(F.left(F.coalesce(texts, "arguments"), F.lit(argument)), F.lit(""))).alias("t"))
+    r = p.results.where("content <> ''").join(c.select("session_id", "call_id", "step_idx", "call_pos"), ["session_id", "call_id"]).select("session_id", "step_idx", "call_pos", F.left("content", F.lit(result)).alias("t"))
+    both = c.select("session_id", "step_idx", F.lit(0).alias("k"), "call_pos", "t").unionByName(r.select("session_id", "step_idx", F.lit(1).alias("k"), "call_pos", "t"))
+    used = both.groupBy("session_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_idx", "k", "call_pos", "t"))), lambda x: x.getField("t")), " ")).alias("tool_calls"))
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return p.sessions.select("session_id").join(said, "session_id", "left").join(used, "session_id", "left").select("session_id", *[empty(x) for x in ("user_prompts", "agent_messages", "tool_calls")])
+
+
+#: Kinds of items that the catalogue does not show.
+EXCLUDED_TYPES = ("mcp_server",)
+
+
+def catalog_fields(items: DataFrame) -> DataFrame:
+    """item_id and the catalogue's text fields: topics joined; author with the repository's name; description with the repository's. Excluded types are left out.
+
+    items has item_id, type, name, topics (array), author, repo_full_name, description, repo_description, readme.
+    """
+    text = lambda *c: F.concat_ws(" ", *[F.nullif(F.col(x), F.lit("")) for x in c])
+    rows = items.where(~F.col("type").isin(*EXCLUDED_TYPES) | F.col("type").isNull())
+    return rows.select("item_id", F.coalesce("name", F.lit("")).alias("name"), F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " ").alias("topics"), text("author", "repo_full_name").alias("author"), text("description", "repo_description").alias("description"), F.coalesce("readme", F.lit("")).alias("readme"))
+
+
+def listed_items(items: DataFrame, text: str, fields: list[str]) -> DataFrame:
+    """Items of which a field holds the text, in any case; all for an empty one."""
+    hit = F.lit(not text.strip())
+    for f in fields:
+        hit = hit | F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(text.strip().lower()))
+    return items.where(hit)
+
+
+def plain_matches(sessions: DataFrame, query: str, doc: str = "session_id") -> DataFrame:
+    """doc, score (0): sessions whose id or first message holds the query, for as long as there is no index."""
+    q = F.lit(query.strip().lower())
+    held = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), q)
+    return sessions.where(held(doc) | held("first_message")).select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")) if query.strip() else sessions.limit(0).select(F.col(doc).alias("doc"), F.lit(0.0).alias("score"))
 
 
 def token_scores(index: Index, wanted: list[str], fields: list[str] | None = None) -> DataFrame:
     """field, token, doc, score: BM25 of each wanted token in each document that has it. An inverse frequency below zero is replaced by a share of the mean."""
-    keep = F.col("token").isin(*wanted) if wanted else F.lit(False)
+    postings, vocabulary = index.of(wanted)
     if fields:
-        keep = keep & F.col("field").isin(*fields)
+        postings, vocabulary = (df.where(F.col("field").isin(*fields)) for df in (postings, vocabulary))
     # A query has few tokens, so its part of the vocabulary and the fields go to all tasks.
-    idf = index.vocabulary.where(keep).join(F.broadcast(index.fields), "field")
+    idf = vocabulary.join(F.broadcast(index.fields), "field")
     idf = idf.select("field", "token", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    hit = index.postings.where(keep).join(F.broadcast(idf), ["field", "token"]).join(index.lengths, ["field", "doc"])
+    hit = postings.drop("bucket").join(F.broadcast(idf), ["field", "token"])
     score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.select("field", "token", "doc", score.alias("score"))
 
@@ -165,7 +290,7 @@ def required_and_optional(index: Index, query: str, expansions: int = 10) -> tup
     if not wanted or query[-1:].isspace():
         return wanted, []
     last = wanted[-1]
-    if len(last) < 3 or len(last) > 12 or index.vocabulary.where(F.col("token") == last).limit(1).count():
+    if len(last) < 3 or len(last) > 12 or index.of([last])[1].limit(1).count():
         return wanted, []
     more = [r.token for r in index.vocabulary.where(F.col("token").startswith(last)).select("token").distinct().orderBy("token").limit(expansions).collect()]
     return (wanted[:-1], more) if more else (wanted, [])
@@ -191,10 +316,10 @@ def blended(index: Index, query: str, weights: dict[str, float]) -> DataFrame:
         d = d.where(F.size(F.array_intersect("has", F.array(*[F.lit(t) for t in sorted(set(need))]))) == len(set(need)) if need else F.lit(True))
         if some:
             d = d.where(F.arrays_overlap("has", F.array(*[F.lit(t) for t in some])))
-        top = d.agg(F.max("raw").alias("top"))
-        out = d.join(F.broadcast(top)).select("doc", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(0.0).alias("composite"))
-        if out.limit(1).count():
-            return out
+        # One number of the hits tells both whether there are any and what to divide by.
+        top, n = d.agg(F.max("raw"), F.count("*")).first()
+        if n:
+            return d.select("doc", (F.col("raw") / top if top > 0 else F.lit(0.0)).alias("composite"))
     return index.lengths.select("doc", F.lit(0.0).alias("composite")).limit(0)
 
 
@@ -235,8 +360,7 @@ def soft_and(index: Index, query: str) -> DataFrame:
     times = F.lit(0)
     for t in set(wanted):
         times = F.when(F.col("token") == t, wanted.count(t)).otherwise(times)
-    keep = F.col("token").isin(*set(wanted)) if wanted else F.lit(False)
-    pairs = index.postings.where(keep).select("doc", "token").distinct()
+    pairs = index.of(sorted(set(wanted)))[0].select("doc", "token").distinct()
     return pairs.groupBy("doc").agg(F.sum(times).alias("m")).where(F.col("m") >= need).select("doc")
 
 

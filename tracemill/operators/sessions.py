@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -74,6 +73,31 @@ def chains(links: DataFrame, rounds: int = 20) -> DataFrame:
     return known.unionByName(p.join(roots, F.col("head") == F.col("root"), "left_anti").select("session_id", F.col("session_id").alias("head")))
 
 
+def owned(skeletons: DataFrame, files: DataFrame) -> DataFrame:
+    """Index rows whose file the same reader still finds; files has session_id and agent."""
+    return skeletons.join(files.select("session_id", "agent"), ["session_id", "agent"], "left_semi")
+
+
+def upgraded(skeletons: DataFrame, parsed: DataFrame, columns: list[str]) -> DataFrame:
+    """Index rows with what a full reading knows: by id, or else the first session of the row's file, or else as they were."""
+    cols = F.struct(*columns)
+    by_id = parsed.groupBy("session_id").agg(F.min_by(cols, "file").alias("__a"))
+    by_file = parsed.groupBy("file").agg(F.min_by(cols, "session_id").alias("__b"))
+    j = skeletons.join(by_id, "session_id", "left").join(by_file, "file", "left")
+    return j.select(*[F.when(F.col("__a").isNotNull(), F.col(f"__a.{c}")).when(F.col("__b").isNotNull(), F.col(f"__b.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in skeletons.columns])
+
+
+#: What an index of sessions does not need and what makes it large.
+HEAVY = ("tool_definitions", "system_prompt")
+
+
+def light(sessions: DataFrame, nested: str | None = None) -> DataFrame:
+    """sessions without heavy columns, or without heavy fields of the struct column named."""
+    if nested is None:
+        return sessions.drop(*HEAVY)
+    return sessions.withColumn(nested, F.col(nested).dropFields(*[h for h in HEAVY if h in sessions.schema[nested].dataType.names]))
+
+
 def place_children(children: DataFrame, steps: DataFrame) -> DataFrame:
     """session_id, step_idx: the step of the parent at which a child stands.
 
@@ -81,11 +105,16 @@ def place_children(children: DataFrame, steps: DataFrame) -> DataFrame:
     before any later one; null if there is none.
     """
     k = children.select("session_id", F.col("parent_id").alias("p"), "created_at", "spawn_step")
-    s = steps.where("ts is not null").select(F.col("session_id").alias("p"), "step_idx", "ts")
-    both = k.where("spawn_step is null").join(s, "p")
-    first_later = both.groupBy("session_id").agg(F.min(F.when(F.col("ts") > F.col("created_at"), F.col("step_idx"))).alias("later"))
-    found = both.join(first_later, "session_id").where("ts <= created_at and (later is null or step_idx < later)").groupBy("session_id").agg(F.max("step_idx").alias("at"))
-    return k.join(found, "session_id", "left").select("session_id", F.coalesce("spawn_step", "at").alias("step_idx"))
+    # Before any later step means: the latest time up to the step is not past the child's start.
+    # That time never falls along the steps, so children take their places among the steps by one sort.
+    so_far = F.max("ts").over(W.partitionBy("p").orderBy("step_idx").rowsBetween(W.unboundedPreceding, 0))
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = {f.name: f.dataType.simpleString() for f in children.schema.fields}
+    s = steps.where("ts is not null").select(F.col("session_id").alias("p"), "step_idx", "ts").select("p", so_far.alias("at"), F.lit(0).alias("kind"), "step_idx", none(kinds["session_id"]).alias("session_id"))
+    c = k.where("spawn_step is null and created_at is not null").select("p", F.col("created_at").alias("at"), F.lit(1).alias("kind"), none(dict(steps.dtypes)["step_idx"]).alias("step_idx"), "session_id")
+    before = W.partitionBy("p").orderBy("at", "kind", "step_idx").rowsBetween(W.unboundedPreceding, 0)
+    found = s.unionByName(c).withColumn("found", F.last("step_idx", ignorenulls=True).over(before)).where("kind = 1").groupBy("session_id").agg(F.max("found").alias("found"))
+    return k.join(found, "session_id", "left").select("session_id", F.coalesce("spawn_step", "found").alias("step_idx"))
 
 
 def interleave(steps: DataFrame, markers: DataFrame) -> DataFrame:
@@ -145,8 +174,15 @@ def reconcile_histograms(stats: DataFrame, sessions: DataFrame, parsed: DataFram
     return stats.unionByName(more).groupBy("kind", "key").agg(F.sum("sessions").alias("sessions"))
 
 
-def anchored_phases(segments: DataFrame, anchors: DataFrame) -> DataFrame:
-    """session_id, anchor, phase, start_idx, end_idx: segments cut at users' messages and given to the last one at or before them."""
+def anchored_phases(segments: DataFrame, anchors: DataFrame, bucket: int = 64) -> DataFrame:
+    """session_id, anchor, phase, start_idx, end_idx: segments cut at users' messages and given to the last one at or before them.
+
+    Both are dealt over buckets of positions; a pair is reported in the bucket in which the later of the two begins.
+    """
     a = anchors.select("session_id", F.col("step_idx").alias("anchor"), F.lead("step_idx").over(W.partitionBy("session_id").orderBy("step_idx")).alias("next"))
-    j = segments.join(a, "session_id").where("start_idx < coalesce(next, 2147483647) and end_idx > anchor")
+    last = segments.groupBy("session_id").agg(F.max("end_idx").alias("last"))
+    places = lambda x, y: F.explode(F.sequence(F.floor(x / bucket), F.floor(y / bucket))).alias("b")
+    a = a.join(last, "session_id").where("anchor < last").select("session_id", "anchor", "next", places(F.col("anchor"), F.coalesce("next", "last")))
+    s = segments.select("session_id", "phase", "start_idx", "end_idx", places(F.col("start_idx"), F.col("end_idx")))
+    j = s.join(a, ["session_id", "b"]).where("start_idx < coalesce(next, 2147483647) and end_idx > anchor").where(F.floor(F.greatest("start_idx", "anchor") / bucket) == F.col("b"))
     return j.select("session_id", "anchor", "phase", F.greatest("start_idx", F.col("anchor") + 1).alias("start_idx"), F.least("end_idx", F.coalesce(F.col("next") - 1, F.col("end_idx"))).alias("end_idx"))

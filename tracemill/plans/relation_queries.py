@@ -50,7 +50,12 @@ def children_on_timeline(spark, d):
     return sessions.place_children(kids, s)
 
 
-@query()
+#: A marker stands before the first step later than it and all markers before it.
+@query(f"""WITH {STEPS_SQL}, s AS (SELECT session_id, step_idx, ts, row_number() OVER (PARTITION BY session_id ORDER BY step_idx) - 1 AS r, count(*) OVER (PARTITION BY session_id) AS n FROM st),
+m AS (SELECT session_id, step_idx // 25 AS k, row_number() OVER (PARTITION BY session_id ORDER BY step_idx) - 1 AS q, max(ts + INTERVAL 9 MINUTE) OVER (PARTITION BY session_id ORDER BY step_idx) AS late FROM st WHERE step_idx % 25 = 4),
+b AS (SELECT m.session_id, k, q, coalesce(min(r) FILTER (WHERE ts > late), any_value(n)) AS before FROM m JOIN s USING (session_id) GROUP BY 1, 2, 3)
+SELECT session_id, CAST(before + q AS BIGINT) AS place, 'marker' AS kind, CAST(k AS BIGINT) AS key FROM b
+UNION ALL SELECT s.session_id, CAST(r + count(before) FILTER (WHERE before <= r) AS BIGINT), 'step', CAST(step_idx AS BIGINT) FROM s LEFT JOIN b ON s.session_id = b.session_id GROUP BY s.session_id, r, step_idx""")
 def markers_on_timeline(spark, d):
     s = steps(spark, d)
     marks = s.where("step_idx % 25 = 4").select("session_id", F.floor(F.col("step_idx") / 25).alias("marker_idx"), (F.col("ts") + F.expr("interval 9 minutes")).alias("ts"))
@@ -137,3 +142,44 @@ def reconciled_histograms(spark, d):
     parsed = o.where("session_id % 2 = 0")
     counted = parsed.groupBy(F.lit("project").alias("kind"), F.col("project").alias("key")).agg(F.count("*").alias("sessions"))
     return sessions.reconcile_histograms(counted, o, parsed)
+
+
+@query(f"""WITH {STEPS_SQL}, rf AS (SELECT session_id, step_idx AS a, step_idx + (step_idx % 7) * 5 AS b FROM st WHERE step_idx % 11 = 1)
+SELECT rf.session_id, a, b, x.step_id AS start_id, CASE WHEN a <> b THEN y.step_id END AS end_id FROM rf JOIN st x ON x.session_id = rf.session_id AND x.step_idx = a LEFT JOIN st y ON y.session_id = rf.session_id AND y.step_idx = b""")
+def resolved_refs(spark, d):
+    s = steps(spark, d)
+    ids = s.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("step_idx", "step_id"))).alias("step_ids"))
+    wanted = s.where("step_idx % 11 = 1").select("session_id", F.col("step_idx").alias("start"), (F.col("step_idx") + F.col("step_idx") % 7 * 5).cast("int").alias("end"))
+    return refs.resolve(wanted, ids).select("session_id", F.col("start").alias("a"), F.col("end").alias("b"), "start_id", "end_id")
+
+
+@query("""WITH f AS (SELECT o_custkey AS k, list_slice(list(o_orderkey ORDER BY o_orderkey), 1, 2) AS r FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), p AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS pool FROM orders GROUP BY 1)
+SELECT f.k, array_to_string(list_slice(CASE WHEN len(pool) > len(r) THEN pool ELSE r END, 1, 3), ',') AS refs FROM f JOIN p USING (k)""")
+def back_filled_refs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
+    final = o.where("o % 3 = 0").groupBy("k").agg(F.slice(F.sort_array(F.collect_list("o")), 1, 2).alias("refs"))
+    drafts = o.select("k", F.array("o").alias("refs"))
+    return refs.back_fill(final, drafts, "k").select("k", F.array_join("refs", ",").alias("refs"))
+
+
+@query("SELECT o_custkey AS k, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS kinds FROM orders WHERE o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '5%') GROUP BY 1")
+def known_kinds(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.groupBy(F.col("o_custkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x.getField("o_orderpriority")).alias("kinds"))
+    kept = o.where("o_orderpriority like '1%' or o_orderpriority like '5%'").select("o_orderpriority").distinct()
+    return refs.keep_known(rows, "kinds", kept, "o_orderpriority").select("k", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(f"""WITH {STEPS_SQL} SELECT session_id, 'a' || CAST(step_id AS VARCHAR) AS agent_id, CAST(step_id AS VARCHAR) AS call_id, step_idx FROM st WHERE tool_name IS NOT NULL AND step_id % 9 = 0""")
+def spawned_agents(spark, d):
+    c = steps(spark, d).where("tool_name is not null").select("session_id", F.col("step_id").cast("string").alias("call_id"), "step_idx")
+    said = F.when(F.col("call_id").cast("long") % 9 == 0, F.concat(F.lit("done, agentId: a"), "call_id", F.lit(" (see file)"))).otherwise(F.lit("done"))
+    return sessions.spawned(c, c.select("session_id", "call_id", said.alias("content")))
+
+
+@query("""WITH i AS (SELECT o_orderkey AS session_id, 'f' || (o_orderkey // 4) AS file, o_orderstatus AS model FROM orders WHERE o_orderkey % 2 = 0), p AS (SELECT o_orderkey AS session_id, 'f' || (o_orderkey // 4) AS file, o_orderpriority AS model FROM orders WHERE o_orderkey % 3 <> 0),
+b AS (SELECT file, arg_min(model, session_id) AS m FROM p GROUP BY 1) SELECT i.session_id, i.file, coalesce(p.model, b.m, i.model) AS model FROM i LEFT JOIN p ON i.session_id = p.session_id LEFT JOIN b ON i.file = b.file""")
+def upgraded_index(spark, d):
+    o = table(spark, d, "orders").withColumn("file", F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 4).cast("string")))
+    rows = lambda where, model: o.where(where).select(F.col("o_orderkey").alias("session_id"), "file", F.col(model).alias("model"))
+    return sessions.upgraded(rows("o_orderkey % 2 = 0", "o_orderstatus"), rows("o_orderkey % 3 <> 0", "o_orderpriority"), ["model"])

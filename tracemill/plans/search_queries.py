@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tracemill.durable import shared_folder
 from tracemill.operators import search
 from tracemill.plans.adapters import table
 
@@ -39,13 +42,28 @@ def _docs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("user_prompts"), F.concat_ws(" ", "lang", F.left("text", F.lit(40))).alias("agent_messages"), F.col("source").alias("tool_calls"))
 
 
+#: Indexes that this process has stored, by application, place of the tables and what is indexed.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark, d, name, docs, doc, fields):
+    """An index, stored by the first query that asks for it and read by the others."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key in _STORED:
+        return search.Index.read(spark, _STORED[key])
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    index = search.stored(docs, doc, fields, path)
+    _STORED[key] = path
+    return index
+
+
 def _index(spark, d):
-    return search.build(_docs(spark, d), "doc", ["user_prompts", "agent_messages", "tool_calls"], keep=True).persist()
+    return _kept(spark, d, "search", _docs(spark, d), "doc", ["user_prompts", "agent_messages", "tool_calls"])
 
 
 @query(f"WITH {TOKENS_SQL} SELECT field, token, n, round(idf, 6) AS idf FROM vo WHERE n >= 3")
 def tokenize_stats(spark, d):
-    return _index(spark, d).vocabulary.where("n >= 3").withColumn("idf", F.round("idf", 6))
+    return _index(spark, d).vocabulary.drop("bucket").where("n >= 3").withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc, round(sum(score), 4) AS score FROM sc WHERE field = 'user_prompts' AND token IN ('onen', 'erhe', 'onst') GROUP BY 1")
@@ -78,8 +96,7 @@ SELECT CAST(doc AS VARCHAR) AS doc, 0 AS tier, round(score, 4) AS score FROM fi
 def search_ranked(spark, d):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("doc").cast("int"))
     docs = _docs(spark, d).select(F.col("doc").cast("string").alias("session_id"), "user_prompts", "agent_messages", "tool_calls", at.alias("updated_at"))
-    index = search.build(docs, "session_id", ["user_prompts", "agent_messages", "tool_calls"], keep=True).persist()
-    return search.rank_sessions(index, docs, PHRASE, NOW, top=40).select("doc", "tier", F.round("score", 4).alias("score"))
+    return search.rank_sessions(_index(spark, d).with_doc("string"), docs, PHRASE, NOW, top=40).select("doc", "tier", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH fl AS (SELECT p_partkey AS doc, 'name' AS field, p_name AS x FROM part UNION ALL SELECT p_partkey, 'topics', p_type FROM part UNION ALL SELECT p_partkey, 'author', p_brand FROM part UNION ALL SELECT p_partkey, 'description', p_name || ' ' || p_type FROM part),
@@ -93,4 +110,5 @@ SELECT item_id, name, name_score, round(score, 4) AS score FROM ns WHERE name_sc
 def catalog_rank(spark, d):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("p_partkey") % 3000).cast("int"))
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("topics"), F.col("p_brand").alias("author"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.lit("").alias("readme"), (F.col("p_size") * 2).alias("quality_score"), (F.col("p_retailprice") / 2000.0).alias("popularity"), at.alias("updated_at"))
-    return search.rank_catalog(items, "red widget", NOW, top=100).select("item_id", "name", "name_score", F.round("score", 4).alias("score"))
+    index = _kept(spark, d, "catalog", items, "item_id", list(search.CATALOG_WEIGHTS))
+    return search.rank_catalog(items, "red widget", NOW, index=index, top=100).select("item_id", "name", "name_score", F.round("score", 4).alias("score"))

@@ -368,3 +368,19 @@ def favourite_tool(spark, d):
 FROM (SELECT DISTINCT model AS raw FROM (WITH """ + STEPS_SQL + " SELECT model FROM st))")
 def normalize_model(spark, d):
     return steps(spark, d).select(F.col("model").alias("raw")).distinct().select("raw", canonical_model(F.col("raw")).alias("canonical"))
+
+
+@query(f"""WITH {COST_SQL} SELECT session_id, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens,
+  round(sum(cost_usd), 6) AS cost_usd, count(*) AS steps, count(tool_name) AS tool_calls, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS duration, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS days FROM cu GROUP BY 1""")
+def final_metrics(spark, d):
+    return dashboard.final_metrics(_costed(spark, d)).withColumn("days", F.size("days").cast("long"))
+
+
+@query(f"WITH {COST_SQL} SELECT session_id, day, messages, tokens, round(coalesce(cost_usd, 0), 6) AS cost_usd FROM dd")
+def final_metric_days(spark, d):
+    return dashboard.final_metrics(_costed(spark, d)).select("session_id", F.explode("days").alias("day", "v")).select("session_id", "day", "v.messages", "v.tokens", "v.cost_usd")
+
+
+@query(f"WITH {STEPS_SQL}, n AS (SELECT session_id, count(*) AS n FROM st GROUP BY 1) SELECT project, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS steps FROM se JOIN n USING (session_id) GROUP BY 1")
+def detail_counts(spark, d):
+    return dashboard.detail_counts(steps(spark, d), sessions_of(spark, d), "project")

@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracemill.model import Parsed
-from tracemill.sources.lines import get, is_array, items, json_lines, numbered, prompt_tokens, raw, tables, text_of, ts_of
+from tracemill.operators.sessions import spawned
+from tracemill.sources.lines import get, is_array, items, json_lines, numbered, prompt_tokens, raw, tables, text_of, ts_of, with_spawns
 
-SKIPPED = "/(?:subagents|parsed|plugins)/|/history\\.jsonl$|/\\._"
+SKIPPED = "/(?:parsed|plugins)/|/subagents/(?!agent-[^/]*$)|/history\\.jsonl$|/\\._"
+#: A sub-agent's file lies in the folder of its parent's file and is named by its agent; its lines have the parent's session id.
+CHILD = "([^/]+)/subagents/(agent-[^/]+)\\.jsonl$"
+STARTERS = ("Agent", "Task")
 #: Messages in the user's name that the program wrote.
 SYSTEM_TEXT = "^\\s*(?:<(?:system-reminder|command-name|command-message|local-command|task-notification)|\\[Request interrupted|This session is being continued)"
 
 
 def read(spark: SparkSession, path: str) -> Parsed:
-    """Sessions by sessionId. A repeated uuid counts once; chunks of one message are joined, the last usage that is not empty counts; queue entries that were never delivered are user messages."""
+    """Sessions by sessionId. A repeated uuid counts once; chunks of one message are joined, the last usage that is not empty counts; queue entries that were never delivered are user messages. Sub-agents' files are sessions of their own, with the call that started them where its result names the agent."""
     lines, rejected = json_lines(spark, path)
     lines = lines.where(~F.regexp_like("file", F.lit(SKIPPED)))
     rows = lines.select(
-        "file", "pos", "v", F.coalesce(get("v", "$.sessionId"), F.col("session")).alias("session_id"), get("v", "$.type").alias("type"), get("v", "$.uuid").alias("uuid"), ts_of("v", "$.timestamp").alias("ts"),
+        "file", "pos", "v", F.coalesce(F.nullif(F.regexp_extract("file", CHILD, 2), F.lit("")), get("v", "$.sessionId"), F.col("session")).alias("session_id"), F.nullif(F.regexp_extract("file", CHILD, 1), F.lit("")).alias("parent_id"), get("v", "$.type").alias("type"), get("v", "$.uuid").alias("uuid"), ts_of("v", "$.timestamp").alias("ts"),
         get("v", "$.message.id").alias("message_id"), get("v", "$.operation").alias("operation"),
     )
     first = W.partitionBy("session_id", F.coalesce("uuid", F.to_json("pos"))).orderBy("pos")
@@ -57,5 +61,8 @@ def read(spark: SparkSession, path: str) -> Parsed:
     uses = part.where(get("p", "$.type") == "tool_use").withColumn("call_pos", F.row_number().over(W.partitionBy("session_id", "key").orderBy("pos", "at")) - 1)
     calls = uses.join(steps.select("session_id", "key", "step_idx"), ["session_id", "key"]).select("session_id", "step_idx", "call_pos", get("p", "$.id").alias("call_id"), get("p", "$.name").alias("tool_name"), raw("p", "$.input").alias("arguments"))
     results = part.where(get("p", "$.type") == "tool_result").select("session_id", get("p", "$.tool_use_id").alias("call_id"), text_of("p", "$.content").alias("content"), F.coalesce(get("p", "$.is_error", "boolean"), F.lit(False)).alias("is_error"))
-    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.min_by(get("v", "$.cwd"), F.when(get("v", "$.cwd").isNotNull(), F.col("pos"))).alias("project"), F.min_by(get("v", "$.message.model"), F.when(get("v", "$.message.model").isNotNull(), F.col("pos"))).alias("model"))
-    return tables("claude", sessions, steps, calls, results, rejected)
+    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.min("parent_id").alias("parent_id"), F.min_by(get("v", "$.cwd"), F.when(get("v", "$.cwd").isNotNull(), F.col("pos"))).alias("project"), F.min_by(get("v", "$.message.model"), F.when(get("v", "$.message.model").isNotNull(), F.col("pos"))).alias("model"))
+    sessions = sessions.withColumn("is_compaction", F.contains("session_id", F.lit("acompact-")))
+    p = tables("claude", sessions, steps, calls, results, rejected)
+    named = spawned(p.calls.where(F.col("tool_name").isin(*STARTERS)), p.results, "agentId:\\s*([a-f0-9]+)")
+    return with_spawns(p, named.select("session_id", "call_id", F.concat(F.lit("agent-"), "agent_id").alias("child")))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracemill.model import Parsed
-from tracemill.sources.lines import get, json_lines, prompt_tokens, raw, tables, text_of, ts_of
+from tracemill.sources.lines import get, json_lines, prompt_tokens, raw, tables, text_of, ts_of, with_spawns
 
 
 def read(spark: SparkSession, path: str) -> Parsed:
-    """An agent's event without a message id goes on with the turn before it."""
+    """An agent's event without a message id goes on with the turn before it. A file in the folder `subagents` of another one is the session of a sub-agent, which the result of a call names."""
     lines, rejected = json_lines(spark, path)
     rows = lines.select(F.col("session").alias("session_id"), "file", "pos", "v", get("v", "$.type").alias("type"), get("v", "$.role").alias("role"), ts_of("v", "$.timestamp").alias("ts"), get("v", "$.providerData.messageId").alias("mid"))
     w = W.partitionBy("session_id").orderBy("pos")
@@ -36,5 +36,8 @@ def read(spark: SparkSession, path: str) -> Parsed:
     calls = c.withColumn("call_pos", F.row_number().over(W.partitionBy("session_id", "step_idx").orderBy("pos")) - 1).select("session_id", "step_idx", "call_pos", get("v", "$.callId").alias("call_id"), get("v", "$.name").alias("tool_name"), raw("v", "$.arguments").alias("arguments"))
     failed = F.coalesce(get("v", "$.status") != "completed", F.lit(False))
     results = rows.where(F.col("type").isin("function_call_result", "function_call_output")).select("session_id", get("v", "$.callId").alias("call_id"), text_of("v", "$.output").alias("content"), failed.alias("is_error"))
-    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.max_by(get("v", "$.providerData.model"), F.when(get("v", "$.providerData.model").isNotNull(), F.col("pos"))).alias("model"), F.first(get("v", "$.cwd"), True).alias("project"))
-    return tables("codebuddy", sessions, steps, calls, results, rejected)
+    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.min(F.nullif(F.regexp_extract("file", "([^/]+)/subagents/[^/]+$", 1), F.lit(""))).alias("parent_id"), F.max_by(get("v", "$.providerData.model"), F.when(get("v", "$.providerData.model").isNotNull(), F.col("pos"))).alias("model"), F.first(get("v", "$.cwd"), True).alias("project"))
+    p = tables("codebuddy", sessions, steps, calls, results, rejected)
+    task = F.coalesce(get(F.try_parse_json(get("v", "$.providerData.toolResult.renderer.value")), "$.taskId"), F.nullif(F.regexp_extract(text_of("v", "$.output"), "task_id:\\s*(agent-\\w+)", 1), F.lit("")))
+    named = rows.where(F.col("type").isin("function_call_result", "function_call_output")).select("session_id", get("v", "$.callId").alias("call_id"), task.alias("child")).where("child is not null")
+    return with_spawns(p, named)

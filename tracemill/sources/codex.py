@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracemill.functions.text import exit_code
+from tracemill.functions import times
+from tracemill.functions.text import clip, exit_code
 from tracemill.model import Parsed
 from tracemill.sources.lines import get, json_lines, numbered, raw, tables, text_of, ts_of
+from tracemill.sources.sqlite import query
+
+
+#: Where a thread's source names the thread that started it.
+SPAWN = "subagent.thread_spawn.parent_thread_id"
+
+
+def threads(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, file, created_at, project, title, tokens, model, first_message, parent_id: the table of threads that stands beside the files; no file of a session is read."""
+    sql = "SELECT id, rollout_path, CAST(created_at AS TEXT), source, cwd, title, tokens_used, model, first_user_message FROM threads"
+    t = query(spark, path, "state_5.sqlite", sql, "session_id string, rollout string, created string, source string, project string, title string, tokens long, model string, first_message string")
+    parent = get(F.try_parse_json("source"), f"$.{SPAWN}")
+    return t.where("session_id is not null and session_id <> ''").select("session_id", F.col("rollout").alias("file"), times.parse_any(F.col("created")).alias("created_at"), "project", "title", "tokens", "model", clip(F.col("first_message")).alias("first_message"), parent.alias("parent_id"))
 
 
 def read(spark: SparkSession, path: str) -> Parsed:
@@ -44,12 +58,18 @@ def read(spark: SparkSession, path: str) -> Parsed:
     results = rows.where(F.col("kind").isin("function_call_output", "custom_tool_call_output")).select("session_id", get("v", "$.payload.call_id").alias("call_id"), output.alias("content"), (F.coalesce(code, F.lit(0)) != 0).alias("is_error"))
 
     # Usage: the first token_count after an agent step and before the next.
-    u = "$.payload.info.last_token_usage"
-    counts = rows.where("type = 'event_msg' and kind = 'token_count'").where(get("v", f"{u}.input_tokens", "long").isNotNull())
+    # Older files have the numbers in info itself, and other names for them.
+    n = lambda v, *names: F.coalesce(*[get(v, f"$.payload.info.{at}{k}", "long") for k in names for at in ("last_token_usage.", "")])
+    counts = rows.where("type = 'event_msg' and kind = 'token_count'").where(n("v", "input_tokens", "prompt_tokens").isNotNull())
     mix = counts.select("session_id", "pos", "v", F.lit(None).cast("int").alias("step_idx")).unionByName(agent.select("session_id", F.col("at").alias("pos"), F.lit(None).cast("variant").alias("v"), "step_idx"))
     used = mix.withColumn("step_idx", F.last("step_idx", True).over(W.partitionBy("session_id").orderBy("pos"))).where("v is not null and step_idx is not null")
     used = used.groupBy("session_id", "step_idx").agg(F.min_by("v", "pos").alias("u"))
-    cached = F.coalesce(get("u", f"{u}.cached_input_tokens", "long"), F.lit(0))
-    used = used.select("session_id", "step_idx", (get("u", f"{u}.input_tokens", "long") + cached).alias("prompt_tokens"), get("u", f"{u}.output_tokens", "long").alias("completion_tokens"), cached.alias("cache_read_tokens"))
-    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.first("project", True).alias("project"), F.first("forked_from", True).alias("parent_id"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("pos"))).alias("model"))
+    cached = F.coalesce(n("u", "cached_input_tokens", "input_tokens_details.cache_read_tokens"), F.lit(0))
+    used = used.select("session_id", "step_idx", (n("u", "input_tokens", "prompt_tokens") + cached).alias("prompt_tokens"), n("u", "output_tokens", "completion_tokens").alias("completion_tokens"), cached.alias("cache_read_tokens"))
+    # A thread that another one started names it in its first line, or else in the table of threads.
+    started = rows.where("type = 'session_meta'").select("session_id", get("v", f"$.payload.source.{SPAWN}").alias("starter"))
+    listed = threads(spark, path).select("session_id", F.col("parent_id").alias("starter"))
+    starter = started.unionByName(listed).groupBy("session_id").agg(F.max("starter").alias("starter"))
+    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.first("project", True).alias("project"), F.first("forked_from", True).alias("forked"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("pos"))).alias("model"))
+    sessions = sessions.join(starter, "session_id", "left").withColumn("parent_id", F.coalesce("starter", "forked"))
     return tables("codex", sessions, steps.join(used, ["session_id", "step_idx"], "left"), calls, results, rejected)

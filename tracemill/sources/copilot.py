@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -10,6 +10,17 @@ from tracemill.model import Parsed
 from tracemill.sources.lines import get, items, json_lines, numbered, raw, tables, text_of, ts_of
 
 
+def session_totals(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, model, requests, cost, prompt_tokens, completion_tokens, cache_read_tokens, cache_write_tokens of each model, from the last event that ends a session."""
+    lines, _ = json_lines(spark, path, "events.jsonl")
+    rows = lines.select("file", F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("folder"), "pos", "v", get("v", "$.type").alias("type"))
+    name = rows.where("type = 'session.start'").groupBy("file").agg(F.min_by(get("v", "$.data.sessionId"), "pos").alias("main"))
+    end = rows.where("type = 'session.shutdown'").groupBy("file", "folder").agg(F.max_by("v", "pos").alias("v")).join(name, "file", "left")
+    m = end.select(F.coalesce("main", "folder").alias("session_id"), F.explode(F.try_variant_get("v", "$.data.modelMetrics", "map<string,variant>")).alias("model", "m"))
+    n = lambda k, kind="long": F.coalesce(get("m", k, kind), F.lit(0).cast(kind))
+    return m.select("session_id", "model", n("$.requests.count").alias("requests"), n("$.requests.cost", "double").alias("cost"), (n("$.usage.inputTokens") + n("$.usage.cacheReadTokens")).alias("prompt_tokens"), n("$.usage.outputTokens").alias("completion_tokens"), n("$.usage.cacheReadTokens").alias("cache_read_tokens"), n("$.usage.cacheWriteTokens").alias("cache_write_tokens"))
+
+
 def read(spark: SparkSession, path: str) -> Parsed:
     """The session is named by its start event, or else by its folder. A call that never completed has an error as its result."""
     lines, rejected = json_lines(spark, path, "events.jsonl")

@@ -8,11 +8,11 @@ from pyspark.sql.window import Window as W
 
 from tracemill.functions.text import stable_id
 from tracemill.model import Parsed
-from tracemill.sources.lines import get, items, json_documents, json_lines, numbered, raw, tables
+from tracemill.sources.lines import get, inline_agents, items, json_documents, json_lines, numbered, raw, tables
 
 
 def read(spark: SparkSession, path: str) -> Parsed:
-    """Messages have no times; their order is that of the lines. A message without an id gets one from its session and place."""
+    """Messages have no times; their order is that of the lines. A message without an id gets one from its session and place. A sub-agent is known by its task and report alone."""
     lines, rejected = json_lines(spark, path)
     head = json_documents(spark, path).select("session", get("v", "$.session_id").alias("sid"), get("v", "$.cwd").alias("project"), F.try_to_timestamp(get("v", "$.created_at")).alias("created_at"), F.try_to_timestamp(get("v", "$.updated_at")).alias("updated_at"), get("v", "$.session_state.rts_model_state.model_info.model_id").alias("model"))
     rows = lines.join(head, "session", "left").select(F.coalesce("sid", "session").alias("session_id"), "file", "project", "created_at", "updated_at", "model", "pos", "v", get("v", "$.kind").alias("kind"))
@@ -27,4 +27,4 @@ def read(spark: SparkSession, path: str) -> Parsed:
     r = rows.where("kind = 'ToolResults'").select("session_id", F.explode(items("v", "$.data.content")).alias("p")).where(get("p", "$.kind") == "toolResult")
     results = r.select("session_id", get("p", "$.data.toolUseId").alias("call_id"), raw("p", "$.data.content").alias("content"), (get("p", "$.data.status") == "error").alias("is_error"))
     sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), *[F.first(c, True).alias(c) for c in ("project", "created_at", "updated_at", "model")])
-    return tables("kiro", sessions, steps, calls, results, rejected)
+    return inline_agents(tables("kiro", sessions, steps, calls, results, rejected), ("subagent",), ("task", "__tool_use_purpose"))

@@ -69,6 +69,32 @@ def tables(agent: str, sessions: DataFrame, steps: DataFrame, calls: DataFrame,
     return model.Parsed(model.conform(s, model.SESSIONS), steps, model.conform(calls, model.CALLS), model.conform(results, model.RESULTS), rejected)
 
 
+def with_spawns(p: model.Parsed, named: DataFrame) -> model.Parsed:
+    """p with the call that started each sub-agent. named has child, call_id and session_id, the session of the call; of several calls the first counts."""
+    calls = p.calls.select("session_id", "call_id", "step_idx")
+    first = named.join(calls, ["session_id", "call_id"]).groupBy(F.col("child").alias("session_id"), F.col("session_id").alias("parent_id")).agg(F.min(F.struct("step_idx", "call_id")).alias("__s"))
+    s = p.sessions.drop("spawn_step", "spawn_call").join(first, ["session_id", "parent_id"], "left").withColumn("spawn_step", F.col("__s.step_idx")).withColumn("spawn_call", F.col("__s.call_id"))
+    return model.Parsed(model.conform(s, model.SESSIONS), p.steps, p.calls, p.results, p.rejected)
+
+
+def inline_agents(p: model.Parsed, tools: tuple[str, ...], task: tuple[str, ...], report: str | None = None) -> model.Parsed:
+    """p with a session for each call of a tool that runs a sub-agent and leaves nothing of it but its report.
+
+    Such a session has two steps at the time of the call's step: the task, from the first of
+    the arguments `task` that is there, and the report, at the path `report` of the result if
+    it is such a JSON. A call without a report has no session.
+    """
+    found = p.results.where("trim(content) <> ''").select("session_id", "call_id", "content")
+    parent = p.sessions.select("session_id", "agent", "project", F.col("model").alias("of"), "file")
+    made = p.calls.where(F.col("tool_name").isin(*tools)).join(found, ["session_id", "call_id"]).join(p.steps.select("session_id", "step_idx", "ts"), ["session_id", "step_idx"]).join(parent, "session_id")
+    text = F.coalesce(get(F.try_parse_json("content"), report), F.col("content")) if report else F.col("content")
+    asked = F.coalesce(*[F.nullif(get(F.try_parse_json("arguments"), f"$.{k}"), F.lit("")) for k in task], F.concat(F.lit("(started by "), "tool_name", F.lit("; its task was not recorded)")))
+    made = made.select(F.concat_ws(":", "session_id", F.lit("subagent"), F.coalesce("call_id", "tool_name")).alias("child"), F.col("session_id").alias("parent_id"), "agent", "project", "of", "file", "ts", "step_idx", "call_id", F.array(F.struct(F.lit("user").alias("source"), asked.alias("message")), F.struct(F.lit("agent").alias("source"), text.alias("message"))).alias("two"))
+    sessions = made.select(F.col("child").alias("session_id"), "agent", "project", F.col("of").alias("model"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), "parent_id", "file", F.col("step_idx").alias("spawn_step"), F.col("call_id").alias("spawn_call"))
+    steps = made.select(F.col("child").alias("session_id"), "ts", F.posexplode("two").alias("step_idx", "s")).select("session_id", "step_idx", F.concat_ws("-", "session_id", "step_idx").alias("step_id"), "s.source", "ts", "s.message")
+    return model.Parsed(p.sessions.unionByName(model.conform(sessions, model.SESSIONS)), p.steps.unionByName(model.conform(steps, model.STEPS)), p.calls, p.results, p.rejected)
+
+
 def prompt_tokens(v: str | Column, fresh: str, cached: str) -> Column:
     """Prompt tokens count those read from the cache."""
     return F.coalesce(get(v, fresh, "long"), F.lit(0)) + F.coalesce(get(v, cached, "long"), F.lit(0))

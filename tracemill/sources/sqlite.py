@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from tracemill.functions import times
 from tracemill.model import Parsed
-from tracemill.sources.lines import get, items, json_documents, json_lines, numbered, raw, tables, text_of, ts_of
+from tracemill.sources.lines import get, items, json_documents, json_lines, numbered, raw, tables, text_of, ts_of, with_spawns
 
 
 def query(spark: SparkSession, path: str, glob: str, sql: str, schema: str) -> DataFrame:
@@ -20,7 +20,7 @@ def query(spark: SparkSession, path: str, glob: str, sql: str, schema: str) -> D
 
     The query runs inside SQLite, so its conditions are pushed down. Files come through
     Spark's reader, so they may lie in any store; a file is held by one task. A file that
-    is no database, or lacks a table, gives no rows.
+    is no database, or lacks a table, gives no rows; unreadable() names it.
     """
     fields = T._parse_datatype_string(schema).fields
 
@@ -46,6 +46,27 @@ def query(spark: SparkSession, path: str, glob: str, sql: str, schema: str) -> D
     return files.select("path", "content").mapInPandas(run, "file string, " + schema)
 
 
+def unreadable(spark: SparkSession, path: str, glob: str, sql: str) -> DataFrame:
+    """file, pos, value of each file over which the query fails; value is SQLite's message. The columns are those of rejected lines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for b in batches:
+            for file, content in zip(b["path"], b["content"]):
+                con = sqlite3.connect(":memory:")
+                try:
+                    con.deserialize(bytes(content))
+                    con.execute(sql).fetchone()
+                except sqlite3.DatabaseError as e:
+                    yield pd.DataFrame({"file": [file], "value": [str(e)]})
+                finally:
+                    con.close()
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return files.select("path", "content").mapInPandas(run, "file string, value string").select("file", F.lit(None).cast("struct<block:bigint,id:bigint>").alias("pos"), "value")
+
+
 def read_opencode(spark: SparkSession, path: str, glob: str = "opencode.db", agent: str = "opencode", session_id: str | None = None) -> Parsed:
     """Tables session, message and part; many sessions in a file. session_id reads one session and its children only."""
     only = "" if session_id is None else "'" + session_id.replace("'", "''") + "'"
@@ -67,7 +88,14 @@ def read_opencode(spark: SparkSession, path: str, glob: str = "opencode.db", age
     results = t.where(get("v", "$.state.status").isin("completed", "error")).select("session_id", get("v", "$.callID").alias("call_id"), F.coalesce(raw("v", "$.state.output"), raw("v", "$.state.error")).alias("content"), (get("v", "$.state.status") == "error").alias("is_error"))
     model = steps.groupBy("session_id").agg(F.max_by("model", F.when(F.col("model").isNotNull(), F.col("step_idx"))).alias("model"))
     sessions = s.join(model, "session_id", "left").select("session_id", "file", "project", "parent_id", "model", times.from_epoch(F.col("created")).alias("created_at"), times.from_epoch(F.col("updated")).alias("updated_at"))
-    return tables(agent, sessions, steps, calls, results)
+    p_ = tables(agent, sessions, steps, calls, results, unreadable(spark, path, glob, "SELECT 1 FROM session, message, part LIMIT 1"))
+    # The call that ran a sub-agent keeps its session's id.
+    return with_spawns(p_, t.select("session_id", get("v", "$.callID").alias("call_id"), get("v", "$.state.metadata.sessionId").alias("child")).where("child is not null"))
+
+
+def todos(spark: SparkSession, path: str, glob: str = "opencode.db") -> DataFrame:
+    """session_id, position, content, status, priority of the sessions' to-do lists."""
+    return query(spark, path, glob, "SELECT session_id, position, content, status, priority FROM todo", "session_id string, position int, content string, status string, priority string").drop("file")
 
 
 def read_kilo(spark: SparkSession, path: str) -> Parsed:
@@ -83,7 +111,11 @@ def first_user_messages(spark: SparkSession, path: str, glob: str = "opencode.db
 
 
 def read_cursor(spark: SparkSession, path: str) -> Parsed:
-    """Blobs in row order; those that are JSON with a role are messages. A store is a session, named by its folder."""
+    """Blobs in row order; those that are JSON with a role are messages. A store is a session, named by its folder.
+
+    Sub-agents have no store but a file of lines in the folder `subagents` of their session's
+    transcripts; tool results are not in it, and only its first step has a time.
+    """
     b = query(spark, path, "store.db", "SELECT rowid, data FROM blobs ORDER BY rowid", "pos long, data binary")
     rows = b.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("session_id"), "file", "pos", F.try_parse_json(F.when(F.is_valid_utf8(F.col("data").cast("string")), F.col("data").cast("string"))).alias("v"))
     rows = rows.where("v is not null").withColumn("role", get("v", "$.role")).where("role is not null")
@@ -93,18 +125,35 @@ def read_cursor(spark: SparkSession, path: str) -> Parsed:
     calls = p.withColumn("call_pos", F.row_number().over(W.partitionBy("session_id", "step_idx").orderBy("at")) - 1).select("session_id", "step_idx", "call_pos", get("p", "$.toolCallId").alias("call_id"), get("p", "$.toolName").alias("tool_name"), raw("p", "$.args").alias("arguments"))
     r = rows.where("role = 'tool'").select("session_id", F.explode(items("v", "$.content")).alias("p")).where(get("p", "$.type") == "tool-result")
     results = r.select("session_id", get("p", "$.toolCallId").alias("call_id"), raw("p", "$.result").alias("content"), F.lit(False).alias("is_error"))
-    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"))
-    return tables("cursor", sessions, said, calls, results)
+    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file"), F.lit(None).cast("string").alias("parent_id"))
+    main = tables("cursor", sessions, said, calls, results, unreadable(spark, path, "store.db", "SELECT rowid, data FROM blobs LIMIT 1"))
+
+    place = "/agent-transcripts/([^/]+)/subagents/([^/]+)\\.jsonl$"
+    lines, rejected = json_lines(spark, path)
+    lines = lines.where(F.regexp_like("file", F.lit(place))).select(F.regexp_extract("file", place, 2).alias("session_id"), F.regexp_extract("file", place, 1).alias("parent_id"), "file", "pos", "v", get("v", "$.role").alias("role"))
+    lines = numbered(lines.where("role in ('user', 'assistant')"), ["pos"])
+    said = text_of("v", "$.message.content")
+    body = F.coalesce(F.nullif(F.regexp_extract(said, "(?s)<user_query>\\s*(.*?)\\s*</user_query>", 1), F.lit("")), said)
+    steps = lines.select("session_id", "step_idx", F.concat(F.lit("cursor-child-"), "step_idx").alias("step_id"), F.when(F.col("role") == "user", "user").otherwise("agent").alias("source"), F.when(F.col("step_idx") == 0, times.tagged(said)).alias("ts"), body.alias("message"))
+    p = lines.select("session_id", "step_idx", F.posexplode(items("v", "$.message.content")).alias("at", "p")).where(get("p", "$.type") == "tool_use")
+    calls = p.select("session_id", "step_idx", (F.row_number().over(W.partitionBy("session_id", "step_idx").orderBy("at")) - 1).alias("call_pos"), get("p", "$.id").alias("call_id"), get("p", "$.name").alias("tool_name"), raw("p", "$.input").alias("arguments"))
+    children = lines.groupBy("session_id", "parent_id").agg(F.min("file").alias("file"))
+    none = main.results.limit(0)
+    sub = tables("cursor", children, steps, calls, none)
+    bad = rejected.where(F.regexp_like("file", F.lit(place)))
+    return Parsed(*[getattr(main, t).unionByName(getattr(sub, t)) for t in ("sessions", "steps", "calls", "results")], main.rejected.unionByName(bad.select("file", "pos", "value")))
 
 
 def read_hermes(spark: SparkSession, path: str) -> Parsed:
-    """A session's JSONL file, or else its JSON snapshot, with times and token totals from state.db; the totals go to the last step of the agent."""
+    """A session's JSONL file, or else its JSON snapshot, with times and token totals from state.db; the totals go to the last step of the agent. state.db also says which session started which."""
     lines, rejected = json_lines(spark, path)
     a = lines.select(F.col("session").alias("session_id"), "file", "pos", "v").where(get("v", "$.role").isNotNull())
     docs = json_documents(spark, path, "session_*.json").select(F.coalesce(get("v", "$.session_id"), F.regexp_replace("session", "^session_", "")).alias("session_id"), "file", F.posexplode(items("v", "$.messages")).alias("i", "v"))
     b = docs.join(a.select("session_id").distinct(), "session_id", "left_anti").select("session_id", "file", F.struct(F.lit(0).cast("long").alias("block"), F.col("i").cast("long").alias("id")).alias("pos"), "v")
     rows = a.unionByName(b).withColumn("role", get("v", "$.role"))
     state = query(spark, path, "state.db", "SELECT id, started_at, ended_at, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens FROM sessions", "session_id string, started double, ended double, i long, o long, r long, w long").drop("file")
+    # Older tables lack the column, which is why it is asked for by itself.
+    parents = query(spark, path, "state.db", "SELECT id, parent_session_id FROM sessions WHERE parent_session_id IS NOT NULL", "session_id string, parent_id string").groupBy("session_id").agg(F.min("parent_id").alias("parent_id"))
     steps = numbered(rows.where("role in ('user', 'assistant', 'system')").select("session_id", "pos", "v", F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("source"), ts_of("v", "$.timestamp").alias("ts"), text_of("v", "$.content").alias("message")), ["pos"])
     last = steps.where("source = 'agent'").groupBy("session_id").agg(F.max("step_idx").alias("step_idx")).join(state, "session_id").select("session_id", "step_idx", (F.col("i") + F.coalesce("r", F.lit(0))).alias("prompt_tokens"), F.col("o").alias("completion_tokens"), F.col("r").alias("cache_read_tokens"), F.col("w").alias("cache_write_tokens"))
     c = steps.select("session_id", "step_idx", F.posexplode(items("v", "$.tool_calls")).alias("call_pos", "c"))
@@ -112,5 +161,5 @@ def read_hermes(spark: SparkSession, path: str) -> Parsed:
     body = F.try_parse_json(raw("v", "$.content"))
     failed = F.coalesce(get(body, "$.exit_code", "int") != 0, F.lit(False)) | (F.coalesce(get(body, "$.error"), F.lit("")) != "") | F.coalesce(get(body, "$.status") == "error", F.lit(False))
     results = rows.where("role = 'tool'").select("session_id", get("v", "$.tool_call_id").alias("call_id"), text_of("v", "$.content").alias("content"), failed.alias("is_error"))
-    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file")).join(state, "session_id", "left").select("session_id", "file", times.from_epoch(F.col("started")).alias("created_at"), times.from_epoch(F.col("ended")).alias("updated_at"))
+    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file")).join(state, "session_id", "left").join(parents, "session_id", "left").select("session_id", "file", "parent_id", times.from_epoch(F.col("started")).alias("created_at"), times.from_epoch(F.col("ended")).alias("updated_at"))
     return tables("hermes", sessions, steps.join(last, ["session_id", "step_idx"], "left"), calls, results, rejected)
