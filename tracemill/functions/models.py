@@ -64,6 +64,7 @@ def canonical_model(raw: Column) -> Column:
     Paths and providers before the name go, dotted versions of dashed families are dashed,
     and the first canonical name that begins it counts, unless a finer dotted version follows.
     """
+    # What stands before a name, and which dotted versions are dashed.
     name = F.lower(F.regexp_replace(raw, "^\\s+|\\s+$", ""))
     name = F.regexp_replace(name, "^(?:models/|accounts/[^/]+/models/)", "")
     name = F.regexp_replace(name, "^(?:[a-z0-9._-]+[/:])+", "")

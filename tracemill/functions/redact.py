@@ -147,7 +147,7 @@ def redact_literals(text: Column, literals: list[str], mark: str = MARK) -> Colu
     return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(mark)), [s for s in literals if s], text)
 
 
-#: Places where a path names a user.
+# Places where a path names a user.
 HOMES = (r"[A-Za-z]:\\Users\\([^\\]+)\\", r"/mnt/[a-z]/Users/([^/]+)/", r"/(?:Users|home)/([^/]+)/", r"-(?:Users|home)-([^-]+)-")
 BARE = 4
 
@@ -164,6 +164,7 @@ def user_names(texts: DataFrame, column: str) -> DataFrame:
 
 def variants(name: str) -> list[str]:
     """Other spellings of a name written in camel case: its parts joined, and each long part."""
+    # Fixed value: where a name in camel case is parted.
     parts = re.split(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", name)
     if len(parts) < 2:
         return []

@@ -64,6 +64,21 @@ def digest_depth(steps: Column) -> Column:
     return F.when(steps < 10, "full").when(steps < 200, "medium").otherwise("concise")
 
 
+#: Preset of each depth.
+DEPTHS = {"full": "detail", "medium": "medium", "concise": "concise"}
+
+
+def digests(steps: DataFrame) -> DataFrame:
+    """session_id, depth, context: extracts that say less of a step the more steps a session has."""
+    n = steps.groupBy("session_id").agg(digest_depth(F.count("*")).alias("depth"))
+    out = None
+    for depth, preset in DEPTHS.items():
+        some = n.where(F.col("depth") == depth)
+        part = extracts(steps.join(some.select("session_id"), "session_id", "left_semi"), preset).select("session_id", F.lit(depth).alias("depth"), "context")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fit_to_budget(contexts: DataFrame, budget: int) -> DataFrame:
     """Contexts cut to a budget of tokens in proportion to their lengths, from the middle. Nothing is cut where all fits."""
     total = contexts.agg(F.sum(token_estimate(F.col("context"))).alias("total"))

@@ -58,6 +58,25 @@ def synthesised(found: DataFrame, backend: Callable[[str], str], steps: DataFram
     return joined(filled.withColumn("batch", F.lit("synthesis")), steps, most, refs)
 
 
+RATIONALE = "array<struct<name:string,score:double,rationale:string>>"
+
+
+def recommended(items: DataFrame, chosen: DataFrame, backend: Callable[[str], str], most: int = 10) -> DataFrame:
+    """item_id, name, score, rationale of the candidates that a backend keeps, best first.
+
+    chosen is what search.candidates() gives, a bounded list; the backend gets it as JSON with
+    the items' descriptions and answers with names, scores and reasons. Of a name that occurs
+    twice the first counts, and one that is no candidate's is left out.
+    """
+    asked = chosen.join(items.select("item_id", "description"), "item_id")
+    one = asked.agg(F.to_json(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "name", "description")))).alias("context"), F.count("*").alias("n")).where("n > 0")
+    answers = context.infer(one.withColumn("batch", F.lit("items")), backend)
+    said = answers.where("ok").select(F.posexplode(F.from_json(fenced(F.col("answer")), RATIONALE)).alias("at", "r")).select("at", "r.*").where("name is not null")
+    first = refs_.first_per_name(said, chosen, "name", [F.col("at")])
+    known = refs_.first_per_name(chosen.withColumnRenamed("score", "base"), first, "name", [F.desc("base"), F.asc("item_id")])
+    return first.join(known, "name").select("item_id", "name", F.coalesce("score", "base").alias("score"), "rationale").orderBy(F.desc("score"), "name").limit(most)
+
+
 def analyse(contexts: DataFrame, sessions: DataFrame, steps: DataFrame, backend: Callable[[str], str], budget: int = 100_000, synthesis: bool = False) -> DataFrame:
     """joined() findings of a backend (a callable from text to text) over all contexts, or synthesised() ones where several batches were asked. Batches that fail are left out; if all fail that is an error."""
     sized = contexts.select("session_id", context.token_estimate(F.col("context")).alias("tokens")).join(sessions.select("session_id", "project", "created_at"), "session_id")

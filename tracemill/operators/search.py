@@ -383,6 +383,11 @@ def rank_sessions(index: Index, docs: DataFrame, query: str, now: str, doc: str
     return out.limit(top) if top else out
 
 
+def candidates(items: DataFrame, profile: str, now: str, index: Index | None = None, top: int = 100) -> DataFrame:
+    """item_id, name, score of the items that suit a profile best, from which a recommendation is chosen."""
+    return rank_catalog(items, "", now, sort="personalized", profile=profile, index=index, top=top).select("item_id", "name", "score")
+
+
 def name_score(name: Column, query: str) -> Column:
     """10 for each word of the query in the name, 1 if the name holds it, 500 if all words are there, 1000 if the name is the query."""
     words = [w for w in re.findall("[a-z0-9]+", query.lower()) if len(w) >= 2]

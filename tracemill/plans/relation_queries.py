@@ -128,12 +128,13 @@ def calls_without_strong_edge(spark, d):
     return edges.roots(c, strong)
 
 
-@query("""SELECT l_orderkey, l_linenumber, o_orderkey AS near FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS x FROM lineitem WHERE l_quantity = 1) l
-JOIN (SELECT o_orderkey, o_custkey AS a, o_custkey + 40 AS b FROM orders WHERE o_orderkey % 200 = 0) o ON x % 2000 BETWEEN a AND b AND l_linenumber = o_orderkey // 200 % 7 + 1""")
+#: Of each order those that the same customer places on its day or in the 30 days after it.
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS x FROM orders)
+SELECT p.o_orderkey, r.o_orderkey AS near FROM o p JOIN o r ON p.o_custkey = r.o_custkey AND p.x BETWEEN r.x AND r.x + 30""")
 def points_in_ranges(spark, d):
-    l = table(spark, d, "lineitem").where("l_quantity = 1").select("l_orderkey", "l_linenumber", (F.floor("l_extendedprice") % 2000).alias("x"))
-    o = table(spark, d, "orders").where("o_orderkey % 200 = 0").select(F.col("o_orderkey").alias("near"), F.col("o_custkey").alias("a"), (F.col("o_custkey") + 40).alias("b"), (F.floor(F.col("o_orderkey") / 200) % 7 + 1).cast("int").alias("l_linenumber"))
-    return intervals.points_in_ranges(l, o, "l_linenumber", "x", "a", "b").select("l_orderkey", "l_linenumber", "near")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("x"))
+    ranges = o.select(F.col("o_orderkey").alias("near"), "o_custkey", F.col("x").alias("a"), (F.col("x") + 30).alias("b"))
+    return intervals.points_in_ranges(o, ranges, "o_custkey", "x", "a", "b").select("o_orderkey", "near")
 
 
 @query("SELECT kind, key, CAST(sum(n) AS BIGINT) AS sessions FROM (SELECT 'project' AS kind, '/p' || (o_custkey % 5) AS key, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'agent', o_orderpriority, count(*) FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 2) GROUP BY 1, 2")

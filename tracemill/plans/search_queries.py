@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in search.STOPWORDS.split()) + "]"
 STEM_SQL = "CASE WHEN t LIKE '%ies' AND length(t) >= 6 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%ing' AND length(t) >= 6 THEN left(t, length(t) - 3) WHEN t LIKE '%ed' AND length(t) >= 5 THEN left(t, length(t) - 2) WHEN t LIKE '%s' AND length(t) >= 4 THEN left(t, length(t) - 1) ELSE t END"
-FIELDS_SQL = "fl AS (SELECT doc_id AS doc, 'user_prompts' AS field, text AS x FROM documents UNION ALL SELECT doc_id, 'agent_messages', lang || ' ' || left(text, 40) FROM documents UNION ALL SELECT doc_id, 'tool_calls', source FROM documents)"
+FIELDS_SQL = "fl AS (SELECT doc_id AS doc, 'user_prompts' AS field, text AS x FROM documents UNION ALL SELECT doc_id, 'agent_messages', lang || ' ' || source FROM documents UNION ALL SELECT doc_id, 'tool_calls', source FROM documents)"
 TOKENS_SQL = f"""{FIELDS_SQL},
 tk AS (SELECT doc, field, list_transform(list_filter(regexp_extract_all(lower(coalesce(x, '')), '[a-z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains({STOP_SQL}, t)), lambda t: {STEM_SQL}) AS t FROM fl),
 ts AS (SELECT doc, field, CASE WHEN len(t) = 0 THEN [''] ELSE t END AS t FROM tk),
@@ -39,7 +39,7 @@ sc AS (SELECT po.field, po.doc, po.token, (CASE WHEN idf < 0 THEN 0.25 * m ELSE
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("user_prompts"), F.concat_ws(" ", "lang", F.left("text", F.lit(40))).alias("agent_messages"), F.col("source").alias("tool_calls"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("user_prompts"), F.concat_ws(" ", "lang", "source").alias("agent_messages"), F.col("source").alias("tool_calls"))
 
 
 #: Indexes that this process has stored, by application, place of the tables and what is indexed.
@@ -57,18 +57,30 @@ def _kept(spark, d, name, docs, doc, fields):
     return index
 
 
-def _index(spark, d):
+def search_index(spark, d):
+    """The index of the documents."""
     return _kept(spark, d, "search", _docs(spark, d), "doc", ["user_prompts", "agent_messages", "tool_calls"])
 
 
-@query(f"WITH {TOKENS_SQL} SELECT field, token, n, round(idf, 6) AS idf FROM vo WHERE n >= 3")
+def _items(spark, d):
+    """Parts as items of a catalogue."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("p_partkey") % 3000).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("topics"), F.col("p_brand").alias("author"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.lit("").alias("readme"), (F.col("p_size") * 2).alias("quality_score"), (F.col("p_retailprice") / 2000.0).alias("popularity"), at.alias("updated_at"))
+
+
+def catalog_index(spark, d):
+    """The index of the catalogue."""
+    return _kept(spark, d, "catalog", _items(spark, d), "item_id", list(search.CATALOG_WEIGHTS))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT field, token, n, round(idf, 6) AS idf FROM vo")
 def tokenize_stats(spark, d):
-    return _index(spark, d).vocabulary.drop("bucket").where("n >= 3").withColumn("idf", F.round("idf", 6))
+    return search_index(spark, d).vocabulary.drop("bucket").withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc, round(sum(score), 4) AS score FROM sc WHERE field = 'user_prompts' AND token IN ('onen', 'erhe', 'onst') GROUP BY 1")
 def bm25_text(spark, d):
-    return search.field_scores(_index(spark, d), TWO, ["user_prompts"]).select("doc", F.round("score", 4).alias("score"))
+    return search.field_scores(search_index(spark, d), TWO, ["user_prompts"]).select("doc", F.round("score", 4).alias("score"))
 
 
 BLEND_SQL = TOKENS_SQL + """, bl AS (SELECT doc, sum(score * CASE field WHEN 'user_prompts' THEN 4 WHEN 'agent_messages' THEN 2 ELSE 1 END) AS raw FROM sc WHERE token IN ('onen', 'erhe') GROUP BY 1 HAVING count(DISTINCT token) = 2),
@@ -77,11 +89,11 @@ co AS (SELECT doc, raw / max(raw) OVER () AS composite FROM bl)"""
 
 @query(f"WITH {BLEND_SQL} SELECT doc, round(composite, 4) AS composite FROM co")
 def bm25_blend(spark, d):
-    return search.blended(_index(spark, d), QUERY, search.SESSION_WEIGHTS).select("doc", F.round("composite", 4).alias("composite"))
+    return search.blended(search_index(spark, d), QUERY, search.SESSION_WEIGHTS).select("doc", F.round("composite", 4).alias("composite"))
 
 
 PHRASE = "er th"
-BONUS_SQL = f"bo AS (SELECT doc_id AS doc, CASE WHEN contains(lower(text), '{PHRASE}') THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(lang || ' ' || left(text, 40)), '{PHRASE}') THEN 0.7 ELSE 0 END + CASE WHEN contains(lower(source), '{PHRASE}') THEN 0.3 ELSE 0 END AS bonus FROM documents)"
+BONUS_SQL = f"bo AS (SELECT doc_id AS doc, CASE WHEN contains(lower(text), '{PHRASE}') THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(lang || ' ' || source), '{PHRASE}') THEN 0.7 ELSE 0 END + CASE WHEN contains(lower(source), '{PHRASE}') THEN 0.3 ELSE 0 END AS bonus FROM documents)"
 
 
 @query(f"WITH {BONUS_SQL} SELECT doc, round(CAST(bonus AS DOUBLE), 4) AS bonus FROM bo WHERE bonus > 0")
@@ -96,7 +108,7 @@ SELECT CAST(doc AS VARCHAR) AS doc, 0 AS tier, round(score, 4) AS score FROM fi
 def search_ranked(spark, d):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("doc").cast("int"))
     docs = _docs(spark, d).select(F.col("doc").cast("string").alias("session_id"), "user_prompts", "agent_messages", "tool_calls", at.alias("updated_at"))
-    return search.rank_sessions(_index(spark, d).with_doc("string"), docs, PHRASE, NOW, top=40).select("doc", "tier", F.round("score", 4).alias("score"))
+    return search.rank_sessions(search_index(spark, d).with_doc("string"), docs, PHRASE, NOW, top=40).select("doc", "tier", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH fl AS (SELECT p_partkey AS doc, 'name' AS field, p_name AS x FROM part UNION ALL SELECT p_partkey, 'topics', p_type FROM part UNION ALL SELECT p_partkey, 'author', p_brand FROM part UNION ALL SELECT p_partkey, 'description', p_name || ' ' || p_type FROM part),
@@ -108,7 +120,5 @@ ns AS (SELECT p_partkey AS item_id, p_name AS name, CASE WHEN list_contains(rege
   coalesce(text, 0) * 0.375 + least(1, p_size * 2 / 100.0) * 0.375 + least(1, p_retailprice / 2000.0) * 0.125 + exp(-(epoch(TIMESTAMP '{NOW}') - epoch(TIMESTAMP '2024-01-01' + to_hours(CAST(p_partkey % 3000 AS INTEGER)))) / 86400.0 / 180) * 0.125 AS score, text FROM part LEFT JOIN tx ON doc = p_partkey)
 SELECT item_id, name, name_score, round(score, 4) AS score FROM ns WHERE name_score > 0 OR text > 0 ORDER BY name_score DESC, ns.score DESC, name, item_id LIMIT 100""")
 def catalog_rank(spark, d):
-    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("p_partkey") % 3000).cast("int"))
-    items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("topics"), F.col("p_brand").alias("author"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.lit("").alias("readme"), (F.col("p_size") * 2).alias("quality_score"), (F.col("p_retailprice") / 2000.0).alias("popularity"), at.alias("updated_at"))
-    index = _kept(spark, d, "catalog", items, "item_id", list(search.CATALOG_WEIGHTS))
-    return search.rank_catalog(items, "red widget", NOW, index=index, top=100).select("item_id", "name", "name_score", F.round("score", 4).alias("score"))
+    items = _items(spark, d)
+    return search.rank_catalog(items, "red widget", NOW, index=catalog_index(spark, d), top=100).select("item_id", "name", "name_score", F.round("score", 4).alias("score"))

@@ -55,6 +55,16 @@ def catalog_table(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return with_pop, items.groupBy("type").agg(F.count("*").alias("items"))
 
 
+def write_catalog(items: DataFrame, path: str) -> None:
+    """Items in ranges of their ids, so that a file's statistics tell a reader of one item which file to open."""
+    items.repartitionByRange("item_id").sortWithinPartitions("item_id").write.mode("overwrite").parquet(path)
+
+
+def find_item(spark: SparkSession, path: str, item_id: str) -> DataFrame:
+    """One item with all its columns; the filter reaches the files."""
+    return spark.read.parquet(path).where(F.col("item_id") == item_id)
+
+
 def topics(items: DataFrame) -> DataFrame:
     """The distinct topics of a catalogue in order."""
     return items.select(F.explode("topics").alias("topic")).distinct().orderBy("topic")

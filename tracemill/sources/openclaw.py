@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracemill.model import Parsed
-from tracemill.sources.lines import get, items, json_lines, numbered, prompt_tokens, raw, tables, text_of, ts_of
+from tracemill.sources.lines import get, items, json_documents, json_lines, numbered, prompt_tokens, raw, tables, text_of, ts_of
+
+
+def session_index(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, created_at, updated_at of the sessions that the list beside the files names; no session is read."""
+    e = json_documents(spark, path, "sessions.json").select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "e"))
+    rows = e.select(get("e", "$.sessionId").alias("session_id"), ts_of("e", "$.updatedAt").alias("updated_at"), ts_of("e", "$.createdAt").alias("c")).where("session_id is not null")
+    return rows.select("session_id", F.coalesce("c", "updated_at").alias("created_at"), "updated_at")
 
 
 def read(spark: SparkSession, path: str) -> Parsed:

@@ -93,6 +93,12 @@ def read_opencode(spark: SparkSession, path: str, glob: str = "opencode.db", age
     return with_spawns(p_, t.select("session_id", get("v", "$.callID").alias("call_id"), get("v", "$.state.metadata.sessionId").alias("child")).where("child is not null"))
 
 
+def session_index(spark: SparkSession, path: str, glob: str = "opencode.db") -> DataFrame:
+    """session_id, parent_id, project, title, created_at, updated_at from the table of sessions alone; no message is read."""
+    s = query(spark, path, glob, "SELECT id, parent_id, directory, title, time_created, time_updated FROM session", "session_id string, parent_id string, project string, title string, created long, updated long")
+    return s.select("session_id", "parent_id", "project", "title", times.from_epoch(F.col("created")).alias("created_at"), times.from_epoch(F.col("updated")).alias("updated_at"))
+
+
 def todos(spark: SparkSession, path: str, glob: str = "opencode.db") -> DataFrame:
     """session_id, position, content, status, priority of the sessions' to-do lists."""
     return query(spark, path, glob, "SELECT session_id, position, content, status, priority FROM todo", "session_id string, position int, content string, status string, priority string").drop("file")

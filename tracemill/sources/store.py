@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +10,33 @@ from tracemill import model
 from tracemill.sources.lines import get, items, json_documents, raw, tables, text_of, ts_of
 
 TABLES = ("sessions", "steps", "calls", "results")
+#: Version of the stored tables; those of another version are read from the logs again.
+VERSION = 2
 
 
 def write(parsed: model.Parsed, path: str, mode: str = "overwrite") -> None:
     """Sessions by agent; the others are clustered by session, so that one session's rows lie together."""
-    parsed.sessions.write.mode(mode).partitionBy("agent").parquet(f"{path}/sessions")
+    parsed.sessions.withColumn("schema_version", F.lit(VERSION)).write.mode(mode).partitionBy("agent").parquet(f"{path}/sessions")
     for t in TABLES[1:]:
         rows = getattr(parsed, t)
         rows.repartition("session_id").sortWithinPartitions("session_id").write.mode(mode).parquet(f"{path}/{t}")
 
 
+def is_current(spark: SparkSession, path: str) -> bool:
+    """Whether a store is there and all its sessions are of this version."""
+    try:
+        s = spark.read.parquet(f"{path}/sessions")
+    except AnalysisException:
+        return False
+    return "schema_version" in s.columns and s.where(F.col("schema_version") != VERSION).isEmpty()
+
+
 def read(spark: SparkSession, path: str) -> model.Parsed:
-    return model.Parsed(*[spark.read.parquet(f"{path}/{t}") for t in TABLES])
+    """A store of this version; any other is an error, see is_current()."""
+    if not is_current(spark, path):
+        raise ValueError(f"no store of version {VERSION} in {path}; write it anew")
+    sessions, *others = [spark.read.parquet(f"{path}/{t}") for t in TABLES]
+    return model.Parsed(sessions.drop("schema_version"), *others)
 
 
 def read_trajectories(spark: SparkSession, path: str) -> model.Parsed:

@@ -22,6 +22,11 @@ def changes(now: DataFrame, indexed: DataFrame) -> DataFrame:
     return sets.change_kind(now, indexed, "file", "stamp")
 
 
+def fruitless(now: DataFrame, parsed: DataFrame, key: str = "file") -> DataFrame:
+    """file, stamp of files that gave no session. Kept with the index they count as unchanged, so that they are not read again before they change."""
+    return now.join(parsed.select(key).distinct(), key, "left_anti")
+
+
 def replaced(old: DataFrame, fresh: DataFrame, diff: DataFrame, key: str = "file") -> DataFrame:
     """old without the rows of changed and removed files, and fresh, which was parsed from the changed and new ones."""
     gone = diff.where("kind in ('changed', 'removed')").select(F.col("file").alias(key))
