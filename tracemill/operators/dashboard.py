@@ -178,7 +178,7 @@ def final_metrics(steps: DataFrame, calls: DataFrame | None = None) -> DataFrame
     s = steps.join(first, "session_id", "left").withColumn("day", times.day(F.coalesce("ts", "__first")))
     zero = lambda c: F.coalesce(c, F.lit(0))
     spent = zero(F.col("prompt_tokens")) + zero(F.col("completion_tokens"))
-    days = s.where("day is not null").groupBy("session_id", "day").agg(F.count("*").alias("messages"), F.sum(spent).alias("tokens"), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"))
+    days = s.where("day is not null").groupBy("session_id", "day").agg(F.count("*").alias("messages"), F.sum(spent).alias("tokens"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
     by_day = days.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("day", F.struct("messages", "tokens", "cost_usd"))))).alias("days"))
     sums = {c: zero(F.sum(c)).alias(c) for c in ("prompt_tokens", "completion_tokens", "cache_read_tokens", "cache_write_tokens")}
     own = F.count("tool_name") if calls is None else F.lit(0)

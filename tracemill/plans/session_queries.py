@@ -376,9 +376,9 @@ def final_metrics(spark, d):
     return dashboard.final_metrics(_costed(spark, d)).withColumn("days", F.size("days").cast("long"))
 
 
-@query(f"WITH {COST_SQL} SELECT session_id, day, messages, tokens, round(coalesce(cost_usd, 0), 6) AS cost_usd FROM dd")
+@query(f"WITH {COST_SQL} SELECT session_id, day, messages, tokens, round(coalesce(cost_usd, 0), 9) AS cost_usd FROM dd")
 def final_metric_days(spark, d):
-    return dashboard.final_metrics(_costed(spark, d)).select("session_id", F.explode("days").alias("day", "v")).select("session_id", "day", "v.messages", "v.tokens", "v.cost_usd")
+    return dashboard.final_metrics(_costed(spark, d)).select("session_id", F.explode("days").alias("day", "v")).select("session_id", "day", "v.messages", "v.tokens", F.round("v.cost_usd", 9).alias("cost_usd"))
 
 
 @query(f"WITH {STEPS_SQL}, n AS (SELECT session_id, count(*) AS n FROM st GROUP BY 1) SELECT project, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS steps FROM se JOIN n USING (session_id) GROUP BY 1")

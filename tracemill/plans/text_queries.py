@@ -175,7 +175,7 @@ def text_helpers(spark, d):
 
 
 @query(f"""WITH {CONTEXT_SQL}, t AS (SELECT *, sum(CASE WHEN length(context) > 0 THEN ceil(length(context) / 4.0) ELSE 0 END) OVER () AS total FROM fu), k AS (SELECT *, CAST(floor(length(context) * 20000.0 / total) AS BIGINT) AS most FROM t)
-SELECT session_id, CASE WHEN total > 20000 AND length(context) > most THEN left(context, CAST(floor(most * 0.7) AS BIGINT)) || chr(10) || '...' || chr(10) || right(context, most - CAST(floor(most * 0.7) AS BIGINT)) ELSE context END AS context FROM k""")
+SELECT session_id, CASE WHEN total > 20000 AND length(context) > most THEN left(context, CAST(floor(most * CAST(0.7 AS DOUBLE)) AS BIGINT)) || chr(10) || '...' || chr(10) || right(context, most - CAST(floor(most * CAST(0.7 AS DOUBLE)) AS BIGINT)) ELSE context END AS context FROM k""")
 def fitted_contexts(spark, d):
     return context.fit_to_budget(_contexts(spark, d), 20_000).select("session_id", "context")
 
