@@ -1,6 +1,7 @@
 """Versions of stores, point lookups, index scans, files without sessions, recommendations and digests."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from test_sources import T, database, put
 
 from tracemill import sinks, sources
+from tracemill.functions import redact
 from tracemill.operators import context, report, search
 from tracemill.sources import openclaw, sqlite, store
 from tracemill.streaming import incremental
@@ -77,3 +79,17 @@ def test_digests_by_length(spark):
     d = {r.session_id: r for r in context.digests(spark.createDataFrame(rows, "session_id string, step_idx int, source string, message string")).collect()}
     assert {k: v.depth for k, v in d.items()} == {"a": "full", "b": "medium", "c": "concise"}
     assert "m" * 3000 in d["a"].context and "m" * 1001 not in d["b"].context and "m" * 501 not in d["c"].context
+
+
+def test_detected_names_are_redacted(spark):
+    def detect(t):
+        return [(m.start(), m.end()) for n in ("Ann", "Ann Lee", "Lee") for m in re.finditer(n, t)]
+
+    rows = [(1, "Ann Lee met Lee"), (2, None), (3, ""), (4, "nobody")]
+    got = {r.id: (r.r.text, r.r["count"]) for r in spark.createDataFrame(rows, "id int, t string").select("id", redact.redact_detected(F.col("t"), detect).alias("r")).collect()}
+    assert got == {1: ("[REDACTED] met [REDACTED]", 2), 2: (None, 0), 3: ("", 0), 4: ("nobody", 0)}
+
+
+def test_sessions_too_short_to_sample(spark):
+    s = spark.createDataFrame([("a", 3), ("b", 10), ("c", None)], "session_id string, steps int")
+    assert {tuple(r) for r in context.too_short(s).collect()} == {("a", 3), ("c", 0)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -137,6 +137,27 @@ def redact(text: Column, credentials: bool = True, personal: bool = True) -> Col
     return run(text)
 
 
+def redact_detected(text: Column, detect: Callable[[str], list[tuple[int, int]]], mark: str = MARK) -> Column:
+    """struct(text, count): what a detector, such as a model of names, finds in a text (start and end of each place) replaced by a mark.
+
+    Of places that overlap the first counts, the longer of two with one start.
+    """
+
+    @F.pandas_udf("text string, count int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            at, n, out = 0, 0, []
+            for a, b in sorted(detect(t), key=lambda s: (s[0], -s[1])) if t else []:
+                if at <= a < b <= len(t):
+                    out += (t[at:a], mark)
+                    at, n = b, n + 1
+            rows.append((None if t is None else "".join([*out, t[at:]]), n))
+        return pd.DataFrame(rows, columns=["text", "count"])
+
+    return run(text)
+
+
 def redact_native(text: Column, pattern: str) -> Column:
     """One pattern's matches replaced by built-in functions; right where no other pattern competes."""
     return F.regexp_replace(text, pattern, MARK)

@@ -122,6 +122,11 @@ def split_oversized(contexts: DataFrame, budget: int) -> DataFrame:
     return contexts.select(F.col("session_id").cast("string").alias("session_id"), "context").mapInPandas(run, "session_id string, context string")
 
 
+def too_short(sessions: DataFrame, least: int = MIN_STEPS) -> DataFrame:
+    """session_id, steps of the sessions that sampling_scores() leaves out."""
+    return sessions.where(F.coalesce("steps", F.lit(0)) < least).select("session_id", F.coalesce("steps", F.lit(0)).alias("steps"))
+
+
 def sampling_scores(sessions: DataFrame, now: str, least: int = MIN_STEPS) -> DataFrame:
     """session_id, size, score of sessions with enough steps: .4 recency, .3 steps against the largest, .3 one over the project's sessions."""
     rows = sessions.where(F.col("steps") >= least)
