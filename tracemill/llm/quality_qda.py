@@ -13,9 +13,8 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracemill.llm.common import checkpointed, free_prefix, slices
+from tracemill.llm.common import KEY, checkpointed, free_prefix, row_key, slices
 
 #: Statistics of a text, each made roughly symmetric by a logarithm or a square root.
 STATISTICS = ("words", "word_length", "distinct", "doubled", "windows", "symbols", "digits", "capitals", "letters", "lines", "line_words", "repeated_lines", "stops", "commas")
@@ -117,17 +116,24 @@ def discriminant(moments: dict[int, tuple[float, object, object]], shrinkage: fl
     return Discriminant(center.tolist(), scale.tolist(), means, factors, weights)
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and x (array of double), a row per row of docs."""
+def _measured(rows: DataFrame) -> DataFrame:
+    """rows with `text` replaced by x (array of double), the statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         for b in slices(batches, "text"):
             x = [statistics(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            names = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(x, pa.list_(pa.float64()))], names=[*names, "x"])
+
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join([*kept, "x array<double>"]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and x (array of double), a row per row of docs."""
+    return _measured(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
 
 def fit(stats: DataFrame, labels: DataFrame, shrinkage: float = 0.1, label_col: str = "quality") -> Discriminant:
@@ -198,7 +204,7 @@ def platt(bins: list[tuple[int, float, int]], ridge: float = 1.0) -> tuple[float
 
 
 def score(stats: DataFrame, model: Discriminant, least: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted (1 if score >= least) of each row of stats."""
+    """stats with x replaced by score and predicted (1 if score >= least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -207,9 +213,11 @@ def score(stats: DataFrame, model: Discriminant, least: float = 0.3) -> DataFram
         for b in batches:
             x = np.array(b.column("x").to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
             s = model.scores(x)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= least).astype("int32"))], names=["doc_id", "score", "predicted"])
+            names = [n for n in b.schema.names if n != "x"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(s), pa.array((s >= least).astype("int32"))], names=[*names, "score", "predicted"])
 
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields if f.name != "x"]
+    return stats.mapInArrow(run, ", ".join([*kept, "score double", "predicted int"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, shrinkage: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,28 +235,12 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, shrinkage:
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, shrinkage: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a score of at least `least`, all columns as they are. Cases are as in classify().
 
-    Rows are written once with their statistics beside them, so that texts are read once.
+    Texts are measured once; the statistics are written without them, and rows are kept by id and text.
     """
-    at, x = docs.columns.index(text_col), f"{free_prefix(docs)}x"
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        for b in batches:
-            for part in slices(iter([b]), b.schema.names[at]):
-                xs = pa.array([statistics(t) for t in part.column(at).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, xs], names=[*part.schema.names, x])
-
-    rows = checkpointed(docs.mapInArrow(measure, T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])))
-    model = fit(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(x).alias("x")), labels, shrinkage)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            s = model.scores(np.array(b.column(b.num_columns - 1).to_pylist(), dtype=float).reshape(-1, len(STATISTICS)))
-            good = b.filter(pa.array(s >= least))
-            yield pa.RecordBatch.from_arrays(good.columns[:-1], names=good.schema.names[:-1])
-
-    return rows.mapInArrow(keep, docs.schema)
+    p = free_prefix(docs)
+    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    stats = checkpointed(_measured(rows))
+    good = score(stats, fit(stats.select("doc_id", "x"), labels, shrinkage), least).where("predicted = 1").select(*[F.col(k).alias(f"{p}h{i}") for i, k in enumerate(KEY)])
+    keys = [c.alias(f"{p}r{i}") for i, c in enumerate(row_key(id_col, text_col))]
+    kept = docs.select("*", *keys).join(good, F.expr(" and ".join(f"{p}r{i} = {p}h{i}" for i in range(4))), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
