@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.durable import checkpointed, shared_folder
 
-__all__ = ["KEY", "SPACE_CLASS", "checkpointed", "crc_bucket", "free_prefix", "row_key", "shared_folder", "slices", "table", "words_of"]
+__all__ = ["CRC_TABLE_SQL", "KEY", "SPACE_CLASS", "checkpointed", "crc_bucket", "crc_sql", "free_prefix", "row_key", "shared_folder", "slices", "table", "words_of"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -68,3 +68,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             to = min(max(to, at + 1), at + max_rows, n)
             yield batch.slice(at, to - at)
             at = to
+
+
+#: crc32 of a list of bytes, b, in SQL: the table's entries by the polynomial, then a step for each byte.
+CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def crc_sql(text: str, table: str) -> str:
+    """SQL for the crc32 of a text, given the name of the column that holds CRC_TABLE_SQL."""
+    as_bytes = f"list_transform(range(CAST(octet_length(encode({text})) AS BIGINT)), lambda j: CAST('0x' || hex(encode({text}))[2 * j + 1:2 * j + 2] AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {as_bytes}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -16,7 +16,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import checkpointed
+from tracemill.llm.common import CRC_TABLE_SQL, checkpointed, crc_sql
 
 #: Nodes that make one of the next level, levels in a block, and nodes in a block.
 FAN, DEPTH = 3, 6
@@ -265,16 +265,6 @@ def without_newlines(id_col: str = "doc_id", text_col: str = "text") -> dict[str
     return {text_col: F.when(even, F.replace(F.col(text_col), F.lit("\n"), F.lit(""))).otherwise(F.col(text_col))}
 
 
-#: crc32 of a list of bytes, b, in SQL: the table's entries by the polynomial, then a step for each byte.
-CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
-
-
-def crc_sql(text: str, table: str) -> str:
-    """SQL for the crc32 of a text, given the name of the column that holds CRC_TABLE_SQL."""
-    as_bytes = f"list_transform(range(CAST(octet_length(encode({text})) AS BIGINT)), lambda j: CAST('0x' || hex(encode({text}))[2 * j + 1:2 * j + 2] AS BIGINT))"
-    return f"xor(list_reduce(list_concat([4294967295], {as_bytes}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
-
-
 def _encoded_sql(value: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR) END"
 

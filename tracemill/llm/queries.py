@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, license_rules, line_dedup, merkle, mixing, pii, pivot_search, quality_qda, quality_rules, simhash, toxicity
+from tracemill.llm import bpe, license_rules, line_dedup, merkle, mixing, pii, pivot_search, quality_qda, quality_rules, resampling, simhash, toxicity, url_filter
 from tracemill.llm.common import crc_bucket, table
 
 
@@ -67,11 +67,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn towards the benchmark's words."""
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof, and whether a copy of it, partly without newlines, still gives the root."""
     return merkle.checked(table(spark, sf_dir, "documents"), merkle.without_newlines())
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,8 +89,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxic_crf, op2_pivot_search, op3_byte_bpe, op4_quality_qda, op5_line_dedup, op6_pii, op7_license_rules, op8_source_mix, op9_quality_rules, op10_simhash, op12_merkle_manifest, pipeline)}
+    return {f.__name__: f for f in (op1_toxic_crf, op2_pivot_search, op3_byte_bpe, op4_quality_qda, op5_line_dedup, op6_pii, op7_license_rules, op8_source_mix, op9_quality_rules, op10_simhash, op11_resampling, op12_merkle_manifest, op13_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pivot_search": pivot_search.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op2_pivot_search": pivot_search.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op11_resampling": resampling.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
