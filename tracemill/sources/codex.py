@@ -10,7 +10,7 @@ from tracemill.functions import times
 from tracemill.functions.text import clip, exit_code
 from tracemill.model import Parsed
 from tracemill.sources.lines import get, json_lines, numbered, raw, tables, text_of, ts_of
-from tracemill.sources.sqlite import query
+from tracemill.sources.sqlite import table
 
 
 #: Where a thread's source names the thread that started it.
@@ -19,8 +19,8 @@ SPAWN = "subagent.thread_spawn.parent_thread_id"
 
 def threads(spark: SparkSession, path: str) -> DataFrame:
     """session_id, file, created_at, project, title, tokens, model, first_message, parent_id: the table of threads that stands beside the files; no file of a session is read."""
-    sql = "SELECT id, rollout_path, CAST(created_at AS TEXT), source, cwd, title, tokens_used, model, first_user_message FROM threads"
-    t = query(spark, path, "state_5.sqlite", sql, "session_id string, rollout string, created string, source string, project string, title string, tokens long, model string, first_message string")
+    t = table(spark, path, "state_5.sqlite", "threads", "id string, rollout_path string, created_at string, source string, cwd string, title string, tokens_used long, model string, first_user_message string")
+    t = t.select(F.col("id").alias("session_id"), F.col("rollout_path").alias("rollout"), F.col("created_at").alias("created"), "source", F.col("cwd").alias("project"), "title", F.col("tokens_used").alias("tokens"), "model", F.col("first_user_message").alias("first_message"))
     parent = get(F.try_parse_json("source"), f"$.{SPAWN}")
     return t.where("session_id is not null and session_id <> ''").select("session_id", F.col("rollout").alias("file"), times.parse_any(F.col("created")).alias("created_at"), "project", "title", "tokens", "model", clip(F.col("first_message")).alias("first_message"), parent.alias("parent_id"))
 

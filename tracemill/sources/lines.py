@@ -8,16 +8,26 @@ from pyspark.sql.window import Window as W
 
 from tracemill import model
 from tracemill.functions import times
+from tracemill.streaming import following
 
 
 def json_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(file, session, pos, v) of each readable line, (file, pos, value) of the others; blank lines are skipped.
 
     session is the file's name without its ending; pos orders the lines of a file, also one
-    that Spark reads in several splits.
+    that Spark reads in several splits. A folder that following.follow() keeps gives the lines
+    of the logs that it follows.
     """
+    if following.is_followed(spark, path):
+        now = following.current_lines(spark, path, glob)
+        raw = now.select(F.col("line").alias("value"), "file", F.xxhash64("file").alias("block"), F.col("at").alias("id"))  # a file's lines stay together
+        return _parsed(raw)
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return _parsed(raw)
+
+
+def _parsed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = raw.where("trim(value) <> ''").select("file", F.regexp_extract("file", "([^/]+?)\\.[^./]+$", 1).alias("session"), F.struct("block", "id").alias("pos"), "value", F.try_parse_json("value").alias("v"))
     return rows.where("v is not null").drop("value"), rows.where("v is null").select("file", "pos", "value")
 

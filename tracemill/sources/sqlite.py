@@ -1,8 +1,9 @@
-"""Queries over SQLite files, each file read by one task; and the agents that keep their sessions in such files."""
+"""SQLite files by table and by query; and the agents that keep their sessions in such files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sqlite3
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,68 +13,94 @@ from pyspark.sql.window import Window as W
 
 from tracemill.functions import times
 from tracemill.model import Parsed
+from tracemill.sources.sqlite_source import is_local, local_path, opened, scan
 from tracemill.sources.lines import get, items, json_documents, json_lines, numbered, raw, tables, text_of, ts_of, with_spawns
 
 
 def query(spark: SparkSession, path: str, glob: str, sql: str, schema: str) -> DataFrame:
     """file and the rows of an SQL query over each SQLite file.
 
-    The query runs inside SQLite, so its conditions are pushed down. Files come through
-    Spark's reader, so they may lie in any store; a file is held by one task. A file that
-    is no database, or lacks a table, gives no rows; unreadable() names it.
+    The query runs inside SQLite, so its conditions are pushed down. A file is read by one
+    task, from where it lies or, in a store that only Spark reads, from its bytes; table()
+    splits files. A file that is no database, or lacks a table, gives no rows; unreadable()
+    names it.
     """
     fields = T._parse_datatype_string(schema).fields
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sqlite3
-
-        for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                con = sqlite3.connect(":memory:")
-                try:
-                    con.deserialize(bytes(content))
-                    cursor = con.execute(sql)
-                    while rows := cursor.fetchmany(5000):
-                        out = pd.DataFrame(rows, columns=[f.name for f in fields], dtype=object)
-                        out.insert(0, "file", file)
-                        yield out
-                except sqlite3.DatabaseError:
-                    continue
-                finally:
-                    con.close()
+    def rows(con: sqlite3.Connection, file: str) -> Iterator[pd.DataFrame]:
+        cursor = con.execute(sql)
+        while found := cursor.fetchmany(5000):
+            out = pd.DataFrame(found, columns=[f.name for f in fields], dtype=object)
+            out.insert(0, "file", file)
+            yield out
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content").mapInPandas(run, "file string, " + schema)
+    return _over_files(spark, path, glob, rows, lambda file, error: iter(()), "file string, " + schema)
 
 
 def unreadable(spark: SparkSession, path: str, glob: str, sql: str) -> DataFrame:
     """file, pos, value of each file over which the query fails; value is SQLite's message. The columns are those of rejected lines."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sqlite3
+    def tried(con: sqlite3.Connection, file: str) -> Iterator[pd.DataFrame]:
+        con.execute(sql).fetchone()
+        return iter(())
+
+    failed = lambda file, error: iter([pd.DataFrame({"file": [file], "value": [str(error)]})])
+    found = _over_files(spark, path, glob, tried, failed, "file string, value string")
+    return found.select("file", F.lit(None).cast("struct<block:bigint,id:bigint>").alias("pos"), "value")
 
+
+def _over_files(spark: SparkSession, path: str, glob: str, rows: Callable, failed: Callable, schema: str) -> DataFrame:
+    """rows(connection, file) of each file, and failed(file, error) of those that are no database."""
+    local = is_local(spark, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                con = sqlite3.connect(":memory:")
+            for file, content in zip(b["path"], b["path"] if local else b["content"], strict=True):
+                con = None
                 try:
-                    con.deserialize(bytes(content))
-                    con.execute(sql).fetchone()
+                    if local:
+                        con = opened(local_path(file))
+                    else:
+                        con = sqlite3.connect(":memory:")
+                        con.deserialize(bytes(content))
+                    yield from rows(con, file)
                 except sqlite3.DatabaseError as e:
-                    yield pd.DataFrame({"file": [file], "value": [str(e)]})
+                    yield from failed(file, e)
                 finally:
-                    con.close()
+                    if con:
+                        con.close()
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content").mapInPandas(run, "file string, value string").select("file", F.lit(None).cast("struct<block:bigint,id:bigint>").alias("pos"), "value")
+    return files.select("path", *([] if local else ["content"])).mapInPandas(run, schema)
+
+
+def table(spark: SparkSession, path: str, glob: str, name: str, schema: str, only: tuple[str, list[str]] | None = None) -> DataFrame:
+    """file and columns of a table in all files, by ranges of row ids where Python can open them.
+
+    only names a column and the values that are wanted, which SQLite looks up.
+    """
+    if is_local(spark, path):
+        return scan(spark, path, glob, name, schema, [(only[0], "in", only[1])] if only else None)
+    columns = ", ".join(f'"{f.name}"' for f in T._parse_datatype_string(schema).fields)
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    where = f" WHERE \"{only[0]}\" IN ({', '.join(map(quoted, only[1]))})" if only else ""
+    return query(spark, path, glob, f'SELECT {columns} FROM "{name}"{where}', schema)
 
 
 def read_opencode(spark: SparkSession, path: str, glob: str = "opencode.db", agent: str = "opencode", session_id: str | None = None) -> Parsed:
     """Tables session, message and part; many sessions in a file. session_id reads one session and its children only."""
-    only = "" if session_id is None else "'" + session_id.replace("'", "''") + "'"
-    of = lambda c: "" if not only else f" WHERE {c} IN (SELECT id FROM session WHERE id = {only} OR parent_id = {only})"
-    s = query(spark, path, glob, f"SELECT id, parent_id, directory, title, time_created, time_updated FROM session{of('id')}", "session_id string, parent_id string, project string, title string, created long, updated long")
-    m = query(spark, path, glob, f"SELECT id, session_id, time_created, data FROM message{of('session_id')}", "id string, session_id string, created long, data string").withColumn("v", F.try_parse_json("data"))
-    p = query(spark, path, glob, f"SELECT id, message_id, session_id, time_created, data FROM part{of('session_id')}", "id string, message_id string, session_id string, created long, data string").withColumn("v", F.try_parse_json("data"))
+    of = lambda name, schema, only=None: table(spark, path, glob, name, schema, only)
+    columns, own = "id string, parent_id string, directory string, title string, time_created long, time_updated long", None
+    s = of("session", columns)
+    if session_id is not None:
+        # A session and those it started: their ids go into the scans of the other tables.
+        children = of("session", columns, ("parent_id", [session_id]))
+        s = of("session", columns, ("id", [session_id])).unionByName(children.where(F.col("id") != session_id))
+        own = ("session_id", [session_id, *sorted(r.id for r in children.where(F.col("id") != session_id).select("id").collect())])
+    m = of("message", "id string, session_id string, time_created long, data string", own)
+    p = of("part", "id string, message_id string, session_id string, time_created long, data string", own)
+    s = s.select("file", F.col("id").alias("session_id"), "parent_id", F.col("directory").alias("project"), "title", F.col("time_created").alias("created"), F.col("time_updated").alias("updated"))
+    m, p = (df.withColumnRenamed("time_created", "created").withColumn("v", F.try_parse_json("data")) for df in (m, p))
     order = F.array_sort(F.collect_list(F.when(get("v", "$.type") == "text", F.struct("created", "id", get("v", "$.text").alias("t")))))
     said = p.groupBy("session_id", F.col("message_id").alias("id")).agg(F.array_join(F.transform(order, lambda x: x.getField("t")), "\n\n").alias("message"), F.bool_or(F.coalesce(get("v", "$.type") == "compaction", F.lit(False))).alias("is_compaction"))
     k = "$.tokens"
@@ -95,13 +122,13 @@ def read_opencode(spark: SparkSession, path: str, glob: str = "opencode.db", age
 
 def session_index(spark: SparkSession, path: str, glob: str = "opencode.db") -> DataFrame:
     """session_id, parent_id, project, title, created_at, updated_at from the table of sessions alone; no message is read."""
-    s = query(spark, path, glob, "SELECT id, parent_id, directory, title, time_created, time_updated FROM session", "session_id string, parent_id string, project string, title string, created long, updated long")
-    return s.select("session_id", "parent_id", "project", "title", times.from_epoch(F.col("created")).alias("created_at"), times.from_epoch(F.col("updated")).alias("updated_at"))
+    s = table(spark, path, glob, "session", "id string, parent_id string, directory string, title string, time_created long, time_updated long")
+    return s.select(F.col("id").alias("session_id"), "parent_id", F.col("directory").alias("project"), "title", times.from_epoch(F.col("time_created")).alias("created_at"), times.from_epoch(F.col("time_updated")).alias("updated_at"))
 
 
 def todos(spark: SparkSession, path: str, glob: str = "opencode.db") -> DataFrame:
     """session_id, position, content, status, priority of the sessions' to-do lists."""
-    return query(spark, path, glob, "SELECT session_id, position, content, status, priority FROM todo", "session_id string, position int, content string, status string, priority string").drop("file")
+    return table(spark, path, glob, "todo", "session_id string, position int, content string, status string, priority string").drop("file")
 
 
 def read_kilo(spark: SparkSession, path: str) -> Parsed:
@@ -122,7 +149,7 @@ def read_cursor(spark: SparkSession, path: str) -> Parsed:
     Sub-agents have no store but a file of lines in the folder `subagents` of their session's
     transcripts; tool results are not in it, and only its first step has a time.
     """
-    b = query(spark, path, "store.db", "SELECT rowid, data FROM blobs ORDER BY rowid", "pos long, data binary")
+    b = table(spark, path, "store.db", "blobs", "rowid long, data binary").withColumnRenamed("rowid", "pos")
     rows = b.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("session_id"), "file", "pos", F.try_parse_json(F.when(F.is_valid_utf8(F.col("data").cast("string")), F.col("data").cast("string"))).alias("v"))
     rows = rows.where("v is not null").withColumn("role", get("v", "$.role")).where("role is not null")
     steps = numbered(rows.where("role <> 'tool'"), ["pos"])
@@ -157,9 +184,10 @@ def read_hermes(spark: SparkSession, path: str) -> Parsed:
     docs = json_documents(spark, path, "session_*.json").select(F.coalesce(get("v", "$.session_id"), F.regexp_replace("session", "^session_", "")).alias("session_id"), "file", F.posexplode(items("v", "$.messages")).alias("i", "v"))
     b = docs.join(a.select("session_id").distinct(), "session_id", "left_anti").select("session_id", "file", F.struct(F.lit(0).cast("long").alias("block"), F.col("i").cast("long").alias("id")).alias("pos"), "v")
     rows = a.unionByName(b).withColumn("role", get("v", "$.role"))
-    state = query(spark, path, "state.db", "SELECT id, started_at, ended_at, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens FROM sessions", "session_id string, started double, ended double, i long, o long, r long, w long").drop("file")
+    kept = table(spark, path, "state.db", "sessions", "id string, started_at double, ended_at double, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long")
+    state = kept.select(F.col("id").alias("session_id"), F.col("started_at").alias("started"), F.col("ended_at").alias("ended"), F.col("input_tokens").alias("i"), F.col("output_tokens").alias("o"), F.col("cache_read_tokens").alias("r"), F.col("cache_write_tokens").alias("w"))
     # Older tables lack the column, which is why it is asked for by itself.
-    parents = query(spark, path, "state.db", "SELECT id, parent_session_id FROM sessions WHERE parent_session_id IS NOT NULL", "session_id string, parent_id string").groupBy("session_id").agg(F.min("parent_id").alias("parent_id"))
+    parents = table(spark, path, "state.db", "sessions", "id string, parent_session_id string").where("parent_session_id is not null").groupBy(F.col("id").alias("session_id")).agg(F.min("parent_session_id").alias("parent_id"))
     steps = numbered(rows.where("role in ('user', 'assistant', 'system')").select("session_id", "pos", "v", F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("source"), ts_of("v", "$.timestamp").alias("ts"), text_of("v", "$.content").alias("message")), ["pos"])
     last = steps.where("source = 'agent'").groupBy("session_id").agg(F.max("step_idx").alias("step_idx")).join(state, "session_id").select("session_id", "step_idx", (F.col("i") + F.coalesce("r", F.lit(0))).alias("prompt_tokens"), F.col("o").alias("completion_tokens"), F.col("r").alias("cache_read_tokens"), F.col("w").alias("cache_write_tokens"))
     c = steps.select("session_id", "step_idx", F.posexplode(items("v", "$.tool_calls")).alias("call_pos", "c"))

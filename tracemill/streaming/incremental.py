@@ -39,7 +39,7 @@ def merge_partials(old: DataFrame, fresh: DataFrame, diff: DataFrame) -> DataFra
 
 
 def step_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
-    """New Parquet files of steps as a stream. A file that grows is not seen again; for those see changes()."""
+    """New Parquet files of steps as a stream. A file that grows is not seen again; for those see following.stream()."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
