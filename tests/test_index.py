@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill import model
+from tracemill import manifests, model
 from tracemill.functions import text
-from tracemill.operators import context, dashboard, edges, phases, report, search, sessions, sets
+from tracemill.operators import context, dashboard, edges, phases, report, search, search_index, sessions, sets
 
 FIELDS = ["user_prompts", "agent_messages", "tool_calls"]
 
@@ -32,8 +32,66 @@ def test_stored_index_is_the_built_one(spark, docs, tmp_path):
     for q in ("query word1", "testing", "word3 wor"):
         of = lambda index: {r.doc: round(r.composite, 9) for r in search.blended(index, q, search.SESSION_WEIGHTS).collect()}  # noqa: E731,B023
         assert of(built) == of(kept)
-    plan = search.field_scores(kept, "word1", ["user_prompts"])._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in plan and "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def read_files(df):
+    return {f.rsplit("/", 1)[1] for f in df.inputFiles()}
+
+
+def test_a_query_reads_the_files_of_its_tokens(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "FILE_ROWS", 9)
+    kept = search.stored(docs, "session_id", FIELDS, str(tmp_path / "a"))
+    every, words = read_files(kept.postings), read_files(kept.vocabulary)
+    assert len(every) > 20 and len(words) > 8
+    # A common token fills many files; one that is not there none.
+    some, few = kept.of(["word1"]), kept.of(["word1", "nothing"])
+    assert 1 < len(read_files(some[0])) < len(every) and len(read_files(some[1])) <= 2 and read_files(few[0]) == read_files(some[0])
+    # A beginning of words reads its range of the dictionary.
+    asked = kept._files("dictionary", [("quer", "quer\U0010ffff")])
+    assert len([f for fs in asked.values() for f in fs]) <= 2 and kept.completions("quer", 10) == ["query"]
+    assert kept.completions("word3", 3) == ["word3", "word30", "word31"] and kept.completions("x", 5) == []
+    monkeypatch.setattr(search_index, "HELD_KEYS", 3)
+    again = search.Index.read(spark, str(tmp_path / "a"))
+    assert again.keys is None and read_files(again.of(["word1"])[0]) == read_files(some[0])
+    composite = lambda index: {r.doc: round(r.composite, 9) for r in search.blended(index, "word3 wor", search.SESSION_WEIGHTS).collect()}
+    assert composite(again) == composite(search.build(docs, "session_id", FIELDS))
+
+
+def folder_size(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
+
+
+def test_segments_add_subtract_and_merge(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(300)]
+    text_ = lambda: " ".join(r.choice(vocabulary) for _ in range(60))
+    now = {f"s{k}": (text_(), text_(), "") for k in range(400)}
+    frame = lambda: spark.createDataFrame([(k, *v) for k, v in now.items()], "session_id string, user_prompts string, agent_messages string, tool_calls string")
+    stamp = lambda df: df.select("session_id", F.xxhash64(*FIELDS).alias("stamp"))
+    index, path = search.stored(frame(), "session_id", FIELDS, str(tmp_path / "i")), tmp_path / "i"
+    first = folder_size(path)
+    monkeypatch.setattr(search_index, "MOST_SEGMENTS", 4)
+    for turn in range(4):
+        before = stamp(frame())
+        before = spark.createDataFrame(before.collect(), before.schema)
+        now.pop(f"s{turn}")
+        now[f"s{turn + 10}"] = ("", "only here now" if turn < 3 else "", "tool" if turn == 1 else "")
+        now[f"new{turn}"] = (text_(), "", "")
+        size = folder_size(path)
+        index = search.refresh(index, frame(), sets.change_kind(stamp(frame()), before, "session_id", "stamp"), "session_id", FIELDS)
+        assert len(index.segments) == [2, 3, 4, 1][turn]
+        if turn < 3:
+            assert folder_size(path) - size < 0.35 * first  # 3 of 400 documents; small files have a fixed part
+        assert tables(index) == tables(search.build(frame(), "session_id", FIELDS))
+    for q in ("word1 word2", "only here", "tool"):
+        of = lambda i: {x.doc: round(x.composite, 9) for x in search.blended(i, q, search.SESSION_WEIGHTS).collect()}  # noqa: E731,B023
+        assert of(index) == of(search.build(frame(), "session_id", FIELDS))
+    assert search_index.vacuum(spark, str(path)) == 5 and tables(search.Index.read(spark, str(path))) == tables(index)
+    stale = search.Index.read(spark, str(path))
+    diff = spark.createDataFrame([("s50", "removed")], "session_id string, kind string")
+    search.refresh(stale, frame(), diff, "session_id", FIELDS)
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        search.refresh(stale, frame(), diff, "session_id", FIELDS)
 
 
 def test_refresh_equals_a_rebuild(spark, docs, tmp_path):
@@ -50,19 +108,27 @@ def test_refresh_equals_a_rebuild(spark, docs, tmp_path):
 
 def test_other_versions_are_refused(spark, docs, tmp_path):
     search.stored(docs.limit(3), "session_id", FIELDS, str(tmp_path / "a"))
-    spark.read.parquet(str(tmp_path / "a/fields")).withColumn("version", F.lit(1)).write.parquet(str(tmp_path / "f"))
-    spark.read.parquet(str(tmp_path / "f")).write.mode("overwrite").parquet(str(tmp_path / "a/fields"))
+    manifests.commit(spark, str(tmp_path / "a"), lambda content: content | {"version": 2})
     with pytest.raises(ValueError, match="version"):
         search.Index.read(spark, str(tmp_path / "a"))
 
 
+def test_fields_hold_sub_agents_and_long_arguments(spark):
+    sessions_ = spark.createDataFrame([("m", None, 2), ("b", "m", 5), ("a", "m", 9), ("aa", "a", 1), ("lost", "gone", 1), ("x", "y", 1), ("y", "x", 1)], "session_id string, parent_id string, created_at long")
+    steps = spark.createDataFrame([(s, k, "user", f"{s.upper()}{k}") for s in ("m", "a", "b", "aa", "lost", "x") for k in (0, 1)], "session_id string, step_idx int, source string, message string")
+    calls = spark.createDataFrame([("aa", 1, 0, "c", "Bash", json.dumps({"command": "z" * 600})), ("m", 0, 0, "c", "Read", "{}")], "session_id string, step_idx int, call_pos int, call_id string, tool_name string, arguments string")
+    results = spark.createDataFrame([("aa", "c", "done", False)], "session_id string, call_id string, content string, is_error boolean")
+    got = {r.session_id: (r.user_prompts, r.tool_calls) for r in search.session_fields(model.Parsed(sessions_, steps, calls, results)).collect()}
+    assert got == {"m": ("m0 m1 aa0 aa1 b0 b1 a0 a1", "read bash " + "z" * 500 + " done"), "lost": ("lost0 lost1", ""), "x": ("x0 x1", ""), "y": ("", "")}
+
+
 def test_fields_of_sessions(spark):
     steps = spark.createDataFrame([("s", 0, "user", "Fix IT"), ("s", 1, "agent", "Looking"), ("s", 2, "agent", None), ("s", 3, "user", "more"), ("t", 0, "user", "x")], "session_id string, step_idx int, source string, message string")
     calls = spark.createDataFrame([("s", 1, 0, "a", "Read", json.dumps({"file_path": "A.py", "line": 3})), ("s", 1, 1, "b", "Bash", json.dumps({"command": "x" * 300})), ("s", 2, 0, "c", "Note", "free text")], "session_id string, step_idx int, call_pos int, call_id string, tool_name string, arguments string")
     results = spark.createDataFrame([("s", "a", "Found " + "y" * 300, False), ("s", "c", "", False)], "session_id string, call_id string, content string, is_error boolean")
     got = {r.session_id: r for r in search.session_fields(model.Parsed(steps.select("session_id").distinct(), steps, calls, results)).collect()}
     assert (got["s"].user_prompts, got["s"].agent_messages) == ("fix it more", "looking") and got["t"].tool_calls == ""
-    assert got["s"].tool_calls == f"read a.py bash {'x' * 200} found {'y' * 194} note free text"
+    assert got["s"].tool_calls == f"read a.py bash {'x' * 300} found {'y' * 194} note free text"
 
 
 def test_plain_matches_without_an_index(spark):

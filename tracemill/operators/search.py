@@ -1,21 +1,20 @@
 """Ranked text search as joins over postings: BM25 by field, blended, filtered and boosted.
 
-The index is four tables (postings, lengths, token statistics, field statistics) that are
-written as Parquet by bucket of the token, read again and refreshed by a difference. A query
-reads the buckets of its own tokens only; what it holds on the driver is the query, never documents.
+The index (search_index.py) is written as Parquet by ranges of tokens, read again and
+refreshed by a difference. A query reads the files that hold its own tokens; what it holds
+on the driver is the query and the files' first and last tokens, never documents.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.model import Parsed
-from tracemill.parallel import spread
+from tracemill.model import Parsed, family
+from tracemill.operators import search_index
+from tracemill.operators.search_index import Index
 
 # Words that are not indexed.
 STOPWORDS = (
@@ -60,16 +59,6 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FLOOR, DECAY_DAYS, LEAST_DECAY, CATALOG_DECAY_DAYS = 0.10, 60.0, 0.3, 180.0
 
 
-def stem(token: Column) -> Column:
-    """`ies` to `y`, or else the first of `ing`, `ed`, `s` goes, if three letters stay."""
-    n = F.length(token)
-    cut = lambda k: F.left(token, n - k)
-    out = F.when(token.endswith("ies") & (n >= 6), F.concat(cut(3), F.lit("y")))
-    for s in ("ing", "ed", "s"):
-        out = out.when(token.endswith(s) & (n >= len(s) + 3), cut(len(s)))
-    return out.otherwise(token)
-
-
 def words(text: Column) -> Column:
     """Lower-case letters and digits, two at least, no stop words; repeats are kept. stem() makes tokens of them."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{2,})"), F.lit(1))
@@ -90,143 +79,57 @@ def query_tokens(text: str) -> list[str]:
     return out
 
 
-#: Version of the stored form; an index of another version is built anew.
-VERSION, BUCKETS = 2, 64
-
-
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")
-
-
-@dataclass
-class Index:
-    """postings(field, token, doc, tf, dl), lengths(field, doc, dl), vocabulary(field, token, n, idf), fields(field, docs, avgdl, mean_idf).
-
-    A stored index has its postings and vocabulary in folders by bucket of the token, so that a
-    query reads the buckets of its own tokens; dl, the document's length, stands beside each
-    posting, so that no query reads the lengths.
-    """
-
-    postings: DataFrame
-    lengths: DataFrame
-    vocabulary: DataFrame
-    fields: DataFrame
-
-    def write(self, path: str) -> Index:
-        spark = self.postings.sparkSession
-        for name in ("postings", "vocabulary"):
-            rows = getattr(self, name)
-            if "bucket" not in rows.columns:
-                rows = rows.withColumn("bucket", _bucket(F.col("token")))
-            rows.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.fields.withColumn("version", F.lit(VERSION)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
-        return Index.read(spark, path)
-
-    def of(self, tokens: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Postings and vocabulary of some tokens."""
-        keep = F.col("token").isin(*tokens) if tokens else F.lit(False)
-        if "bucket" in self.postings.columns:
-            keep = keep & F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % BUCKETS for t in tokens}))
-        return self.postings.where(keep), self.vocabulary.where(keep)
-
-    def persist(self) -> Index:
-        """Holds what queries read, for an index that is not stored; release() lets it go."""
-        self.postings, self.vocabulary, self.fields = self.postings.persist(), self.vocabulary.persist(), self.fields.persist()
-        return self
-
-    def release(self) -> None:
-        for df in (self.postings, self.vocabulary, self.fields):
-            df.unpersist()
-
-    def with_doc(self, kind: str) -> Index:
-        """The same index with ids of another type."""
-        cast = lambda df: df.withColumn("doc", F.col("doc").cast(kind))
-        return Index(cast(self.postings), cast(self.lengths), self.vocabulary, self.fields)
-
-    @staticmethod
-    def read(spark: SparkSession, path: str) -> Index:
-        """A stored index; one of another version is refused."""
-        parts = [spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "vocabulary", "fields")]
-        versions = {r.version for r in parts[3].select("version").distinct().collect()} if "version" in parts[3].columns else {1}
-        if versions - {VERSION}:
-            raise ValueError(f"index of version {sorted(versions)}, not {VERSION}; build it anew")
-        return Index(*parts[:3], parts[3].drop("version"))
-
-
-def _cut(docs: DataFrame, doc: str, fields: list[str]) -> DataFrame:
-    """field, doc, t: the words of each field of each document; an empty one counts as a token of its own."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.col(f)).alias("t")) for f in fields])).alias("e")
-    return spread(docs.select(doc, *fields)).select(F.col(doc).alias("doc"), each).select("e.field", "doc", F.when(F.size("e.t") == 0, F.array(F.lit(""))).otherwise(F.col("e.t")).alias("t"))
-
-
-def _postings(rows: DataFrame) -> DataFrame:
-    """Words are stemmed after they are exploded, in generated code."""
-    return rows.select("field", "doc", F.size("t").alias("dl"), F.explode("t").alias("word")).groupBy("field", stem(F.col("word")).alias("token"), "doc", "dl").agg(F.count("*").alias("tf")).select("field", "token", "doc", "tf", "dl")
-
-
-def _statistics(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary and fields. A field that is empty in all documents is left out."""
-    some = postings.where("token <> ''").select("field").distinct()
-    per_field = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).join(F.broadcast(some), "field", "left_semi")  # a row for each field
-    df = postings.groupBy("field", "token").agg(F.count("*").alias("n")).join(F.broadcast(per_field), "field")
-    idf = F.ln(F.col("docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5)
-    vocabulary = df.select("field", "token", "n", idf.alias("idf"))
-    return vocabulary, per_field.join(vocabulary.groupBy("field").agg(F.avg("idf").alias("mean_idf")), "field")
-
-
 def build(docs: DataFrame, doc: str, fields: list[str]) -> Index:
     """Index of the text columns `fields` of docs. For more than one query write() it, or what a query reads is worked out from the texts again."""
-    rows = _cut(docs, doc, fields)
-    postings, lengths = _postings(rows), rows.select("field", "doc", F.size("t").alias("dl"))
-    return Index(postings, lengths, *_statistics(postings, lengths))
+    return search_index.build(docs, doc, fields, words)
 
 
 def stored(docs: DataFrame, doc: str, fields: list[str], path: str) -> Index:
     """build() written to a folder: the texts are cut once, and statistics are counted from the postings written."""
-    rows = _cut(docs, doc, fields)
-    spark, with_bucket = docs.sparkSession, _postings(rows).withColumn("bucket", _bucket(F.col("token")))
-    with_bucket.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    # Every document has a posting in every field, so the lengths are in them.
-    lengths = postings.select("field", "doc", "dl").distinct()
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    vocabulary, fields_ = _statistics(postings, spark.read.parquet(f"{path}/lengths"))
-    vocabulary.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
-    fields_.withColumn("version", F.lit(VERSION)).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
-    return Index.read(spark, path)
-
-
-def refresh(index: Index, docs: DataFrame, diff: DataFrame, doc: str, fields: list[str], path: str) -> Index:
-    """The index without removed and changed documents and with new and changed ones, written to another folder.
+    return search_index.stored(docs, doc, fields, path, words)
+
+
+def refresh(index: Index, docs: DataFrame, diff: DataFrame, doc: str, fields: list[str], path: str | None = None) -> Index:
+    """The index without removed and changed documents and with new and changed ones: as a further segment in its own folder, or whole in another one.
 
     diff has the document's id and kind, as sets.change_kind() gives them. Only the texts of
-    new and changed documents are cut; statistics are counted anew from the postings.
+    new and changed documents are cut, and what a segment adds is in proportion to them.
     """
-    gone = diff.where("kind in ('changed', 'removed')").select(F.col(doc).alias("doc"))
-    come = docs.join(diff.where("kind in ('changed', 'new')").select(doc), doc, "left_semi")
-    rows = _cut(come, doc, fields)
-    old = [df.drop("bucket").join(gone, "doc", "left_anti") for df in (index.postings, index.lengths)]
-    postings = old[0].select("field", "token", "doc", "tf", "dl").unionByName(_postings(rows))
-    lengths = old[1].select("field", "doc", "dl").unionByName(rows.select("field", "doc", F.size("t").alias("dl")))
-    return Index(postings, lengths, *_statistics(postings, lengths)).write(path)
+    return search_index.refresh(index, docs, diff, doc, fields, words, path)
 
 
-def session_fields(p: Parsed, argument: int = 200, result: int = 200) -> DataFrame:
+def session_fields(p: Parsed, argument: int = 500, result: int = 200) -> DataFrame:
     """session_id, user_prompts, agent_messages, tool_calls of each session, lower-cased: what users and agents said, and of each call its tool, its arguments' texts and its result, both cut.
 
-    Steps stand in their order, and a step's calls before its results.
+    A session's steps are followed by those of the sub-agents below it, at any depth, which
+    have no rows of their own: by start (those without one first), then id. Steps stand in
+    their order, and a step's calls before its results. A sub-agent whose main session is
+    not there is a session itself.
     """
-    lined = lambda source: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("source") == source) & (F.coalesce("message", F.lit("")) != ""), F.struct("step_idx", F.lower("message").alias("m"))))), lambda x: x.getField("m")), " ")
-    said = p.steps.groupBy("session_id").agg(lined("user").alias("user_prompts"), lined("agent").alias("agent_messages"))
+    if "parent_id" in p.sessions.columns:
+        start = F.col("created_at") if "created_at" in p.sessions.columns else F.lit(None).cast("timestamp")
+        known = p.sessions.select("session_id", "parent_id", start.alias("start"))
+        there = known.select(F.col("session_id").alias("parent_id"), F.lit(True).alias("there")).distinct()
+        tree = family(known.join(there, "parent_id", "left").select("session_id", F.when(F.col("there"), F.col("parent_id")).alias("parent_id")))
+        place = tree.join(known.select("session_id", "start"), "session_id").select("session_id", "root", F.struct((F.col("depth") > 0).alias("below"), F.col("start"), F.col("session_id").alias("s")).alias("place"))
+        # Sessions that are their own ancestors are in no tree.
+        alone = p.sessions.select("session_id").join(tree.select("session_id"), "session_id", "left_anti")
+        place = place.unionByName(alone.select("session_id", F.col("session_id").alias("root"), F.struct(F.lit(False).alias("below"), F.lit(None).cast(dict(known.dtypes)["start"]).alias("start"), F.col("session_id").alias("s")).alias("place")))
+        of = lambda rows: rows.join(place, "session_id").drop("session_id").withColumnRenamed("root", "session_id")
+        sessions = place.select(F.col("root").alias("session_id")).distinct()
+    else:
+        of = lambda rows: rows.withColumn("place", F.lit(0))
+        sessions = p.sessions.select("session_id")
+    lined = lambda source: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("source") == source) & (F.coalesce("message", F.lit("")) != ""), F.struct("place", "step_idx", F.lower("message").alias("m"))))), lambda x: x.getField("m")), " ")
+    said = of(p.steps.select("session_id", "step_idx", "source", "message")).groupBy("session_id").agg(lined("user").alias("user_prompts"), lined("agent").alias("agent_messages"))
     values = F.map_values(F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>"))
     texts = F.array_join(F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string")), " ")
     c = p.calls.select("session_id", "step_idx", "call_pos", "call_id", F.concat_ws(" ", "tool_name", F.nullif(F.left(F.coalesce(texts, "arguments"), F.lit(argument)), F.lit(""))).alias("t"))
     r = p.results.where("content <> ''").join(c.select("session_id", "call_id", "step_idx", "call_pos"), ["session_id", "call_id"]).select("session_id", "step_idx", "call_pos", F.left("content", F.lit(result)).alias("t"))
-    both = c.select("session_id", "step_idx", F.lit(0).alias("k"), "call_pos", "t").unionByName(r.select("session_id", "step_idx", F.lit(1).alias("k"), "call_pos", "t"))
-    used = both.groupBy("session_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_idx", "k", "call_pos", "t"))), lambda x: x.getField("t")), " ")).alias("tool_calls"))
+    both = of(c.select("session_id", "step_idx", F.lit(0).alias("k"), "call_pos", "t").unionByName(r.select("session_id", "step_idx", F.lit(1).alias("k"), "call_pos", "t")))
+    used = both.groupBy("session_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "step_idx", "k", "call_pos", "t"))), lambda x: x.getField("t")), " ")).alias("tool_calls"))
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return p.sessions.select("session_id").join(said, "session_id", "left").join(used, "session_id", "left").select("session_id", *[empty(x) for x in ("user_prompts", "agent_messages", "tool_calls")])
+    return sessions.join(said, "session_id", "left").join(used, "session_id", "left").select("session_id", *[empty(x) for x in ("user_prompts", "agent_messages", "tool_calls")])
 
 
 #: Kinds of items that the catalogue does not show.
@@ -266,7 +169,7 @@ def token_scores(index: Index, wanted: list[str], fields: list[str] | None = Non
     # A query has few tokens, so its part of the vocabulary and the fields go to all tasks.
     idf = vocabulary.join(F.broadcast(index.fields), "field")
     idf = idf.select("field", "token", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    hit = postings.drop("bucket").join(F.broadcast(idf), ["field", "token"])
+    hit = postings.join(F.broadcast(idf), ["field", "token"])
     score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.select("field", "token", "doc", score.alias("score"))
 
@@ -292,7 +195,7 @@ def required_and_optional(index: Index, query: str, expansions: int = 10) -> tup
     last = wanted[-1]
     if len(last) < 3 or len(last) > 12 or index.of([last])[1].limit(1).count():
         return wanted, []
-    more = [r.token for r in index.vocabulary.where(F.col("token").startswith(last)).select("token").distinct().orderBy("token").limit(expansions).collect()]
+    more = index.completions(last, expansions)
     return (wanted[:-1], more) if more else (wanted, [])
 
 

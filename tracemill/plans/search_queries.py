@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tracemill import manifests
 from tracemill.durable import shared_folder
 from tracemill.operators import search
 from tracemill.plans.adapters import table
+from tracemill.streaming import incremental
 
 QUERIES, SQL = {}, {}
 QUERY, TWO, NOW = "onen erhe", "onen erhe onst", "2024-06-01 00:00:00"
@@ -42,24 +44,28 @@ def _docs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("user_prompts"), F.concat_ws(" ", "lang", "source").alias("agent_messages"), F.col("source").alias("tool_calls"))
 
 
-#: Indexes that this process has stored, by application, place of the tables and what is indexed.
-_STORED: dict[tuple[str, str, str], str] = {}
+#: Indexes that this process has stored: place and stamp of the tables' files, by application, place and what is indexed.
+_STORED: dict[tuple[str, str, str], tuple[int, str]] = {}
 
 
-def _kept(spark, d, name, docs, doc, fields):
-    """An index, stored by the first query that asks for it and read by the others."""
+def _kept(spark, d, name, source, docs, doc, fields):
+    """An index, stored by the first query that asks for it and read by the others; stored anew where the table's files are others."""
     key = (spark.sparkContext.applicationId, d, name)
-    if key in _STORED:
-        return search.Index.read(spark, _STORED[key])
+    listing = incremental.file_listing(spark, f"{d}/{source}.parquet", "*")
+    stamp = listing.agg(F.bit_xor(F.xxhash64("file", "stamp"))).first()[0]
+    if key in _STORED and _STORED[key][0] == stamp:
+        return search.Index.read(spark, _STORED[key][1])
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     index = search.stored(docs, doc, fields, path)
-    _STORED[key] = path
+    if key in _STORED:
+        manifests.delete(spark, _STORED[key][1])
+    _STORED[key] = (stamp, path)
     return index
 
 
 def search_index(spark, d):
     """The index of the documents."""
-    return _kept(spark, d, "search", _docs(spark, d), "doc", ["user_prompts", "agent_messages", "tool_calls"])
+    return _kept(spark, d, "search", "documents", _docs(spark, d), "doc", ["user_prompts", "agent_messages", "tool_calls"])
 
 
 def _items(spark, d):
@@ -70,12 +76,12 @@ def _items(spark, d):
 
 def catalog_index(spark, d):
     """The index of the catalogue."""
-    return _kept(spark, d, "catalog", _items(spark, d), "item_id", list(search.CATALOG_WEIGHTS))
+    return _kept(spark, d, "catalog", "part", _items(spark, d), "item_id", list(search.CATALOG_WEIGHTS))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT field, token, n, round(idf, 6) AS idf FROM vo")
 def tokenize_stats(spark, d):
-    return search_index(spark, d).vocabulary.drop("bucket").withColumn("idf", F.round("idf", 6))
+    return search_index(spark, d).vocabulary.withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc, round(sum(score), 4) AS score FROM sc WHERE field = 'user_prompts' AND token IN ('onen', 'erhe', 'onst') GROUP BY 1")
@@ -92,6 +98,24 @@ def bm25_blend(spark, d):
     return search.blended(search_index(spark, d), QUERY, search.SESSION_WEIGHTS).select("doc", F.round("composite", 4).alias("composite"))
 
 
+#: A query whose last word is not finished; the first ten words that begin so are tried.
+UNFINISHED = "onen ero"
+COMPLETED_SQL = TOKENS_SQL + """, ex AS (SELECT DISTINCT token FROM vo WHERE starts_with(token, 'ero') ORDER BY token LIMIT 10),
+bl AS (SELECT doc, sum(score * CASE field WHEN 'user_prompts' THEN 4 WHEN 'agent_messages' THEN 2 ELSE 1 END) AS raw FROM sc WHERE token = 'onen' OR token IN (SELECT token FROM ex) GROUP BY 1
+  HAVING bool_or(token = 'onen') AND bool_or(token IN (SELECT token FROM ex)))"""
+
+
+@query(f"WITH {COMPLETED_SQL} SELECT doc, round(raw / max(raw) OVER (), 4) AS composite FROM bl")
+def search_unfinished_word(spark, d):
+    return search.blended(search_index(spark, d), UNFINISHED, search.SESSION_WEIGHTS).select("doc", F.round("composite", 4).alias("composite"))
+
+
+@query(f"WITH {COMPLETED_SQL} SELECT token FROM ex")
+def completions(spark, d):
+    found = search_index(spark, d).completions("ero", 10)
+    return spark.createDataFrame([(t,) for t in found], "token string")
+
+
 PHRASE = "er th"
 BONUS_SQL = f"bo AS (SELECT doc_id AS doc, CASE WHEN contains(lower(text), '{PHRASE}') THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(lang || ' ' || source), '{PHRASE}') THEN 0.7 ELSE 0 END + CASE WHEN contains(lower(source), '{PHRASE}') THEN 0.3 ELSE 0 END AS bonus FROM documents)"
 
