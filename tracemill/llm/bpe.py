@@ -97,15 +97,33 @@ _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?/+=_\-"
 CUT = re.compile(rf"(?<=[{_LETTER}])(?=[0-9{_MARK}\n])|(?<=[0-9])(?=[{_LETTER}{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}0-9\n])|(?<=\n)(?=\S)")
 #: The commonest chunk with one cut.
 TAIL = re.compile(f"( ?[{_LETTER}]+)([.,;:!?])")
+#: The pattern for which these cuts hold.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer chunks are not kept.
 LONGEST = 64
 #: Chunks of a text between two looks at how many are kept.
 STRETCH = 50_000
 
 
+def blank_run(token: bytes) -> bool:
+    """Whether a token joins a line feed to white space before it, or to the end of a character that may be some."""
+    before = token[:-1].lstrip(bytes(range(0x80, 0xC0)))
+    return len(token) > 1 and token.endswith(b"\n") and (not before or before.decode(errors="replace").isspace())
+
+
+def may_cut(ranks: dict[bytes, int], pattern: str) -> bool:
+    """Whether texts may be encoded by chunks: the pattern is the one that the cuts were made for, and no token joins white space with a line feed.
+
+    Behind the last line feed of some white space stands a cut, where the pattern parts that line feed from what is before it.
+    """
+    return pattern == CUT_PATTERN and not any(map(blank_run, ranks))
+
+
 class Encoder:
     """Encodes texts by chunks; what a chunk gave is kept for its next occurrences.
 
+    With another pattern, or a vocabulary that joins line feeds, each text is encoded whole.
+
     Kept chunks are short and in two generations of at most `kept` chunks each, but for one
     stretch of a text: the older one goes when the younger one is full, and what is used
     again moves to the younger one.
@@ -117,6 +135,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.pieces, self.kept = build(ranks, merges, pattern), {r: b for b, r in ranks.items()}, kept
         self.spelled = dict(enumerate(byte_characters()))
+        self.cuts = may_cut(ranks, pattern)
         #: Chunk: its ids as text, how many, and the bytes that they decode to.
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
@@ -145,9 +164,16 @@ class Encoder:
             self.known[part] = found
         return found
 
+    def whole(self, text: str) -> tuple[str, int, bytes]:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return ",".join(map(str, ids)), len(ids), decode_ids(ids, self.pieces)
+
     def entries(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, bytes]]]:
         """What each text's chunks give, in order."""
         for text in texts:
+            if not self.cuts:
+                yield [self.whole(text)] if text else []
+                continue
             chunks, out = chunks_of(text) if text else [], []
             for at in range(0, len(chunks), STRETCH):
                 if len(self.known) > self.kept:

@@ -313,6 +313,26 @@ def similar_pairs(nodes: list[int], fps: list[int], sets: list, groups: _Groups,
     return [(nodes[i], nodes[j]) for i, j in found if (p + q) * common[row[i], col[j]] >= p * (len(sets[i]) + len(sets[j])) and groups.join(nodes[i], nodes[j])]
 
 
+def dealt_blocks(shard: DataFrame, block: int, weight: int) -> DataFrame:
+    """shard, lo, hi, own, node, root, fp, hs: the members of each shard once for every pair of blocks, lo and hi, in which they meet others.
+
+    Only pairs of different components can join anything. The largest component of a shard
+    is therefore looked up alone; the others, its strays, ask: their blocks meet each other
+    and those of the largest, so a crowd of n members with s strays is dealt in about
+    n * s / block rows, beside n.
+    """
+    comps = shard.groupBy("shard", "root").agg(F.count("*").alias("n"), F.sum(F.size("hs")).alias("w"))
+    largest = comps.groupBy("shard").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
+    parted = comps.join(largest, "shard").groupBy("shard", "largest").agg(*[F.sum(F.when(F.col("root") != F.col("largest"), F.col(c)).otherwise(0)).alias(f"s{c}") for c in "nw"], *[F.sum(F.when(F.col("root") == F.col("largest"), F.col(c)).otherwise(0)).alias(f"l{c}") for c in "nw"])
+    blocks = lambda side: F.greatest(F.ceil(F.col(f"{side}n") / block), F.ceil(F.col(f"{side}w") / weight)).cast("int")
+    sizes = parted.where("sn > 0").select("shard", "largest", blocks("s").alias("strays"), blocks("l").alias("rest"))
+    turn = lambda n: F.pmod(F.xxhash64(F.lit(4), "node"), F.col(n)).cast("int")
+    stray = F.col("root") != F.col("largest")
+    dealt = shard.join(sizes, "shard").withColumn("own", F.when(stray, turn("strays")).otherwise(F.col("strays") + turn("rest")))
+    dealt = dealt.select("*", F.explode(F.when(stray, F.expr("sequence(0, strays + rest - 1)")).otherwise(F.expr("sequence(0, strays - 1)"))).alias("other"))
+    return dealt.select("shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "fp", "hs")
+
+
 def similar_links(one: DataFrame, rows: DataFrame, width: int, block: int = 512, weight: int = 1 << 19) -> DataFrame:
     """Links a, b between nodes that join what all pairs of SHARE or more would. one: node, least (its key), hs (its bands); rows: keys and text.
 
@@ -320,7 +340,9 @@ def similar_links(one: DataFrame, rows: DataFrame, width: int, block: int = 512,
     crowd. Bands that still hold several components go through the trees, or, where bands of
     the same members overlap so much that this is less work, the members of all of them at
     once. Members are dealt over blocks of at most `block` texts and about `weight` shingles,
-    and each task has two blocks.
+    and each task has two blocks; of the largest component only what strays ask for is looked
+    up. A block holds one text at least: what a task needs for a very long text is that
+    text's distinct shingles, eight bytes each, beside a block of others.
     """
     keyed = one.select("node", F.explode("hs").alias("band"))
     # Bands with the same members count once.
@@ -345,13 +367,7 @@ def similar_links(one: DataFrame, rows: DataFrame, width: int, block: int = 512,
     placed_in = crowd.join(by_crowd.select("crowd", (F.col("n") * F.col("n") <= F.col("cost")).alias("whole")), "crowd")
     shard = rest.join(placed_in, "node").select(F.when(F.col("whole"), F.xxhash64(F.lit("crowd"), "crowd")).otherwise(F.xxhash64(F.lit("band"), "band")).alias("shard"), "node", "root").distinct()
 
-    shard = checkpointed(shard.join(sets, "node"))
-    sizes = shard.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.size("hs")).alias("w"))
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / weight)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(4), "node"), F.col("blocks")).cast("int")
-    dealt = shard.join(sizes.select("shard", blocks.alias("blocks")), "shard").withColumn("own", own)
-    dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    dealt = dealt.select("shard", "lo", "hi", "own", "node", "root", "fp", "hs")
+    dealt = dealt_blocks(checkpointed(shard.join(sets, "node")), block, weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
