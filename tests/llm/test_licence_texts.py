@@ -31,19 +31,37 @@ HEADERS = {
 }
 
 
+def plain_ids(sentence):
+    """Identifiers of one sentence: all of an SPDX expression, or what the sentence, or its part before "see ...", is or calls a licence."""
+    if m := re.search(rules.SPDX_LINE, sentence):
+        words = [w.lower() for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9.:+-]*", m[1]) if w.upper() not in ("AND", "OR", "WITH")]
+        return [f"SPDX-{rules.SPDX[w]}" if w in rules.SPDX else "unknown" for w in words]
+    for s in (sentence, re.sub(rules.TAIL, "", sentence)):
+        n = rules.normalise(s)
+        name = re.sub(rules.VERB, "", n)
+        name = re.sub(r"\bv(?:er)? ?(?=[0-9])", "", re.sub(rules.NOISE, " ", name))
+        found = rules.SENTENCES.get(n) or rules.CALLED.get(" ".join(name.split()))
+        if found:
+            return [found]
+    return ["unknown"]
+
+
 def plain_scan(text):
     """Names of the licences of a text, with loops."""
     text = re.sub("\r\n?", "\n", text or "")
     text = "\n".join(re.sub(rf"^[ \t]*{rules.MARKS}[ \t]*", "", x) for x in text.split("\n"))
+    text = re.sub(r"(?im)^(.*spdx-license-identifier:.*)$", r"\n\1\n", text)
     paragraphs = re.sub(r"(?<!\n)\n(?!\n)", " ", text)
     best, most = [], -1
     for t in (text, paragraphs):
-        ids = [rules.SENTENCES.get(x, "unknown") for x in rules.cut(t)]
+        ids = [i for x in re.split(rules.SENTENCE_END, t) if any(h in x.lower() for h in rules.HINTS) for i in plain_ids(x)]
         known = sum(i != "unknown" for i in ids)
         if known > most:
             best, most = ids, known
     names = []
     for name, rule in rules.RULES:
+        if rule == ["MITref"] and "MIT0grant" in best:
+            continue
         at = 0
         for i in best:
             if at < len(rule) and i == rule[at]:

@@ -254,6 +254,9 @@ SPDX_LINE = rf"(?i)spdx-license-identifier:[\x20\t]*((?:\([\x20\t]*)*{_ID}(?:[\x
 #: Rules that a longer one of theirs makes superfluous.
 COVERED = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)}
 
+#: A heading that says nothing beside the grant of a licence of like name: rule and that grant.
+HEADINGS = {("MITref",): "MIT0grant"}
+
 
 def normalise(sentence: str) -> str:
     """What SQL does to a sentence: lower case, other characters than letters, digits and a closing + to single spaces, any holder in the BSD clause to a fixed one."""
@@ -343,7 +346,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ids = F.when(F.regexp_like(text, F.lit("(?i)" + "|".join(HINTS))), licence_sentences(text)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    hits = [F.when(F.regexp_like(line, F.lit(",(?:.*,)?".join(["", *map(re.escape, rule), ""]))), F.lit(name)) for name, rule in RULES]
+    apart = lambda rule: ~F.contains(line, F.lit(f",{HEADINGS[tuple(rule)]},")) if tuple(rule) in HEADINGS else F.lit(True)
+    hits = [F.when(F.regexp_like(line, F.lit(",(?:.*,)?".join(["", *map(re.escape, rule), ""]))) & apart(rule), F.lit(name)) for name, rule in RULES]
     names = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
     for less, more in COVERED.items():
         names = F.when(F.arrays_overlap(names, F.array(*map(F.lit, more))), F.array_remove(names, less)).otherwise(names)
