@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill.durable import checkpointed
 from tracemill.functions.text import argument_summary, head_and_tail, one_line
 
 CHARS_PER_TOKEN, MIN_STEPS, AGE_DAYS, RICH_STEPS = 4, 10, 30.0, 200
@@ -139,28 +140,57 @@ def sampling_scores(sessions: DataFrame, now: str, least: int = MIN_STEPS) -> Da
     return joined.select("session_id", "size", score.alias("score"))
 
 
-def sample(scores: DataFrame, budget: int, block: int = 1000) -> DataFrame:
+def sample(scores: DataFrame, budget: int, block: int = 10_000) -> DataFrame:
     """session_id, score, size of the sessions that fit a budget of tokens: by score, each that still fits.
 
-    The driver reads the ranking in blocks and only rows that fit what is left, so what it
-    holds is bounded by the budget, not by the number of sessions.
+    The ranking is sorted once into ranges and written to the checkpoint folder. Of what still
+    fits, at most one row is larger than half of what is left, so prefix sums over the smaller
+    ones find, in one pass, the row that brings what is left below its half: all smaller rows
+    up to it are taken and it too. So there are as many passes as the budget has bits, the
+    sums meet on the driver as one row a range, and no row goes there before at most `block`
+    rows are left that fit. What is taken comes back as a condition on the ranking, not
+    as a list. Rows without a score or a size are left out; ties go by session_id.
     """
-    left, last, taken = budget * CHARS_PER_TOKEN, None, []
-    order = [F.desc("score"), F.asc("session_id")]
+    keys = [F.desc("score"), F.asc("session_id")]
+    rows = scores.select("session_id", "score", F.col("size").cast("long").alias("size")).where("score is not null and size is not null")
+    rows = rows.where(F.col("size") <= budget * CHARS_PER_TOKEN)
+    ranked = checkpointed(rows.repartitionByRange(*keys).withColumn("piece", F.spark_partition_id()))
+    behind = lambda r: (F.col("score") < r.score) | ((F.col("score") == r.score) & (F.col("session_id") > r.session_id))
+    order = W.partitionBy("piece").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    left, last, taken = budget * CHARS_PER_TOKEN, None, F.lit(False)
+
     while True:
-        rows = scores.where(F.col("size") <= left)
-        if last is not None:
-            rows = rows.where((F.col("score") < last.score) | ((F.col("score") == last.score) & (F.col("session_id") > last.session_id)))
-        got = rows.orderBy(*order).limit(block).collect()
-        for r in got:
-            if r["size"] <= left:
-                taken.append((r.session_id, r.score, r["size"]))
-                left -= r["size"]
-        if len(got) < block:
+        open_ = ranked.where(F.col("size") <= left) if last is None else ranked.where((F.col("size") <= left) & behind(last))
+        half = left // 2
+        small = F.when(F.col("size") <= half, F.col("size")).otherwise(0)
+        summed = open_.withColumn("sum", F.sum(small).over(order)).withColumn("need", F.when(F.col("size") > half, F.col("sum") + F.col("size")))
+        pieces = summed.groupBy("piece").agg(F.count("*").alias("n"), F.sum(small).alias("sum"), F.min("need").alias("need")).orderBy("piece").collect()
+        if sum(p.n for p in pieces) <= block:
             break
-        last = got[-1]
+        before, at = 0, None
+        for p in pieces:
+            if before + p["sum"] > half or (p.need is not None and before + p.need <= left):
+                at = p.piece
+                break
+            before += p["sum"]
+        is_small = F.col("size") <= half
+        passed = is_small if last is None else is_small & behind(last)
+        if at is None:  # all smaller rows fit together, and none of the larger ones beside them
+            return ranked.where(taken | passed).drop("piece")
+        turn = (is_small & (F.col("sum") + before > half)) | (F.col("need") + before <= left)
+        last_ = summed.where((F.col("piece") == at) & turn).orderBy(*keys).first()
+        taken = taken | (passed & ~behind(last_)) | (F.col("session_id") == F.lit(last_.session_id)) & (F.col("score") == last_.score)
+        left, last = left - before - last_["sum"] - (last_["size"] if last_["size"] > half else 0), last_
+    found = []
+    for r in open_.orderBy(*keys).collect():
+        if r["size"] <= left:
+            found.append(r.session_id)
+            left -= r["size"]
     kind = scores.schema["session_id"].dataType.simpleString()
-    return scores.sparkSession.createDataFrame(taken, f"session_id {kind}, score double, size long")
+    rest = scores.sparkSession.createDataFrame([(i,) for i in found], f"session_id {kind}")
+    # At most `block` ids, which is a bound for the broadcast.
+    some = open_.join(F.broadcast(rest), "session_id", "left_semi")
+    return ranked.where(taken).unionByName(some).drop("piece")
 
 
 def pack(contexts: DataFrame, budget: int, period: str = "month", run_budgets: int = 256) -> DataFrame:

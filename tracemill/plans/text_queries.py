@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tracemill import model
 from tracemill.functions import redact, text, times
 from tracemill.functions.models import price_table
-from tracemill.operators import completeness, context, search
+from tracemill.operators import completeness, context, packing, search
 from tracemill.parallel import spread
 from tracemill.plans.adapters import CONV_SQL, STEPS_SQL, conversation_steps, sessions_of, steps, table
 
 QUERIES, SQL = {}, {}
 NOW = "2024-02-01 00:00:00"
+RUN_BUDGETS = 256
 EMAIL = dict((n, p) for n, p, _ in redact.PERSONAL)["email"]
 
 
@@ -130,6 +131,19 @@ def pack_batches(spark, d):
     return context.pack(s, 5000)
 
 
+#: The rule step by step over one list, which is what a run is: up to RUN_BUDGETS prompts all sessions are in one.
+@query(f"""WITH RECURSIVE {STEPS_SQL}, c AS (SELECT session_id, epoch_us(min(ts)) AS t, count(*) * 30 AS z FROM st GROUP BY 1),
+x AS (SELECT {{'i': row_number() OVER (ORDER BY coalesce(project, '__unknown__'), t, session_id), 'p': coalesce(project, '__unknown__'), 't': t, 's': session_id, 'z': z}} AS x FROM c JOIN se USING (session_id)),
+rc AS (SELECT list(x ORDER BY x.i) AS l, CAST(-1 AS BIGINT) AS b, CAST('' AS VARCHAR) AS p, CAST(0 AS BIGINT) AS t, CAST(-1 AS BIGINT) AS room, CAST(NULL AS VARCHAR) AS session_id, CAST(NULL AS BIGINT) AS tokens FROM x
+  UNION ALL SELECT list_filter(l, lambda v: v.i <> n.i), CASE WHEN k IS NULL THEN b + 1 ELSE b END, CASE WHEN k IS NULL THEN n.p ELSE p END, CASE WHEN k IS NULL THEN n.t ELSE t END, CASE WHEN k IS NULL THEN 5000 ELSE room END - n.z, n.s, n.z
+  FROM (SELECT *, coalesce(list_filter(l, lambda v: v.i = k.i)[1], l[1]) AS n
+    FROM (SELECT *, list_sort(list_transform(list_filter(l, lambda v: v.z <= room), lambda v: {{'other': v.p <> p, 'far': abs(v.t - t), 'i': v.i}}))[1] AS k FROM rc WHERE len(l) > 0)))
+SELECT session_id, 's0.0.' || b AS batch, tokens FROM rc WHERE session_id IS NOT NULL""")
+def affinity_batches(spark, d):
+    s = steps(spark, d).groupBy("session_id").agg(F.min("ts").alias("created_at"), (F.count("*") * 30).alias("tokens")).join(sessions_of(spark, d), "session_id")
+    return packing.pack_by_affinity(s, 5000, RUN_BUDGETS)
+
+
 @query("""WITH c AS (SELECT o_custkey AS session_id, o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0), r AS (SELECT o_custkey AS session_id, o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0),
 f AS (SELECT coalesce(c.session_id, r.session_id) AS session_id, c.id AS c, r.id AS r FROM c FULL JOIN r ON c.session_id = r.session_id AND c.id = r.id)
 SELECT session_id, round(greatest(0, least(1, 1 - 0.3 * CAST(count(*) FILTER (WHERE r IS NULL) AS DOUBLE) / greatest(count(c), 1) - 0.2 * CAST(count(*) FILTER (WHERE c IS NULL) AS DOUBLE) / greatest(count(r), 1))), 4) AS score FROM f GROUP BY 1""")
