@@ -104,6 +104,77 @@ def front_matter_values(c: Column) -> Column:
     return F.aggregate(F.transform(pairs, entry), F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e.getField("key")), F.create_map(e.getField("key"), e.getField("value"))))
 
 
+#: State of front_matter_paths(): open keys with their indents (the number of an item where it is one), what was found, and the block scalar that is open.
+_OPEN = "array<struct<indent:int,key:string,item:int>>"
+_MATTER = f"struct<open:{_OPEN},found:array<struct<path:string,value:string>>,block:int,base:int,fold:boolean>"
+
+
+def front_matter_paths(c: Column) -> Column:
+    """The front matter as a map from path to text, whatever its depth: `a.b` for keys in keys, `a.0` for items of lists, `a.0.b` for keys of such items.
+
+    A stack of open keys and their indents goes over the lines. Read are nested maps, lists
+    (at their key's indent too), lists of maps, [a, b], quoted and plain scalars with their
+    further lines, and block scalars: | keeps line breaks, > makes them spaces, both without
+    the last one. Comments go. The last of several values of one path counts. Keys without a value
+    and maps in braces, which stay as they are written, are the limits. Empty without front matter.
+    """
+    key_of = "\"[^\"]*\"|'[^']*'|(?:[^\\s\"'\\[{#&*!|>-]|-\\S)[^:]*?"
+    bare = lambda x: F.regexp_replace(strip(F.regexp_replace(x, "^((?:[^\"'#]|(?<=\\S)#)*|\"[^\"]*\"|'[^']*')\\s+#.*$", "$1")), "^([\"'])(.*)\\1$", "$2")
+    let = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  (names a value, so that it is worked out once)
+
+    def told(x: Column) -> Column:
+        """A line by itself: indent of the line and of what stands behind its dash, its key, what kind of value it has and the value."""
+        text = F.regexp_extract(x, "^ *(?:-(?=\\s|$)\\s*)?(.*?)\\s*$", 1)
+        keyed = F.regexp_like(text, F.lit(f"^(?:{key_of})\\s*:(?:\\s|$)"))
+        line = F.struct(x.alias("raw"), F.length(F.regexp_extract(x, "^( *)", 1)).alias("indent"), F.length(F.regexp_extract(x, "^( *(?:-(?=\\s|$)\\s*)?)", 1)).alias("inner"), F.regexp_like(x, F.lit("^ *-(?:\\s|$)")).alias("dash"), F.when(keyed, bare(F.regexp_extract(text, f"^({key_of})\\s*:", 1))).alias("key"), F.when(keyed, F.regexp_replace(text, f"^(?:{key_of})\\s*:\\s*", "")).otherwise(text).alias("value"))
+        kind = lambda v: F.when((v == "") | v.startswith("#"), "none").when(F.regexp_like(v, F.lit("^[|>][-+0-9]*\\s*(?:#.*)?$")), F.left(v, F.lit(1))).when(F.regexp_like(v, F.lit("^\\[.*\\]$")), "list").otherwise("text")
+        parts = lambda v: F.filter(F.transform(F.split(F.regexp_replace(v, "^\\[|\\]$", ""), ","), bare), lambda y: y != "")
+        return let(line, lambda n: F.struct(*[n.getField(k).alias(k) for k in ("raw", "indent", "inner", "dash", "key")], kind(n.getField("value")).alias("kind"), bare(n.getField("value")).alias("bare"), parts(n.getField("value")).alias("parts")))
+
+    def step(s: Column, n: Column) -> Column:
+        open_, found, block, base, fold = (s.getField(k) for k in ("open", "found", "block", "base", "fold"))
+        raw, indent, kind, key = (n.getField(k) for k in ("raw", "indent", "kind", "key"))
+        blank = strip(raw) == ""
+        is_item = lambda k: k.getField("item") >= 0
+        # Inside a block scalar, or the further line of a plain one: the last value grows.
+        at = F.when((base < 0) & ~blank, indent).otherwise(base)
+        in_block = (block >= 0) & (blank | (indent > block))
+        line = F.when(block < 0, n.getField("bare")).when(blank, F.lit("")).otherwise(F.substring(raw, at + 1, F.length(raw)))
+        last = F.element_at(found, -1)
+        glue = F.when((block < 0) | (fold & ~blank & ~last.getField("value").endswith("\n")), F.lit(" ")).when(fold & ~blank, F.lit("")).otherwise(F.lit("\n"))
+        grown = F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.struct(last.getField("path").alias("path"), F.coalesce(F.concat(last.getField("value"), glue, line), line).alias("value"))))
+        further = ~n.getField("dash") & key.isNull()
+        # Else a key or an item: deeper ones close. Keys at an item's own indent stay open, and the item before it gives its number.
+        number = F.coalesce(F.try_element_at(F.filter(open_, lambda k: (k.getField("indent") == indent) & is_item(k)), F.lit(1)).getField("item") + 1, F.lit(0))
+        entry = lambda i, k, item: F.array(F.struct(i.cast("int").alias("indent"), k.alias("key"), item.cast("int").alias("item")))
+        kept = F.filter(open_, lambda k: (k.getField("indent") < indent) | (n.getField("dash") & (k.getField("indent") == indent) & ~is_item(k)))
+        none = F.array().cast(_OPEN)
+        now = F.concat(kept, F.when(n.getField("dash"), entry(indent, number.cast("string"), number)).otherwise(none), F.when(key.isNotNull(), entry(n.getField("inner"), key, F.lit(-1))).otherwise(none))
+
+        def opened(o: Column) -> Column:
+            path = F.array_join(F.transform(o, lambda k: k.getField("key")), ".")
+            values = F.when(kind == "list", n.getField("parts")).when(kind == "none", F.array().cast("array<string>")).otherwise(F.array(F.when(kind == "text", n.getField("bare"))))
+            new = F.transform(values, lambda v, i: F.struct(F.when(kind == "list", F.concat_ws(".", path, i.cast("string"))).otherwise(path).alias("path"), v.alias("value")))
+            is_block = kind.isin("|", ">")
+            return F.struct(o.alias("open"), F.concat(found, new).alias("found"), F.when(is_block, F.when(key.isNull(), indent).otherwise(n.getField("inner"))).otherwise(-1).cast("int").alias("block"), F.lit(-1).alias("base"), (kind == ">").alias("fold"))
+
+        same = lambda found_, block_: F.struct(open_.alias("open"), found_.alias("found"), block_.cast("int").alias("block"), at.cast("int").alias("base"), fold.alias("fold"))
+        return (
+            F.when(in_block, same(grown, block).cast(_MATTER))
+            .when(blank | ltrimmed(raw).startswith("#"), F.struct(open_.alias("open"), found.alias("found"), F.lit(-1).alias("block"), F.lit(-1).alias("base"), F.lit(False).alias("fold")).cast(_MATTER))
+            .when(further, F.struct(open_.alias("open"), F.when((indent > 0) & (F.size(found) > 0) & (block < 0), grown).otherwise(found).alias("found"), F.lit(-1).alias("block"), F.lit(-1).alias("base"), F.lit(False).alias("fold")).cast(_MATTER))
+            .otherwise(let(now, opened).cast(_MATTER))
+        )
+
+    ltrimmed = lambda x: F.regexp_replace(x, "^\\s+", "")
+    start = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast("array<struct<path:string,value:string>>").alias("found"), F.lit(-1).alias("block"), F.lit(-1).alias("base"), F.lit(False).alias("fold")).cast(_MATTER)
+    lines = F.transform(F.split(F.coalesce(front_matter(c), F.lit("")), "\\r?\\n"), told)
+    found = F.aggregate(lines, start, step, lambda s: s.getField("found"))
+    trimmed = F.transform(found, lambda e: F.struct(e.getField("path").alias("key"), F.regexp_replace(F.coalesce(e.getField("value"), F.lit("")), "\n+$", "").alias("value")))
+    last_of = lambda t: F.map_from_entries(F.transform(F.array_distinct(F.transform(t, lambda e: e.getField("key"))), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(t, lambda e: e.getField("key") == k), -1).getField("value").alias("value"))))
+    return let(trimmed, last_of)
+
+
 def user_kind(c: Column) -> Column:
     """Who wrote a message in the user's name: `system` for tags, interruptions and continuations, `auto` for prompts that carry out a plan, else `user`."""
     t = strip(F.coalesce(c, F.lit("")))
