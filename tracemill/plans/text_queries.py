@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracemill import model
 from tracemill.functions import redact, text, times
 from tracemill.functions.models import price_table
-from tracemill.operators import completeness, context, packing, search
+from tracemill.operators import completeness, context, packing, proposals, search
 from tracemill.parallel import spread
 from tracemill.plans.adapters import CONV_SQL, STEPS_SQL, conversation_steps, sessions_of, steps, table
 
@@ -218,3 +218,33 @@ SELECT 'kimi-k2.5' AS model, n AS batches, CAST(t + 2000 AS BIGINT) AS input_tok
 def analysis_cost(spark, d):
     batches = steps(spark, d).groupBy("session_id").agg((F.count("*") * 30).alias("tokens"))
     return context.cost_estimate(batches, price_table(spark), "kimi-k2.5", 4000)
+
+
+#: Front matter of three forms about each page, by its number.
+@query("""WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, url FROM pages), f AS (
+SELECT page_id, unnest([{'path': 'name', 'value': 'page ' || n}, {'path': 'metadata.source.url', 'value': url}, {'path': 'metadata.source.kind', 'value': 'web'}, {'path': 'metadata.tags.0', 'value': 'a'}, {'path': 'metadata.tags.1', 'value': 'b'}]) AS e FROM p WHERE page_id % 3 = 0 UNION ALL
+SELECT page_id, unnest([{'path': 'hooks.0.id', 'value': n}, {'path': 'hooks.0.run', 'value': 'get ' || url || chr(10) || '  and keep'}, {'path': 'hooks.1.id', 'value': 'last'}, {'path': 'flow.0', 'value': 'x'}, {'path': 'flow.1', 'value': 'y'}]) FROM p WHERE page_id % 3 = 1 UNION ALL
+SELECT page_id, unnest([{'path': 'description', 'value': 'page ' || n || chr(10) || 'of ' || url}, {'path': 'quoted key', 'value': 'v: 1'}]) FROM p WHERE page_id % 3 = 2)
+SELECT page_id, e.path AS path, e.value AS value FROM f""")
+def front_matter_tree(spark, d):
+    n, url = F.col("page_id").cast("string"), F.col("url")
+    maps = F.format_string("---\nname: page %s\nmetadata:\n  source:\n    url: %s\n    kind: web\n  tags:\n  - a\n  - 'b'\n---\n", n, url)
+    lists = F.format_string("---\nhooks:\n  - id: %s\n    run: |\n      get %s\n        and keep\n  - id: last\nflow: [x, 'y']\n---\n", n, url)
+    folded = F.format_string("---\ndescription: >-\n  page\n  %s\n\n  of %s\n\"quoted key\": 'v: 1' # note\n---\n", n, url)
+    matter = F.when(F.col("page_id") % 3 == 0, maps).when(F.col("page_id") % 3 == 1, lists).otherwise(folded)
+    return table(spark, d, "pages").select("page_id", F.explode(text.front_matter_paths(matter)).alias("path", "value"))
+
+
+#: Three edits of each document: its first characters, a word, and an end.
+@query("""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, left(coalesce(text, ''), 12) AS old FROM documents),
+b AS (SELECT doc_id, CASE WHEN old = '' THEN t || 'START ' WHEN strpos(substr(t, strpos(t, old) + 1), old) = 0 THEN 'START ' || substr(t, length(old) + 1) ELSE t END AS t, CASE WHEN old = '' OR strpos(substr(t, strpos(t, old) + 1), old) = 0 THEN 1 ELSE 0 END AS n FROM a),
+c AS (SELECT doc_id, t, n, strpos(t, 'er ') AS k FROM b),
+e AS (SELECT doc_id, n, k > 0 AND strpos(substr(t, k + 1), 'er ') = 0 AS once, t FROM c)
+SELECT doc_id, CAST(n + CASE WHEN once THEN 1 ELSE 0 END + 1 AS INTEGER) AS applied, sha256(CASE WHEN once THEN replace(t, 'er ', 'ER ') ELSE t END || ' END') AS sha FROM e""")
+def edited_texts(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    first = F.coalesce(F.substring("text", 1, 12), F.lit(""))
+    edit = lambda old, new: F.struct(old.alias("old"), F.lit(new).alias("new"))
+    edits = F.array(edit(first, "START "), edit(F.lit("er "), "ER "), edit(F.lit(""), " END"))
+    r = docs.select("doc_id", proposals.edited(F.col("text"), edits).alias("r"))
+    return r.select("doc_id", "r.applied", F.sha2("r.text", 256).alias("sha"))
