@@ -217,6 +217,28 @@ def test_hermes(spark, tmp_path):
     assert p.steps.where("session_id = 'h1' and step_idx = 1").first().prompt_tokens == 15
 
 
+def test_hermes_places(spark, tmp_path):
+    put(tmp_path / "h1.jsonl", {"role": "session_meta", "platform": "slack", "model": "m1"}, {"role": "user", "content": "a"})
+    put(tmp_path / "h2.jsonl", {"role": "user", "content": "b"})
+    put(tmp_path / "session_h3.json", json.dumps({"session_id": "h3", "platform": "cli", "messages": [{"role": "user", "content": "c"}]}))
+    put(tmp_path / "h4.jsonl", {"role": "user", "content": "d"})
+    put(tmp_path / "sessions.json", json.dumps({"k1": {"session_id": "h1", "origin": {"platform": "other", "chat_id": "C1"}}, "k2": {"session_id": "h2", "platform": "telegram", "chat_id": "7"}, "k3": "odd"}))
+    p = sources.read(spark, "hermes", str(tmp_path))
+    assert {r.session_id: r.project for r in p.sessions.collect()} == {"h1": "slack://C1", "h2": "telegram://7", "h3": "hermes://cli", "h4": "hermes://local"}
+    assert {r.session_id: r.model for r in p.sessions.collect()}["h1"] == "m1" and len(steps(p)) == 4
+
+
+def test_openclaw_keeps_the_cost_that_it_reads(spark, tmp_path):
+    from tracemill.functions import models
+
+    say = lambda i, **usage: {"type": "message", "id": str(i), "timestamp": T(i), "message": {"role": "assistant", "model": "kimi-k2.5", "content": "x", "usage": {"input": 1000, "output": 1000, **usage}}}
+    put(tmp_path / "o.jsonl", {"type": "session", "id": "o1", "cwd": "/w", "timestamp": T(0)}, say(1, cost={"total": 0.5}), say(2), say(3, cost=7))
+    p = sources.read(spark, "openclaw", str(tmp_path))
+    assert [r.cost_usd for r in p.steps.orderBy("step_idx").collect()] == [0.5, None, None]
+    got = [r.cost_usd for r in models.with_cost(p.steps).orderBy("step_idx").collect()]
+    assert got[0] == 0.5 and 0 < got[1] == got[2] < 0.01
+
+
 def test_trajectories_last_file_wins(spark, tmp_path):
     t = lambda m: {"session_id": "x", "steps": [{"step_id": "1", "source": "user", "message": m, "timestamp": T(1)}, {"step_id": "2", "source": "agent", "message": [{"type": "text", "text": "k"}], "tool_calls": [{"tool_call_id": "c", "function_name": "Read", "arguments": {"path": "a"}}], "observation": {"results": [{"source_call_id": "c", "content": "out"}]}}]}
     put(tmp_path / "a.json", json.dumps([t("old")]))

@@ -87,15 +87,19 @@ def price_table(spark: SparkSession, prices: dict[str, tuple[float, float, float
 
 
 def token_cost(prompt: Column, completion: Column, read: Column, write: Column) -> Column:
-    """Dollars by the columns of price_table(); prompt tokens hold those read from the cache. Null without a price."""
+    """Dollars by the columns of price_table(); prompt tokens hold those read from the cache. A missing count is 0. Null without a price, or where neither prompt nor completion is counted."""
+    known = prompt.isNotNull() | completion.isNotNull()
+    prompt, completion, read, write = (F.coalesce(c, F.lit(0)) for c in (prompt, completion, read, write))
     fresh = F.greatest(F.lit(0), prompt - read)
-    return (fresh * F.col("input") + read * F.col("cache_read") + write * F.col("cache_write") + completion * F.col("output")) / 1e6
+    return F.when(known, (fresh * F.col("input") + read * F.col("cache_read") + write * F.col("cache_write") + completion * F.col("output")) / 1e6)
 
 
 def with_cost(steps: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """steps with canonical_model and cost_usd. The price table is a short list, so it goes to all tasks."""
+    """steps with canonical_model and cost_usd; a cost that the log states stays. The price table is a short list, so it goes to all tasks."""
     prices = prices if prices is not None else price_table(steps.sparkSession)
     named = steps.withColumn("canonical_model", F.when(real_model(F.col("model")), canonical_model(F.col("model"))))
     joined = named.join(F.broadcast(prices), F.col("canonical_model") == F.col("price_model"), "left")
     cost = token_cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("cache_read_tokens"), F.col("cache_write_tokens"))
+    if "cost_usd" in steps.columns:
+        cost = F.coalesce("cost_usd", cost)
     return joined.withColumn("cost_usd", cost).drop("price_model", "input", "output", "cache_read", "cache_write")

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window as W
 
 SESSIONS = "session_id string, agent string, project string, model string, created_at timestamp, updated_at timestamp, parent_id string, file string, spawn_step int, spawn_call string, is_compaction boolean"
 #: parent_id, spawn_step and spawn_call say which call of which session started a sub-agent; is_compaction marks one that only condensed its parent's history.
-STEPS = "session_id string, step_idx int, step_id string, source string, ts timestamp, message string, model string, prompt_tokens long, completion_tokens long, cache_read_tokens long, cache_write_tokens long, is_compaction boolean"
+STEPS = "session_id string, step_idx int, step_id string, source string, ts timestamp, message string, model string, prompt_tokens long, completion_tokens long, cache_read_tokens long, cache_write_tokens long, is_compaction boolean, cost_usd double"
+#: cost_usd is what the log itself says a step cost, for the few agents that write it; null elsewhere.
 CALLS = "session_id string, step_idx int, call_pos int, call_id string, tool_name string, arguments string"
 RESULTS = "session_id string, call_id string, content string, is_error boolean"
 

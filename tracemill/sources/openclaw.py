@@ -28,7 +28,8 @@ def read(spark: SparkSession, path: str) -> Parsed:
     steps = m.where("role <> 'toolResult'").select(
         "session_id", "pos", get("v", "$.id").alias("step_id"), "ts", F.when(F.col("role") == "assistant", "agent").when(F.col("role") == "user", "user").otherwise("system").alias("source"), text_of("v", "$.message.content").alias("message"),
         F.when(F.col("role") == "assistant", F.coalesce(get("v", "$.message.model"), F.col("current"))).alias("model"), prompt_tokens("v", f"{u}.input", f"{u}.cacheRead").alias("prompt_tokens"), get("v", f"{u}.output", "long").alias("completion_tokens"),
-        get("v", f"{u}.cacheRead", "long").alias("cache_read_tokens"), get("v", f"{u}.cacheWrite", "long").alias("cache_write_tokens"), "v",
+        get("v", f"{u}.cacheRead", "long").alias("cache_read_tokens"), get("v", f"{u}.cacheWrite", "long").alias("cache_write_tokens"),
+        get("v", f"{u}.cost.total", "double").alias("cost_usd"), "v",
     )
     steps = numbered(steps, ["pos"])
     p = steps.select("session_id", "step_idx", F.posexplode(items("v", "$.message.content")).alias("at", "p")).where(get("p", "$.type").isin("toolCall", "tool_use"))

@@ -178,7 +178,12 @@ def read_cursor(spark: SparkSession, path: str) -> Parsed:
 
 
 def read_hermes(spark: SparkSession, path: str) -> Parsed:
-    """A session's JSONL file, or else its JSON snapshot, with times and token totals from state.db; the totals go to the last step of the agent. state.db also says which session started which."""
+    """A session's JSONL file, or else its JSON snapshot, with times and token totals from state.db; the totals go to the last step of the agent. state.db also says which session started which.
+
+    These logs know no folder. A session's project is where it was held: the chat that
+    sessions.json names (`slack://<chat>`), or else `hermes://` and the platform, which is `local`
+    where none is named by the log, the snapshot, sessions.json or state.db, in this order.
+    """
     lines, rejected = json_lines(spark, path)
     a = lines.select(F.col("session").alias("session_id"), "file", "pos", "v").where(get("v", "$.role").isNotNull())
     docs = json_documents(spark, path, "session_*.json").select(F.coalesce(get("v", "$.session_id"), F.regexp_replace("session", "^session_", "")).alias("session_id"), "file", F.posexplode(items("v", "$.messages")).alias("i", "v"))
@@ -188,6 +193,21 @@ def read_hermes(spark: SparkSession, path: str) -> Parsed:
     state = kept.select(F.col("id").alias("session_id"), F.col("started_at").alias("started"), F.col("ended_at").alias("ended"), F.col("input_tokens").alias("i"), F.col("output_tokens").alias("o"), F.col("cache_read_tokens").alias("r"), F.col("cache_write_tokens").alias("w"))
     # Older tables lack the column, which is why it is asked for by itself.
     parents = table(spark, path, "state.db", "sessions", "id string, parent_session_id string").where("parent_session_id is not null").groupBy(F.col("id").alias("session_id")).agg(F.min("parent_session_id").alias("parent_id"))
+    named = [
+        lines.where(get("v", "$.role") == "session_meta").select(F.col("session").alias("session_id"), get("v", "$.platform").alias("platform"), get("v", "$.model").alias("model"), F.lit(1).alias("rank")),
+        json_documents(spark, path, "session_*.json").select(F.coalesce(get("v", "$.session_id"), F.regexp_replace("session", "^session_", "")).alias("session_id"), get("v", "$.platform").alias("platform"), get("v", "$.model").alias("model"), F.lit(2).alias("rank")),
+        table(spark, path, "state.db", "sessions", "id string, source string").select(F.col("id").alias("session_id"), F.col("source").alias("platform"), F.lit(None).cast("string").alias("model"), F.lit(4).alias("rank")),
+    ]
+    e = json_documents(spark, path, "sessions.json").select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "e"))
+    # What is known of the chat lies in the entry or, in newer lists, under `origin`.
+    in_entry = lambda k: F.coalesce(get("e", f"$.origin.{k}"), get("e", f"$.{k}"))
+    chats = e.select(get("e", "$.session_id").alias("session_id"), in_entry("platform").alias("platform"), in_entry("chat_id").alias("chat")).where("session_id is not null")
+    places = chats.select("session_id", "platform", F.lit(None).cast("string").alias("model"), F.lit(3).alias("rank"), "chat")
+    for x in named:
+        places = places.unionByName(x.withColumn("chat", F.lit(None).cast("string")))
+    first = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("rank"))).alias(c)
+    places = places.groupBy("session_id").agg(first("platform"), first("model"), first("chat"))
+    project = F.when(F.col("platform").isNotNull() & F.col("chat").isNotNull(), F.concat_ws("://", "platform", "chat")).otherwise(F.concat(F.lit("hermes://"), F.coalesce("platform", F.lit("local"))))
     steps = numbered(rows.where("role in ('user', 'assistant', 'system')").select("session_id", "pos", "v", F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("source"), ts_of("v", "$.timestamp").alias("ts"), text_of("v", "$.content").alias("message")), ["pos"])
     last = steps.where("source = 'agent'").groupBy("session_id").agg(F.max("step_idx").alias("step_idx")).join(state, "session_id").select("session_id", "step_idx", (F.col("i") + F.coalesce("r", F.lit(0))).alias("prompt_tokens"), F.col("o").alias("completion_tokens"), F.col("r").alias("cache_read_tokens"), F.col("w").alias("cache_write_tokens"))
     c = steps.select("session_id", "step_idx", F.posexplode(items("v", "$.tool_calls")).alias("call_pos", "c"))
@@ -195,5 +215,5 @@ def read_hermes(spark: SparkSession, path: str) -> Parsed:
     body = F.try_parse_json(raw("v", "$.content"))
     failed = F.coalesce(get(body, "$.exit_code", "int") != 0, F.lit(False)) | (F.coalesce(get(body, "$.error"), F.lit("")) != "") | F.coalesce(get(body, "$.status") == "error", F.lit(False))
     results = rows.where("role = 'tool'").select("session_id", get("v", "$.tool_call_id").alias("call_id"), text_of("v", "$.content").alias("content"), failed.alias("is_error"))
-    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file")).join(state, "session_id", "left").join(parents, "session_id", "left").select("session_id", "file", "parent_id", times.from_epoch(F.col("started")).alias("created_at"), times.from_epoch(F.col("ended")).alias("updated_at"))
+    sessions = rows.groupBy("session_id").agg(F.min("file").alias("file")).join(state, "session_id", "left").join(parents, "session_id", "left").join(places, "session_id", "left").select("session_id", "file", "parent_id", "model", project.alias("project"), times.from_epoch(F.col("started")).alias("created_at"), times.from_epoch(F.col("ended")).alias("updated_at"))
     return tables("hermes", sessions, steps.join(last, ["session_id", "step_idx"], "left"), calls, results, rejected)
