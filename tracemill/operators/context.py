@@ -141,7 +141,7 @@ def sampling_scores(sessions: DataFrame, now: str, least: int = MIN_STEPS) -> Da
 
 
 def sample(scores: DataFrame, budget: int, block: int = 10_000) -> DataFrame:
-    """session_id, score, size of the sessions that fit a budget of tokens: by score, each that still fits.
+    """session_id, score, size of the sessions that fit a budget of tokens: by score, each that still fits, in this order.
 
     The ranking is sorted once into ranges and written to the checkpoint folder. Of what still
     fits, at most one row is larger than half of what is left, so prefix sums over the smaller
@@ -176,7 +176,7 @@ def sample(scores: DataFrame, budget: int, block: int = 10_000) -> DataFrame:
         is_small = F.col("size") <= half
         passed = is_small if last is None else is_small & behind(last)
         if at is None:  # all smaller rows fit together, and none of the larger ones beside them
-            return ranked.where(taken | passed).drop("piece")
+            return ranked.where(taken | passed).drop("piece").orderBy(*keys)
         turn = (is_small & (F.col("sum") + before > half)) | (F.col("need") + before <= left)
         last_ = summed.where((F.col("piece") == at) & turn).orderBy(*keys).first()
         taken = taken | (passed & ~behind(last_)) | (F.col("session_id") == F.lit(last_.session_id)) & (F.col("score") == last_.score)
@@ -190,7 +190,7 @@ def sample(scores: DataFrame, budget: int, block: int = 10_000) -> DataFrame:
     rest = scores.sparkSession.createDataFrame([(i,) for i in found], f"session_id {kind}")
     # At most `block` ids, which is a bound for the broadcast.
     some = open_.join(F.broadcast(rest), "session_id", "left_semi")
-    return ranked.where(taken).unionByName(some).drop("piece")
+    return ranked.where(taken).unionByName(some).drop("piece").orderBy(*keys)
 
 
 def pack(contexts: DataFrame, budget: int, period: str = "month", run_budgets: int = 256) -> DataFrame:
