@@ -27,4 +27,5 @@ def path_of(arguments: Column) -> Column:
     """File path among a call's JSON arguments: the first of five keys that holds a non-empty string."""
     keys = ("file_path", "path", "filename", "notebook_path", "directory")
     v = F.try_parse_json(arguments)
-    return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in keys])
+    found = [F.try_variant_get(v, f"$.{k}", "variant") for k in keys]
+    return F.coalesce(*[F.when(F.schema_of_variant(x) == "STRING", F.nullif(x.cast("string"), F.lit(""))) for x in found])

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tracemill.durable import checkpointed
+
 SESSIONS = "session_id string, agent string, project string, model string, created_at timestamp, updated_at timestamp, parent_id string, file string, spawn_step int, spawn_call string, is_compaction boolean"
 #: parent_id, spawn_step and spawn_call say which call of which session started a sub-agent; is_compaction marks one that only condensed its parent's history.
 STEPS = "session_id string, step_idx int, step_id string, source string, ts timestamp, message string, model string, prompt_tokens long, completion_tokens long, cache_read_tokens long, cache_write_tokens long, is_compaction boolean, cost_usd double"
@@ -89,11 +91,13 @@ def top_level(sessions: DataFrame) -> DataFrame:
     return sessions.where("parent_id is null")
 
 
-def family(sessions: DataFrame) -> DataFrame:
-    """root, session_id, depth: each session under its topmost ancestor, by a recursive query; loops end at 20 levels."""
-    sessions.createOrReplaceTempView("__sessions")
-    return sessions.sparkSession.sql("""
-        WITH RECURSIVE f(root, session_id, depth) AS (
-          SELECT session_id, session_id, 0 FROM __sessions WHERE parent_id IS NULL
-          UNION ALL SELECT f.root, s.session_id, f.depth + 1 FROM f JOIN __sessions s ON s.parent_id = f.session_id WHERE f.depth < 20)
-        SELECT * FROM f""")
+def family(sessions: DataFrame, depth: int = 20) -> DataFrame:
+    """root, session_id, depth: each session under its topmost ancestor, level by level; below `depth` levels nothing is followed. Sessions of a loop have no root."""
+    links = checkpointed(sessions.where("parent_id is not null").select(F.col("parent_id").alias("up"), F.col("session_id").alias("child")))
+    out = level = sessions.where("parent_id is null").select(F.col("session_id").alias("root"), "session_id", F.lit(0).alias("depth"))
+    for i in range(1, depth + 1):
+        level = checkpointed(level.join(links, F.col("session_id") == F.col("up")).select("root", F.col("child").alias("session_id"), F.lit(i).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out

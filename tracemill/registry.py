@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import relation_queries, search_queries, session_queries, store_queries, text_queries
+from tracemill.plans import model_queries, relation_queries, search_queries, session_queries, store_queries, text_queries
 
 FLAGSHIP = "daily_activity"
-MODULES = (session_queries, relation_queries, search_queries, text_queries, store_queries)
+MODULES = (session_queries, relation_queries, search_queries, text_queries, store_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
