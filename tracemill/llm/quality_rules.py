@@ -20,12 +20,15 @@ HAS_WORD = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct, n_doubled, n_stops, n_letters; a row per row of docs.
 
     Repeated three-word windows are found inside the row: each window's hash and place are
     packed into one number, the numbers sorted, and neighbours with equal hashes compared
-    word for word. Nothing is shuffled, and a text of n words costs n log n.
+    word for word. A text in which different windows share a hash has its windows sorted by
+    their words instead. Nothing is shuffled, and a text of n words costs n log n. Of a
+    window's hash at most hash_bits bits count; fewer change no result, they only send more
+    texts the second way.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words_of(F.col(text_col)).alias("words"))
@@ -33,14 +36,19 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = "cast(ceil(log2(greatest(size(words), 2))) as int)"
     # Positions 0 to n - 3; the packed number keeps the low bits for the place.
     packed = F.expr(f"""CASE WHEN size(words) < 3 THEN array() ELSE sort_array(transform(slice(words, 1, size(words) - 2),
-        (w, i) -> shiftleft(xxhash64(w, get(words, i + 1), get(words, i + 2)), bits) | i)) END""")
+        (w, i) -> shiftleft(xxhash64(w, get(words, i + 1), get(words, i + 2)) & {(1 << hash_bits) - 1 if hash_bits < 64 else -1}L, bits) | i)) END""")
     rows = rows.withColumn("bits", F.expr(bits)).withColumn("packed", packed)
-    same = lambda o: f"""(shiftrightunsigned(x ^ coalesce(get(packed, i {o} 1), ~x), bits) = 0
-        AND get(words, cast(x & mask as int)) = get(words, cast(get(packed, i {o} 1) & mask as int))
-        AND get(words, cast(x & mask as int) + 1) = get(words, cast(get(packed, i {o} 1) & mask as int) + 1)
-        AND get(words, cast(x & mask as int) + 2) = get(words, cast(get(packed, i {o} 1) & mask as int) + 2))"""
+    place = lambda o: f"cast(get(packed, i {o} 1) & mask as int)"
+    hashes = lambda o: f"shiftrightunsigned(x ^ coalesce(get(packed, i {o} 1), ~x), bits) = 0"
+    words = lambda o: " AND ".join(f"get(words, cast(x & mask as int) + {k}) = get(words, {place(o)} + {k})" for k in range(3))
+    same = lambda o: f"({hashes(o)} AND {words(o)})"
     rows = rows.withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
-    rows = rows.withColumn("at", F.expr(f"sort_array(transform(filter(packed, (x, i) -> {same('-')} OR {same('+')}), x -> x & mask))"))
+    # Where different windows share a hash, equal ones need not be neighbours.
+    by_words = """sort_array(transform(slice(words, 1, size(words) - 2), (w, i) -> struct(w AS a, get(words, i + 1) AS b, get(words, i + 2) AS c, cast(i as long) AS i)))"""
+    equal = lambda o: f"coalesce(x.a = get(s, i {o} 1).a AND x.b = get(s, i {o} 1).b AND x.c = get(s, i {o} 1).c, false)"
+    sorted_ = f"sort_array(flatten(transform(array({by_words}), s -> transform(filter(s, (x, i) -> {equal('-')} OR {equal('+')}), x -> x.i))))"
+    rows = rows.withColumn("at", F.expr(f"""CASE WHEN exists(transform(packed, (x, i) -> {hashes('-')} AND NOT ({words('-')})), x -> x) THEN {sorted_}
+        ELSE sort_array(transform(filter(packed, (x, i) -> {same('-')} OR {same('+')}), x -> x & mask)) END"""))
     return rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
