@@ -191,7 +191,10 @@ def mixed_documents(docs: DataFrame, block: int = 128, id_col: str = "doc_id", t
     """The rows of docs in the mix, each as often as its taken words make up its size, to the nearest whole number.
 
     A document is cut by the mix only where a source's last block ends; there the rounding
-    decides. Documents without words are not in the mix. Columns are those of docs.
+    decides. Documents without words (null, empty and blank texts) are not in the mix. Null
+    ids and a null source are values like any other; of rows equal in id, source and text each
+    is repeated as often as the one of which the mix takes most. An empty table gives an empty
+    result. Columns are those of docs, whatever their names.
     """
     m = mix(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col)
     times = m.where("size > 0").groupBy("doc_id", "source", "spot").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
