@@ -101,3 +101,21 @@ def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id for r in simhash.keep_one(docs, width=5, similar=True).collect()} == heads(rows)
+
+
+def test_links_come_from_trees(spark):
+    """A pair beyond the trees' radius is no link, whatever the sets say."""
+    sets = spark.createDataFrame([(1, 0, [1, 2, 3]), (2, (1 << simhash.WIDE) - 1, [1, 2, 3]), (3, (1 << simhash.WIDE + 1) - 1, [1, 2, 3])], "node long, fp long, hs array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert sorted(map(tuple, simhash._confirmed(pairs, sets).collect())) == [(1, 2), (2, 3)]
+
+
+def test_the_radius_loses_no_pair_of_the_share():
+    """How many bits of fingerprints differ at the share, in small sets and large ones."""
+    r = np.random.default_rng(4)
+    for a, common, b in ((1, 4, 0), (0, 4, 1), (1, 8, 1), (10, 80, 10), (50, 400, 50)):
+        h = lambda n: r.integers(0, 1 << 64, n, dtype=np.uint64)
+        for _ in range(300):
+            both = h(common)
+            x, y = simhash.majority(np.concatenate([both, h(a)])), simhash.majority(np.concatenate([both, h(b)]))
+            assert (x ^ y).bit_count() <= simhash.WIDE

@@ -12,7 +12,9 @@ blocks can promise: two texts that share 0.8 of their five-word shingles differ
 bits. There a shard holds the texts that share a band of minima of their shingle hashes.
 Bands of ROWS minima let a pair of similarity s through with probability
 1 - (1 - s ** ROWS) ** BANDS; 5e-8 are missed at 0.8, fewer above. A shard's BK-trees are
-followed within WIDE bits, and exact overlap of the shingles confirms what they give.
+followed within WIDE bits, and exact overlap of the shingles confirms what they give. The
+first tree of a band holds two of its members only, in which all others are looked up; what
+it leaves apart goes through trees of whole blocks. Every link comes from such a tree.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from tracemill.llm.common import KEY, checkpointed, free_prefix, row_key, slices
 from tracemill.llm.graph import connected_components
 
 BITS, RADIUS, BLOCKS = 64, 3, 4
-#: Links by similarity: share of common shingles as a fraction, bands and minima in each, and the trees' radius, which 5 in a million pairs of that share exceed.
-SHARE, BANDS, ROWS, WIDE = (4, 5), 32, 4, 26
+#: Links by similarity: share of common shingles as a fraction, bands and minima in each, and the trees' radius. At that share a bit differs with
+#: probability 0.15, or 0.19 in sets of four and five shingles, so that fewer than one pair in 10 ** 9 exceeds the radius.
+SHARE, BANDS, ROWS, WIDE = (4, 5), 32, 4, 34
 
 
 def shingle_hashes(text: str | None, width: int):
@@ -245,11 +248,11 @@ def _sketched(rows: DataFrame, width: int, sets: bool) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose sets share SHARE of their union or more."""
+    """Those of the pairs a, b (a member and a node of its band's first tree) whose fingerprints lie within WIDE bits and whose sets share SHARE of their union or more."""
     p, q = SHARE
-    x = sets.select(F.col("node").alias("a"), F.col("hs").alias("ha"))
-    y = sets.select(F.col("node").alias("b"), F.col("hs").alias("hb"))
-    both = pairs.join(x, "a").join(y, "b").where(f"{q} * least(size(ha), size(hb)) >= {p} * greatest(size(ha), size(hb))")
+    x = sets.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("hs").alias("ha"))
+    y = sets.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("hs").alias("hb"))
+    both = pairs.join(x, "a").join(y, "b").where(f"bit_count(fa ^ fb) <= {WIDE}").where(f"{q} * least(size(ha), size(hb)) >= {p} * greatest(size(ha), size(hb))")
     return both.where(f"{p + q} * size(array_intersect(ha, hb)) >= {p} * (size(ha) + size(hb))").select("a", "b")
 
 
@@ -336,8 +339,8 @@ def dealt_blocks(shard: DataFrame, block: int, weight: int) -> DataFrame:
 def similar_links(one: DataFrame, rows: DataFrame, width: int, block: int = 512, weight: int = 1 << 19) -> DataFrame:
     """Links a, b between nodes that join what all pairs of SHARE or more would. one: node, least (its key), hs (its bands); rows: keys and text.
 
-    Each member of a band is first held against two of its members, which joins most of a
-    crowd. Bands that still hold several components go through the trees, or, where bands of
+    Each member of a band is first looked up in a tree of two of its members (at most two
+    distances, so an expression), which joins most of a crowd. Bands that still hold several components go through the trees, or, where bands of
     the same members overlap so much that this is less work, the members of all of them at
     once. Members are dealt over blocks of at most `block` texts and about `weight` shingles,
     and each task has two blocks; of the largest component only what strays ask for is looked
