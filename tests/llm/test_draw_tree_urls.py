@@ -267,6 +267,19 @@ def test_urls_match_plain_version(spark, order, most):
     assert {round(r.threshold * 1000) for r in got.select("threshold").distinct().collect()} == {least}
 
 
+def test_contexts_beyond_twenty_thousand_count(spark):
+    """A model of more contexts than were once kept; all that occur twice are in it."""
+    r = random.Random(9)
+    name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    names = [name() for _ in range(3000)]
+    urls = [f"http://{n}.com/{n[::-1]}" for n in names[:1500] for _ in range(2)] + [f"http://{n}.net/fr/{n[::-1]}" for n in names[1500:] for _ in range(2)]
+    rows = list(enumerate(urls + [f"http://{n}.org/{n[::-1]}" for n in names]))
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    want, least = brute_judge(rows)
+    assert judged(url_filter.judge(df)) == Counter(want)
+    assert Counter(want) != Counter(brute_judge(rows, 5, 20_000)[0])
+
+
 def test_url_models_tell_kinds_of_hosts_apart(spark):
     r = random.Random(6)
     good, bad = ["library", "school", "science", "museum", "garden"], ["casino", "jackpot", "poker", "bonus", "slots"]
