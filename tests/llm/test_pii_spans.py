@@ -128,3 +128,27 @@ def test_scans(spark):
                 want.append(acc)
                 acc = plain(acc, v)
             assert x.s == want
+
+
+def test_rows_beyond_the_drivers_share_teach_as_well(spark, monkeypatch):
+    """Trees grown over the table are those that the driver grows from all its rows."""
+    r = random.Random(31)
+    texts = [f"{r.choice(['mail', 'see', 'part'])} u{'x' * r.randint(0, 30)}@h{r.randint(0, 99)}.com and {r.choice(['card', 'order', ''])} {r.randint(10**13, 10**18)} or +1 {r.randint(10**8, 10**12)} " + r.choice(["", "phone 437-555-0689", "ann.lee at example dot com"]) for _ in range(60)]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    each, shown = pii.teaching(rows), pii.examples(spark)
+    monkeypatch.setattr(pii.Trees.__init__, "__defaults__", (2, 0.3, 1.0))
+    kinds = [0, 2]
+    far = pii.far_models(each, shown, kinds, 0.7)
+    seen = pii.teaching_rows(rows, 10_000)
+    for k in kinds:
+        known = pii.taught(seen, shown, k)
+        assert sum(x["k"] == k for x in seen) > 5
+        near = pii.Trees().fit(*map(list, zip(*known, strict=True)))
+        assert max(abs(near.margin(x) - far[k][0].margin(x)) for x, *_ in known) < 1e-6
+        bound = pii.calibrated(pii.unseen_margins(seen, shown, k), 0.7)
+        below = max((z for x, *_ in known if (z := near.margin(x)) < bound - 1e-6), default=bound)
+        assert bound < float("inf") and abs(far[k][1] - (bound + below) / 2) < 1e-6
+    asked = []
+    monkeypatch.setattr(pii, "far_models", lambda each, shown, kinds, precision: asked.append(kinds) or dict.fromkeys(kinds, far[0]))
+    pii.find(spark.createDataFrame([(1, " ".join(texts))], "doc_id long, text string"), most=5).collect()
+    assert len(asked) == 1 and set(asked[0]) >= set(kinds)
