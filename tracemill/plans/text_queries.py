@@ -13,7 +13,6 @@ from tracemill.plans.adapters import CONV_SQL, STEPS_SQL, conversation_steps, se
 
 QUERIES, SQL = {}, {}
 NOW = "2024-02-01 00:00:00"
-RUN_BUDGETS = 256
 EMAIL = dict((n, p) for n, p, _ in redact.PERSONAL)["email"]
 
 
@@ -131,7 +130,7 @@ def pack_batches(spark, d):
     return context.pack(s, 5000)
 
 
-#: The rule step by step over one list, which is what a run is: up to RUN_BUDGETS prompts all sessions are in one.
+#: The rule step by step over one list of all sessions.
 @query(f"""WITH RECURSIVE {STEPS_SQL}, c AS (SELECT session_id, epoch_us(min(ts)) AS t, count(*) * 30 AS z FROM st GROUP BY 1),
 x AS (SELECT {{'i': row_number() OVER (ORDER BY coalesce(project, '__unknown__'), t, session_id), 'p': coalesce(project, '__unknown__'), 't': t, 's': session_id, 'z': z}} AS x FROM c JOIN se USING (session_id)),
 rc AS (SELECT list(x ORDER BY x.i) AS l, CAST(-1 AS BIGINT) AS b, CAST('' AS VARCHAR) AS p, CAST(0 AS BIGINT) AS t, CAST(-1 AS BIGINT) AS room, CAST(NULL AS VARCHAR) AS session_id, CAST(NULL AS BIGINT) AS tokens FROM x
@@ -141,7 +140,7 @@ rc AS (SELECT list(x ORDER BY x.i) AS l, CAST(-1 AS BIGINT) AS b, CAST('' AS VAR
 SELECT session_id, 's0.0.' || b AS batch, tokens FROM rc WHERE session_id IS NOT NULL""")
 def affinity_batches(spark, d):
     s = steps(spark, d).groupBy("session_id").agg(F.min("ts").alias("created_at"), (F.count("*") * 30).alias("tokens")).join(sessions_of(spark, d), "session_id")
-    return packing.pack_by_affinity(s, 5000, RUN_BUDGETS)
+    return packing.pack_by_affinity(s, 5000)
 
 
 @query("""WITH c AS (SELECT o_custkey AS session_id, o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0), r AS (SELECT o_custkey AS session_id, o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0),
