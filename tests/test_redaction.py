@@ -53,6 +53,19 @@ def test_every_shard_size_gives_the_plain_result(spark, paths):
         assert [got[k] for k in range(len(paths))] == want, shard
 
 
+def test_shards_are_no_passes_over_the_texts(spark, tmp_path):
+    """Many more names than a shard has: each text is gone through as often as with few; spellings may be long and begin alike."""
+    long = [f"{'Abcdefgh' * 5}{k}" for k in range(30)]
+    texts = [f"/home/{n}/x {n}" for n in long] + [f"/Users/n{k}x/y by n{k}x" for k in range(400)]
+    texts += [f"it is {'abcdefgh' * 5}{long[3][40:]} or {'_'.join(['abcdefgh'] * 5)}3!", "-home-/home/n1x/-home-n2x-n3x-", "C:\\Users\\n4x\\C:\\Users\\n5x\\q", "/home/home/n6x/n7x.n8x/", "x" * 300_000 + " n9x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = user_names.hash_user_names(df, "t", 2)
+    assert [r.t for r in got.orderBy("k").collect()] == plain_hashes(texts)
+    one_pass = user_names.hash_user_names(df, "t", 300)
+    passes = lambda d: sum(d._jdf.queryExecution().optimizedPlan().toString().count(n) for n in ("MapInPandas", "MapInArrow"))
+    assert passes(got) == passes(one_pass) <= 2
+
+
 def test_a_hundred_thousand_names(spark):
     df = spark.range(100_000).select("id", F.concat(F.lit("/home/"), F.col("id").cast("string"), F.lit("Name/x by "), F.col("id").cast("string"), F.lit("Name")).alias("path"))
     got = user_names.hash_user_names(df, "path", 30_000)
