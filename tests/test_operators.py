@@ -393,3 +393,24 @@ def test_tagged_times_and_spread_totals(spark):
     steps = spark.createDataFrame([("s", at(1)), ("s", at(1)), ("s", at(2)), ("s", None)], "session_id string, ts timestamp")
     got = dashboard.spread_totals(spark.createDataFrame([("s", 100, 3.0)], "session_id string, tokens long, cost_usd double"), steps).orderBy("day").collect()
     assert [(r.messages, r.tokens, round(r.cost_usd, 6)) for r in got] == [(2, 66, 2.0), (1, 33, 1.0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlap_groups_are_those_of_the_pairs(spark, seed):
+    r, at = random.Random(seed), dt.datetime(2025, 1, 1)
+    rows = []
+    for i in range(r.choice([60, 250])):
+        start = at + dt.timedelta(microseconds=r.choice([r.randrange(10**6 * 400_000), 3_600_000_000 * r.randrange(100)]))
+        length = r.choice([0, 999_999, 1_000_000, 1_500_000, r.randrange(10**10), r.randrange(10**12)] if r.random() < 0.3 else [r.randrange(3 * 10**8)])
+        rows.append((f"s{r.randrange(200)}", r.choice(["p", "q", "q", f"r{i % 40}", None]), start, start + dt.timedelta(microseconds=length)))
+    rows += rows[:5] + [(s, p, a, b + dt.timedelta(hours=2)) for s, p, a, b in rows[5:10]] + [(None, "p", at, at + dt.timedelta(days=3))]
+    df = spark.createDataFrame(rows, "session_id string, project string, created_at timestamp, updated_at timestamp").withColumn("duration", F.lit(None).cast("int"))
+    want = {tuple(x) for x in overlap.groups(overlap.overlapping_pairs(df)).collect()}
+    assert want and {tuple(x) for x in overlap.overlap_groups(df).collect()} == want
+
+
+def test_overlap_groups_make_no_pairs(spark):
+    """Thirty thousand sessions at once in a project are 450 million pairs."""
+    n, at = 30_000, F.lit("2025-01-01").cast("timestamp")
+    s = spark.range(n).select(F.col("id").cast("string").alias("session_id"), F.lit("p").alias("project"), (at + F.make_dt_interval(secs=F.col("id"))).alias("created_at"), (at + F.make_dt_interval(secs=F.col("id") + n)).alias("updated_at"), F.lit(0).alias("duration"))
+    assert [tuple(x) for x in overlap.overlap_groups(s).collect()] == [("p", n, n - 1)]
