@@ -414,3 +414,18 @@ def test_overlap_groups_make_no_pairs(spark):
     n, at = 30_000, F.lit("2025-01-01").cast("timestamp")
     s = spark.range(n).select(F.col("id").cast("string").alias("session_id"), F.lit("p").alias("project"), (at + F.make_dt_interval(secs=F.col("id"))).alias("created_at"), (at + F.make_dt_interval(secs=F.col("id") + n)).alias("updated_at"), F.lit(0).alias("duration"))
     assert [tuple(x) for x in overlap.overlap_groups(s).collect()] == [("p", n, n - 1)]
+
+
+def test_both_sides_of_overlapping_pairs_read_one_shuffle(spark):
+    at = F.lit("2025-01-01").cast("timestamp")
+    s = spark.range(500).select(F.col("id").cast("string").alias("session_id"), F.lit("p").alias("project"), (at + F.make_dt_interval(hours=F.col("id"))).alias("created_at"), (at + F.make_dt_interval(hours=F.col("id") + 30)).alias("updated_at"), F.lit(0).alias("duration"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = overlap.overlapping_pairs(s)
+        assert len(pairs.collect()) == 500 * 29 - 29 * 30 // 2
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    plan = plan[: plan.index("Initial Plan")]
+    assert plan.count("ReusedExchange") == 1
